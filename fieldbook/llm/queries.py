@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secret_scan
+from . import jaccard_join, pii, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
     "op8_pii": pii.op8,
+    "op9_jaccard_join": jaccard_join.op9,
 }
 
 ORACLE: dict[str, str] = {}
