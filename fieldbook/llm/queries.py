@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, pii, secret_scan, toxicity
+from . import jaccard_join, packing, pii, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
+    "op2_packing": packing.op2,
     "op4_toxicity": toxicity.op4,
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
