@@ -85,12 +85,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def word_hashes(texts: list[bytes], known: WordHash, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, end to end, and the number of words of each text."""
     counts = np.zeros(len(texts), np.int64)
-    flat: list[int] = []
+    parts = [np.zeros(0, np.uint64)]
     for i, t in enumerate(texts):
         words = (t.lower() if lower else t).split()
         counts[i] = len(words)
-        flat.extend([known[w] for w in words])
-    return np.array(flat, np.uint64), counts
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -89,7 +89,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, node, prefix (tokens under order 1; null where the task has given them before for the same node)."""
+    """doc_id, n, node, prefix (order 1), low and high (orders 2 and 3); the three are null where the task has given them before for the same node."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_tokens(docs, k))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,97 +118,120 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             place = np.arange(len(token)) - np.repeat(np.cumsum(own) - own, own)
             cut_at = np.where(fresh, prefix_size(sizes, percent), 0)
             keep = place < cut_at[owner]
-            prefix = lists(token[keep].view(np.int64), cut_at, pa.int64())
-            prefix = pa.ListArray.from_arrays(prefix.offsets, prefix.values, mask=pa.array(~fresh))
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), prefix], ["doc_id", "n", "node", "prefix"])
+            # orders 2 and 3: the lowest and highest hashes; half of each hash is enough for a filter
+            from_low = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            whose = np.repeat(np.arange(len(sizes)), sizes)
+            half = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            low, high = from_low < cut_at[whose], sizes[whose] - from_low <= cut_at[whose]
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>"), "prefixes")
+            def masked(values: np.ndarray, kind: pa.DataType, fresh: np.ndarray = fresh, cut_at: np.ndarray = cut_at) -> pa.ListArray:
+                made = lists(values, cut_at, kind)
+                return pa.ListArray.from_arrays(made.offsets, made.values, mask=pa.array(~fresh))
+
+            yield pa.record_batch(
+                [b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), masked(token[keep].view(np.int64), pa.int64()), masked(half[low], pa.int32()), masked(half[high], pa.int32())],
+                ["doc_id", "n", "node", "prefix", "low", "high"],
+            )
+
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>, low array<int>, high array<int>"), "prefixes")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, tokens (ascending) of the wanted nodes. A bit filter of bounded size spares the other nodes the shuffle; the join decides."""
+    """node, tokens (ascending) of wanted(node, doc_id). A bit filter of bounded size over the ids spares most texts the work; the join decides."""
     bits = 1 << 24
-    slots = wanted.select(F.pmod("node", F.lit(bits)).cast("int").alias("slot")).groupBy(F.floor(F.col("slot") / 8).cast("int").alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("slot") % 8).cast("int")).alias("b")).toArrow()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
+    filled = wanted.filter("doc_id is not null").select(F.floor(slot / 8).cast("int").alias("byte"), F.pow(F.lit(2), slot % 8).cast("int").alias("b"))
+    got = filled.groupBy("byte").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(bits // 8, np.uint8)
-    table[slots["byte"].to_numpy()] = slots["b"].to_numpy().astype(np.uint8)
+    table[got["byte"].to_numpy()] = got["b"].to_numpy().astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, filled = WordHash(), set(), shared.value
-        for b in slices(batches):
-            hashes, sizes = sets_of(texts_of(b), known, k)
-            nodes = nodes_of(hashes, sizes)
-            slot = np.mod(nodes, bits)
-            maybe = (sizes > 0) & ((filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-            for i in np.flatnonzero(maybe).tolist():
-                if (x := int(nodes[i])) in seen:
-                    maybe[i] = False
-                seen.add(x)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            tokens = lists(hashes[np.repeat(maybe, sizes)].view(np.int64), sizes[maybe], pa.int64())
-            yield pa.record_batch([pa.array(nodes[maybe]), tokens], ["node", "tokens"])
+        for b in batches:
+            at = b.column("slot").to_numpy(zero_copy_only=False)
+            maybe = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+            at = np.nan_to_num(at).astype(np.int64)
+            maybe |= ((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            for part in slices([b.filter(pa.array(maybe))]):
+                hashes, sizes = sets_of(texts_of(part), known, k)
+                nodes = nodes_of(hashes, sizes)
+                fresh = sizes > 0
+                for i in np.flatnonzero(fresh).tolist():
+                    if (x := int(nodes[i])) in seen:
+                        fresh[i] = False
+                    seen.add(x)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.record_batch([pa.array(nodes[fresh]), lists(hashes[np.repeat(fresh, sizes)].view(np.int64), sizes[fresh], pa.int64())], ["node", "tokens"])
+
+    found = docs.select(F.when(F.col("doc_id").isNotNull(), slot).alias("slot"), "text").mapInArrow(emit, "node long, tokens array<long>")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
 
-    found = docs.select("text").mapInArrow(emit, "node long, tokens array<long>")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+def _candidates(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, na, nb, i, j) with an order-1 token in common at places i and j -> the pairs that orders 1, 2 and 3 let pass.
 
+    A common token at places i and j leaves room for min(i, j) common tokens up to it and min(na - i, nb - j) after it.
+    """
+    room = F.least("i", "j") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    possible = pairs.filter(F.lit(100 + percent) * room >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    nodes = prefixes.filter("low is not null").select("node", "low", "high").dropDuplicates(["node"])
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    both = possible.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that pass the filters of orders 2 and 3 and then have the similarity, compared exactly."""
-    p = lambda c: (F.size(c) - F.ceil(F.size(c) * percent / 100) + 1).cast("int")
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs(a, b) that have the similarity, compared exactly."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(_sets(docs, nodes.join(wanted, "node", "left_semi"), k), "sets")
     got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    near = F.arrays_overlap(F.slice("ta", F.lit(1), p("ta")), F.slice("tb", F.lit(1), p("tb"))) & F.arrays_overlap(
-        F.slice("ta", F.size("ta") - p("ta") + 1, p("ta")), F.slice("tb", F.size("tb") - p("tb") + 1, p("tb"))
-    )
-    shared = F.size(F.array_intersect("ta", "tb"))
-    similar = F.when(near, F.lit(100 + percent) * shared >= F.lit(percent) * (F.size("ta") + F.size("tb"))).otherwise(False)
-    return got.filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    similar = F.lit(100 + percent) * F.size(F.array_intersect("ta", "tb")) >= F.lit(percent) * (F.size("ta") + F.size("tb"))
+    out = cut(got.filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+    drop_cut(sets)
+    return out
 
 
-def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, label: components of the nodes that have a link."""
+def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, label: components of the nodes(node, doc_id) that have a link."""
     by_token = Window.partitionBy("token")
-    postings = prefixes.filter("prefix is not null").select("node", "n", F.explode("prefix").alias("token"))
-    shared = cut(postings.select("*", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi")).filter("lo <> hi").select("token", "node", "n").distinct(), "postings")
+    postings = prefixes.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = cut(postings.select("*", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi")).filter("lo <> hi").select("token", "node", "n", (F.col("at") + 1).alias("at")).distinct(), "postings")
     # central nodes have the largest part of their prefix in common with others
     share = shared.groupBy("node").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
     ranked = cut(shared.join(share, "node").withColumn("rank", F.row_number().over(by_token.orderBy(F.desc("share"), "node"))), "ranked")
-    size_ok = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    first = cut(
-        ranked.filter(F.col("rank") <= PIVOTS).alias("a").join(ranked.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank")) & size_ok).select(*pair).distinct(),
-        "pairs",
-    )
-    sets = cut(_sets(docs, shared.select("node").distinct(), k), "sets")
     drop_cut(shared)
-    links = cut(_verified(first, sets, percent), "verified")
+    size_ok = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    turned = F.col("a.node") < F.col("b.node")
+    pair = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, two in (("node", "a b"), ("n", "na nb"), ("at", "i j")) for (x, y), name in zip(("ab", "ba"), two.split(), strict=True)]
+    same = F.col("a.token") == F.col("b.token")
+    first = cut(_candidates(ranked.filter(F.col("rank") <= PIVOTS).alias("a").join(ranked.alias("b"), same & (F.col("a.rank") < F.col("b.rank")) & size_ok).select(*pair), prefixes, percent), "pairs")
+    links = _verified(docs, first, nodes, k, percent)
     labels = cut(components(links), "labels")
     # what is left: nodes of one token in different components, neither of them a pivot there
-    labelled = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("last")).filter((F.col("lo") != F.col("hi")) & (F.col("last") > PIVOTS + 1)).select("token")
-    rest = cut(labelled.filter(F.col("rank") > PIVOTS).join(open_tokens, "token", "left_semi").select("token", "node", "n", "label"), "rest")
+    labelled = ranked.filter(F.col("rank") > PIVOTS).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    rest = cut(labelled.join(open_tokens, "token", "left_semi").select("token", "node", "n", "at", "label"), "rest")
     major = rest.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
     minor = rest.join(major, "token").filter("label <> major")
-    second = (
-        minor.alias("a")
-        .join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("a.major")) | (F.col("a.node") < F.col("b.node"))) & size_ok)
-        .select(*pair)
-        .distinct()
-    )
-    more = cut(_verified(cut(second.join(first, ["a", "b"], "left_anti"), "pairs"), sets, percent), "verified")
-    return components(links.union(more))
+    others = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("a.major")) | (F.col("a.node") < F.col("b.node")))
+    second = cut(_candidates(minor.alias("a").join(rest.alias("b"), same & others & size_ok).select(*pair), prefixes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    return components(links.union(_verified(docs, second, nodes, k, percent)))
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     prefixes = _prefixes(docs, k, percent)
-    labels = link_nodes(docs, prefixes, k, percent)
-    nodes = prefixes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    rows = cut(prefixes.select("doc_id", "n", "node"), "rows")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    labels = link_nodes(docs, prefixes, nodes, k, percent)
+    drop_cut(prefixes)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = named.join(least, "label").select("node", "component_id")
-    full = prefixes.filter("n > 0").join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(prefixes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = rows.filter("n > 0").join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
