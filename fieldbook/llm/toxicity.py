@@ -19,6 +19,7 @@ extra columns are ignored by ``tag`` and kept by ``reject``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ HASH_BITS = 18
 THRESHOLD = 0.7
 #: A toxic token: at least so many times likelier in toxic documents, after so many different words at least, and so varied.
 ODDS, CONTEXTS, VARIED = 20.0, 5, 0.3
+#: The part of the toxic documents that a toxic word stands in, at least.
+SHARE = 0.02
 BLOCK = 32
 ROUNDS = 40
 _EDGE = re.compile(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$")
@@ -57,9 +60,9 @@ def _own_features(w: bytes) -> tuple[int, ...]:
 class Words(dict):
     """raw word -> row of feature slots (own four, as a previous word, as a next word), up to a bounded number of rows."""
 
-    def __init__(self, weights: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, weights: np.ndarray | None = None, most: int = 150_000):
         super().__init__()
-        self.weights, self.most, self.rows = weights, most, []
+        self.weights, self.most, self.rows = weights, most, array("q" if weights is None else "f")
 
     def row(self, raw: bytes) -> tuple:
         w = normal(raw)
@@ -70,24 +73,29 @@ class Words(dict):
         return float(sum(x[s] for s in slots[:4])), float(x[slots[4]]), float(x[slots[5]])
 
     def __missing__(self, raw: bytes) -> int:
-        self.rows.append(self.row(raw))
-        self[raw] = at = len(self.rows) - 1
+        at = len(self)
+        self.rows.extend(self.row(raw))
+        self[raw] = at
         return at
 
+    def table(self) -> np.ndarray:
+        """A copy of the rows."""
+        return np.array(self.rows).reshape(len(self), -1)
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-            self.rows = []
+            self.rows = array(self.rows.typecode)
 
 
 def _tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
     words.trim()
-    counts, flat = np.zeros(len(texts), np.int64), []
+    counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
     for i, t in enumerate(texts):
         w = t.split()
         counts[i] = len(w)
-        flat.extend([words[x] for x in w])
-    return np.array(flat, np.int64), counts
+        parts.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
+    return np.concatenate(parts), counts
 
 
 def _neighbours(values: np.ndarray, counts: np.ndarray, by: int) -> np.ndarray:
@@ -103,26 +111,38 @@ def _neighbours(values: np.ndarray, counts: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _chain(mats: np.ndarray, blocks: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Row vectors start @ m0 @ ... @ mt for every place t; mats [blocks, BLOCK, 2, 2], blocks: number for each sequence, start [2]."""
-    total = len(mats)
-    run = np.empty_like(mats)
-    run[:, 0] = mats[:, 0]
+def _chain(e: np.ndarray, blocks: np.ndarray, m: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """v[t] = (v[t-1] @ m) * (1, e[t]) for every place t of every sequence, up to a factor; v[-1] is ``start`` and the first step takes ``first`` for m.
+
+    e [all blocks, BLOCK]; blocks: number for each sequence. Products inside the blocks are taken for all blocks at once, then
+    carried from block to block for all sequences at once. What follows a sequence's end in its last block is never used.
+    """
+    total, heads = len(e), np.cumsum(blocks) - blocks
+    run = np.empty((4, BLOCK, total))
+    step = np.repeat(m.ravel()[:, None], total, axis=1)
+    step[:, heads[blocks > 0]] = first.ravel()[:, None]
+    run[0, 0], run[1, 0], run[2, 0], run[3, 0] = step[0], step[1] * e[:, 0], step[2], step[3] * e[:, 0]
     for j in range(1, BLOCK):
-        step = run[:, j - 1] @ mats[:, j]
-        run[:, j] = step / step.max(axis=(1, 2), keepdims=True)
-    first = np.cumsum(blocks) - blocks
-    into = np.empty((total, 2))
+        p, q, r, s = run[:, j - 1]
+        x = e[:, j]
+        run[0, j], run[1, j] = p * m[0, 0] + q * m[1, 0], (p * m[0, 1] + q * m[1, 1]) * x
+        run[2, j], run[3, j] = r * m[0, 0] + s * m[1, 0], (r * m[0, 1] + s * m[1, 1]) * x
+        if j % 4 == 0:
+            run[:, j] /= run[:, j].max(axis=0)
+    run[:, BLOCK - 1] /= run[:, BLOCK - 1].max(axis=0)
+    into = np.empty((2, total))
     at = np.flatnonzero(blocks > 0)
-    v = np.repeat(start[None], len(at), 0)
+    v = np.repeat(start[:, None], len(at), axis=1)
     for k in range(int(blocks.max(initial=0))):
         on = blocks[at] > k
-        at, v = at[on], v[on]
-        into[first[at] + k] = v
-        v = np.einsum("ni,nij->nj", v, run[first[at] + k, BLOCK - 1])
-        v /= v.sum(axis=1, keepdims=True)
-    out = np.einsum("ni,nbij->nbj", into, run)
-    return out / out.sum(axis=2, keepdims=True)
+        at, v = at[on], v[:, on]
+        into[:, heads[at] + k] = v
+        end = run[:, BLOCK - 1, heads[at] + k]
+        v = np.stack([v[0] * end[0] + v[1] * end[2], v[0] * end[1] + v[1] * end[3]])
+        v /= v.sum(axis=0)
+    o, t = into[0] * run[0] + into[1] * run[2], into[0] * run[1] + into[1] * run[3]
+    both = o + t
+    return (o / both).T.ravel(), (t / both).T.ravel()
 
 
 def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -132,23 +152,18 @@ def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
     blocks = -(-counts // BLOCK)
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(emit)) - (np.cumsum(counts) - counts)[owner]
-    at = (np.cumsum(blocks) - blocks)[owner] * BLOCK + place
+    base = (np.cumsum(blocks) - blocks)[owner] * BLOCK
+    at, back_at = base + place, base + counts[owner] - 1 - place
     m, e = np.exp(trans), np.exp(np.clip(emit, -30, 30))
-    forward = np.tile(np.eye(2), (int(blocks.sum()) * BLOCK, 1, 1))
-    forward[at, :, 0], forward[at, :, 1] = m[:, 0], m[:, 1] * e[:, None]
-    # backward: b[t] = m @ diag(1, e[t+1]) @ b[t+1], as row vectors from the right; the padding then comes last in each text's reversed order
-    back_at = (np.cumsum(blocks) - blocks)[owner] * BLOCK + (counts[owner] - 1 - place)
-    backward = np.tile(np.eye(2), (len(forward), 1, 1))
-    nxt = np.exp(np.clip(_neighbours(emit, counts, -1), -30, 30))
-    last = place == counts[owner] - 1
-    mt = np.empty((len(emit), 2, 2))
-    mt[:, 0, :], mt[:, 1, :] = m[:, 0], m[:, 1] * nxt[:, None]
-    mt[last] = np.eye(2)
-    backward[back_at] = mt
-    a = _chain(forward.reshape(-1, BLOCK, 2, 2), blocks, np.array([1.0, 0.0])).reshape(-1, 2)[at]
-    b = _chain(backward.reshape(-1, BLOCK, 2, 2), blocks, np.array([1.0, 1.0])).reshape(-1, 2)[back_at]
-    both = a * b
-    return both[:, 1] / both.sum(axis=1)
+    grid = np.ones(int(blocks.sum()) * BLOCK)
+    grid[at] = e
+    ao, at_ = (x[at] for x in _chain(grid.reshape(-1, BLOCK), blocks, m, np.array([1.0, 0.0]), m))
+    # the backward messages with the token's own emission in them follow the same recursion, from the right, under the transposed matrix
+    grid[:] = 1
+    grid[back_at] = e
+    bo, bt = (x[back_at] for x in _chain(grid.reshape(-1, BLOCK), blocks, m.T, np.array([1.0, 1.0]), np.eye(2)))
+    one, other = at_ * bt / e, ao * bo
+    return one / (one + other)
 
 
 class Field:
@@ -160,7 +175,7 @@ class Field:
         self.flat = 0.0
 
     def emissions(self, words: Words, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        own, prev, nxt = np.array(words.rows).reshape(-1, 3)[flat].T if len(flat) else np.zeros((3, 0))
+        own, prev, nxt = words.table()[flat].T.astype(float) if len(flat) else np.zeros((3, 0))
         return own + _neighbours(nxt, counts, 1) + _neighbours(prev, counts, -1) + self.bias
 
     def score(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -183,10 +198,10 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
     field, words = Field(), Words()
     flat, counts = _tokens(texts, words)
     names = {at: normal(raw) in lexicon for raw, at in words.items()}
-    known = np.array([names[i] for i in range(len(words.rows))], bool)
+    known = np.array([names[i] for i in range(len(words))], bool)
     owner = np.repeat(np.arange(len(counts)), counts)
     y = known[flat] & toxic[owner]
-    slots = np.array(words.rows, np.int64).reshape(-1, 6)
+    slots = words.table()
     own, prev, nxt = slots[flat, :4], slots[flat, 5], slots[flat, 4]
     before, after = _neighbours(prev, counts, 1), _neighbours(nxt, counts, -1)
     feats = np.column_stack([own, before, after])
@@ -268,7 +283,7 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes
     shared = labelled.sparkSession.sparkContext.broadcast(words)
     got = labelled.select("text", "toxic").mapInArrow(occurs, "word binary, toxic long, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = (F.col("t") / max(toxic_rows, 1)) / ((F.col("c") + 0.5) / max(clean_rows, 1))
-    return {bytes(r["word"]) for r in got.filter((odds >= ODDS) & (F.col("t") >= CONTEXTS)).select("word").collect()}
+    return {bytes(r["word"]) for r in got.filter((odds >= ODDS) & (F.col("t") >= max(CONTEXTS, SHARE * toxic_rows))).select("word").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field:
@@ -301,7 +316,7 @@ def tag(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         words = Words(field.weights)
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 1_500_000):
             texts = texts_of(b)
             flat, counts = _tokens(texts, words)
             p = marginals(field.emissions(words, flat, counts), counts, field.trans)
@@ -330,7 +345,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         words = Words(field.weights)
-        for b in slices(batches, 4_000_000):
+        for b in slices(batches, 1_500_000):
             flat, counts = _tokens(texts_of(b), words)
             p = marginals(field.emissions(words, flat, counts), counts, field.trans)
             yield b.filter(pa.array(field.score(p, counts) < threshold))
