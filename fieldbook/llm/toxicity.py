@@ -1,9 +1,9 @@
 """Operator 4: toxicity by a linear-chain conditional random field.
 
 1. Token labels. The labels are per document, so tokens are labelled from a distance: over ALL labelled training documents
-   Spark counts in how many toxic and clean documents each word occurs and after how many different words it stands in
-   toxic ones. A word that is far likelier in toxic documents, in varied contexts (copies of one text don't make it
-   varied), is a toxic token where it stands in a toxic document.
+   Spark counts in how many toxic and clean documents each word and word beginning occurs and after how many different
+   words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, in varied contexts (copies
+   of one text don't make it varied), marks a toxic token where it stands in a toxic document.
 2. The field has the labels O and T; its features are the word, its neighbours, its ends and its shape, hashed. It is fitted
    on at most ``FIT_ROWS`` labelled documents, half of each class, taken in hash order.
 3. Every whole text is tagged: forward-backward marginals of all tokens, exactly, as products of 2x2 matrices over blocks.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ THRESHOLD = 0.7
 #: A toxic token: at least so many times likelier in toxic documents, after so many different words at least, and so varied.
 ODDS, CONTEXTS, VARIED = 20.0, 5, 0.3
 #: The part of the toxic documents that a toxic word stands in, at least.
-SHARE = 0.02
+SHARE = 0.01
+#: Lengths of the word beginnings that count as units, in bytes.
+STEMS = (4, 6)
 BLOCK = 32
 ROUNDS = 40
 _EDGE = re.compile(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$")
@@ -54,11 +57,11 @@ def _slot(kind: int, text: bytes) -> int:
 
 def _own_features(w: bytes) -> tuple[int, ...]:
     shape = b"".join(b"a" if 97 <= c <= 122 or c >= 128 else b"9" if 48 <= c <= 57 else b"-" for c in w[:12])
-    return (_slot(1, w), _slot(2, w[:4]), _slot(3, w[-4:]), _slot(4, shape))
+    return (_slot(1, w), _slot(2, w[:4]), _slot(7, w[:6]), _slot(3, w[-4:]), _slot(4, shape))
 
 
 class Words(dict):
-    """raw word -> row of feature slots (own four, as a previous word, as a next word), up to a bounded number of rows."""
+    """raw word -> row of feature slots (own five, as a previous word, as a next word), up to a bounded number of rows."""
 
     def __init__(self, weights: np.ndarray | None = None, most: int = 150_000):
         super().__init__()
@@ -70,7 +73,7 @@ class Words(dict):
         if self.weights is None:
             return slots
         x = self.weights
-        return float(sum(x[s] for s in slots[:4])), float(x[slots[4]]), float(x[slots[5]])
+        return float(sum(x[s] for s in slots[:5])), float(x[slots[5]]), float(x[slots[6]])
 
     def __missing__(self, raw: bytes) -> int:
         at = len(self)
@@ -197,12 +200,12 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
     """Maximum likelihood of the token labels by Adagrad steps over all sequences, then the calibration by Newton steps."""
     field, words = Field(), Words()
     flat, counts = _tokens(texts, words)
-    names = {at: normal(raw) in lexicon for raw, at in words.items()}
+    names = {at: any(u in lexicon for u in units(normal(raw))) for raw, at in words.items()}
     known = np.array([names[i] for i in range(len(words))], bool)
     owner = np.repeat(np.arange(len(counts)), counts)
     y = known[flat] & toxic[owner]
     slots = words.table()
-    own, prev, nxt = slots[flat, :4], slots[flat, 5], slots[flat, 4]
+    own, prev, nxt = slots[flat, :5], slots[flat, 6], slots[flat, 5]
     before, after = _neighbours(prev, counts, 1), _neighbours(nxt, counts, -1)
     feats = np.column_stack([own, before, after])
     before_y = _neighbours(y.astype(np.int64), counts, 1)
@@ -211,7 +214,7 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
         emit = field.weights[feats].sum(axis=1) + field.bias
         p = marginals(emit, counts, field.trans)
         gap = y - p
-        grad = np.bincount(feats.ravel(), weights=np.repeat(gap, 6), minlength=size) - 0.02 * field.weights
+        grad = np.bincount(feats.ravel(), weights=np.repeat(gap, 7), minlength=size) - 0.02 * field.weights
         g2 += grad**2
         field.weights += 0.5 * grad / np.sqrt(g2)
         bias = gap.sum()
@@ -237,53 +240,59 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
     return field
 
 
+def units(w: bytes) -> tuple[bytes, ...]:
+    """What a toxic token may be known by: the word, and its beginnings (inflected words share these), marked by a *."""
+    return (w, *(w[:n] + b"*" for n in STEMS if len(w) > n)) if w else ()
+
+
+class _Units(dict):
+    """raw word -> those of its units that are wanted (all without a choice), remembered up to a bound."""
+
+    def __init__(self, wanted: set[bytes] | None = None, most: int = 200_000):
+        super().__init__()
+        self.wanted, self.most = wanted, most
+
+    def __missing__(self, raw: bytes) -> tuple[bytes, ...]:
+        got = units(normal(raw))
+        if self.wanted is not None:
+            got = tuple(u for u in got if u in self.wanted)
+        if len(self) < self.most:
+            self[raw] = got
+        return got
+
+
 def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes]:
-    """Words of toxic tokens, from counts over all labelled rows (doc_id, text, toxic). Only words met in enough toxic contexts are ever sent on."""
+    """Units of toxic tokens, from counts over all labelled rows (doc_id, text, toxic)."""
+
+    def occurs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Units()
+        for b in slices(batches):
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for t, toxic in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
+                n[toxic == 1].update({u for raw in set(t.split()) for u in known[raw]})
+            words = list(n[0].keys() | n[1].keys())
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], ["unit", "t", "c"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        known = _Units(shared.value)
         for b in slices(batches):
-            pairs: dict[tuple[bytes, bytes], int] = {}
+            pairs: Counter = Counter()
             for t in texts_of(b):
                 before = b""
                 for raw in t.split():
-                    w = known.get(raw)
-                    if w is None:
-                        w = normal(raw)
-                        if len(known) < 300_000:
-                            known[raw] = w
-                    if w:
-                        pairs[before, w] = pairs.get((before, w), 0) + 1
-                        before = w
-            yield pa.record_batch([pa.array([w for _, w in pairs], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(p) >> 1 for p, _ in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64())], ["word", "prev", "n"])
+                    for u in known[raw]:
+                        pairs[u, before] += 1
+                    before = raw
+            yield pa.record_batch([pa.array([u for u, _ in pairs], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(p) >> 1 for _, p in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64())], ["unit", "prev", "n"])
 
-    def occurs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = shared.value, {}
-        for b in slices(batches):
-            n: dict[tuple[bytes, int], int] = {}
-            for t, toxic in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
-                found = set()
-                for raw in set(t.split()):
-                    w = known.get(raw)
-                    if w is None:
-                        w = normal(raw)
-                        w = w if w in wanted else b""
-                        if len(known) < 300_000:
-                            known[raw] = w
-                    if w:
-                        found.add(w)
-                for w in found:
-                    n[w, toxic] = n.get((w, toxic), 0) + 1
-            yield pa.record_batch([pa.array([w for w, _ in n], pa.binary()), pa.array([t for _, t in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["word", "toxic", "n"])
-
-    pairs = labelled.filter("toxic = 1").select("text").mapInArrow(contexts, "word binary, prev long, n long")
-    varied = pairs.groupBy("word", "prev").agg(F.sum("n").alias("n")).groupBy("word").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= CONTEXTS) & (F.col("c") >= VARIED * F.col("n")))
-    # a word of the lexicon stands in a good part of the toxic documents, so the few thousand most frequent words hold all of them
-    words = {bytes(r["word"]) for r in varied.orderBy(F.desc("c"), "word").limit(20_000).collect()}
-    shared = labelled.sparkSession.sparkContext.broadcast(words)
-    got = labelled.select("text", "toxic").mapInArrow(occurs, "word binary, toxic long, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    counted = labelled.select("text", "toxic").mapInArrow(occurs, "unit binary, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = (F.col("t") / max(toxic_rows, 1)) / ((F.col("c") + 0.5) / max(clean_rows, 1))
-    return {bytes(r["word"]) for r in got.filter((odds >= ODDS) & (F.col("t") >= max(CONTEXTS, SHARE * toxic_rows))).select("word").collect()}
+    # each stands in a fixed share of the toxic documents, so there are only so many, however many documents there are
+    likely = {bytes(r["unit"]) for r in counted.filter((odds >= ODDS) & (F.col("t") >= max(CONTEXTS, SHARE * toxic_rows))).select("unit").collect()}
+    shared = labelled.sparkSession.sparkContext.broadcast(likely)
+    pairs = labelled.filter("toxic = 1").select("text").mapInArrow(contexts, "unit binary, prev long, n long")
+    varied = pairs.groupBy("unit", "prev").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= CONTEXTS) & (F.col("c") >= VARIED * F.col("n")))
+    return {bytes(r["unit"]) for r in varied.select("unit").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field:
