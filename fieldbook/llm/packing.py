@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -34,11 +36,11 @@ UNDERFULL = 0.985
 PASSES = 3
 END_ID = 0
 #: Words whose ids a worker remembers, at most.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 # White space of the tokenizer, without \x1c-\x1f, which str.split() would also split on.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t\\n\\v\\f\\r \x85\xa0  -     　]+")
-_TAIL = re.compile(r"^(.*[^\W_])([.,;:!?]+)$", re.DOTALL)
+_TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?![^\s])")
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{PIECE}, sequence_id long, offset long, fill long"
@@ -52,31 +54,31 @@ class Ids(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words not yet known; those over the bound are only returned."""
-        parts: dict[str, tuple[str, ...]] = {}
-        for w in words:
-            m = _TAIL.match(w)
-            body = m[1] if m else w
-            low = body.lower() if "Σ" not in body else body
-            parts[w] = (low, m[2]) if m else (low,)
-        new = list({p for ps in parts.values() for p in ps if p not in self})
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(self) < self.most:
-            self.update(got)
-        out = {w: b"".join([got[p] if p in got else self[p] for p in ps]) for w, ps in parts.items()}
-        if len(self) < self.most:
-            self.update(out)
-        return out
+        self.tokenizer, self.most, self.extra = Tokenizer.from_file(path), most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+    def _words(self, text: str) -> list[str]:
+        """The words as the tokenizer's normalizer leaves them; a lone mark at a word's end is a word of its own."""
+        if "<|" in text:  # may hold the name of a special token, which is found before normalizing
+            return _SPACE.split(text) if _ODD.search(text) else text.split()
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")
+        text = _TAIL.sub(r" \1", text.lower())
+        return _SPACE.split(text) if _ODD.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(_SPACE.split(t) if _ODD.search(t) else t.split()) for t in texts]
-        missing = {w for ws in split for w in ws if w and w not in self}
-        extra = self.learn(missing) if missing else {}
-        extra[""] = b""
-        return [b"".join([self[w] if w in self else extra[w] for w in ws]) for ws in split]
+        split = [self._words(t) for t in texts]
+        new = list(set().union(*split) - self.keys())
+        got = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        room = self.most - len(self)
+        self.extra = got
+        if room >= len(got):
+            self.update(got)
+        return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 
 _LOADED: dict[str, Ids] = {}
