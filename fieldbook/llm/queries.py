@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, pii, secret_scan, toxicity
+from . import decontaminate, jaccard_join, language, packing, pii, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
     "op2_packing": packing.op2,
     "op3_decontaminate": decontaminate.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_language": language.op5,
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
 }
