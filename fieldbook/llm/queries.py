@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language, packing, pii, secret_scan, toxicity
+from . import decontaminate, jaccard_join, language, packing, pii, quality, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": language.op5,
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
+    "op10_quality": quality.op10,
 }
 
 ORACLE: dict[str, str] = {}
