@@ -1,7 +1,7 @@
 """Operator 3: benchmark decontamination by SimHash over item-sized windows.
 
-A benchmark item of n words is looked for in every window of n words of every whole text. Words are lower-cased and lose
-the punctuation around them; words of punctuation only don't count. A window or item is a multiset of five-word shingles
+A benchmark item of n words is looked for in every window of n words of every whole text. Words are lower-cased runs of letters and
+digits, so punctuation and case don't matter. A window or item is a multiset of five-word shingles
 (of n-word shingles where the item has n < 5 words) with weights: the rarer a shingle is among the benchmark's items, the
 more it weighs. Windows of weighted Jaccard similarity 0.75 or more are leaks.
 
@@ -20,50 +20,28 @@ repeated items each give their row. Null ids stay null. Empty tables give an emp
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read, shingle_hashes, slices, texts_of
+from .common import WordHash, mix64, read, shingle_hashes, slices, texts_of, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.75
 RADIUS = 20
 BLOCKS = 7
 #: Benchmark text sent to the tasks at once, at most about.
-BENCHMARK_BYTES = 8_000_000
-_EDGE = re.compile(rb"^[\x00-\x2f\x3a-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x60\x7b-\x7f]+$")
+BENCHMARK_BYTES = 2_000_000
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-class PlainHash(dict):
-    """raw word -> hash of the lower-cased word without punctuation around it, 0 for punctuation only; remembered up to a bound."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, raw: bytes) -> int:
-        word = _EDGE.sub(b"", raw.decode("utf-8", "replace").lower().encode())
-        h = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
-        if len(self) < self.most:
-            self[raw] = h
-        return h
-
-
-def _words(texts: list[bytes], known: PlainHash) -> tuple[np.ndarray, np.ndarray]:
-    flat, counts = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        ws = [h for h in [known[w] for w in t.split()] if h]
-        counts[i] = len(ws)
-        flat.extend(ws)
-    return np.array(flat, np.uint64), counts
+def _words(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased runs of letters, digits and other non-ASCII characters, end to end, and their number for each text."""
+    return word_hashes([t.decode("utf-8", "replace").lower().encode().translate(_PLAIN) for t in texts], known, lower=False)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -99,28 +77,29 @@ class Index:
         self.first[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.prints = np.array([int(_packed((_signs(np.array(list(b), np.uint64)) * np.array([n * self.weight_of[s] for s, n in b.items()], np.int32)[:, None]).sum(axis=0)[None])[0]) for b in self.bags], np.uint64)
         self.by_length: dict[int, np.ndarray] = {n: np.array([j for j, (_, m) in enumerate(self.items) if m == n]) for n in sorted({m for _, m in self.items})}
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for j, x in enumerate(self.prints.tolist()):
-            for at, (shift, width) in enumerate(_edges()):
-                self.blocks[self.items[j][1], at, (x >> shift) & ((1 << width) - 1)].append(j)
+        # for every length and block: which of its items are near which block values
+        self.near_values = {n: [self._near(self.prints[members], *edge) for edge in _edges()] for n, members in self.by_length.items()}
 
     def _weight(self, df: int) -> int:
         return round(16 * (1 + np.log((1 + len(self.bags)) / (1 + max(df, 1)))))
 
+    @staticmethod
+    def _near(prints: np.ndarray, shift: int, width: int) -> np.ndarray:
+        """[block values, items]: whether a value differs from the item's block in few enough bits."""
+        mine = ((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        ones = np.array([v.bit_count() for v in range(1 << width)])
+        return ones[np.arange(1 << width)[:, None] ^ mine[None]] <= RADIUS // BLOCKS
+
     def near(self, length: int, prints: np.ndarray) -> list[tuple[int, int, int]]:
         """(place in prints, item, distance) of all items of that length within the radius."""
-        found: dict[tuple[int, int], int] = {}
-        spare = RADIUS // BLOCKS
-        for at, (shift, width) in enumerate(_edges()):
-            values = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            for flips in [m for e in range(spare + 1) for m in combinations(range(width), e)]:
-                mask = sum(1 << f for f in flips)
-                for value in np.unique(values).tolist():
-                    for j in self.blocks.get((length, at, value ^ mask), ()):
-                        for i in np.flatnonzero(values == np.uint64(value)).tolist():
-                            if (i, j) not in found:
-                                found[i, j] = (int(prints[i]) ^ int(self.prints[j])).bit_count()
-        return [(i, j, d) for (i, j), d in found.items() if d <= RADIUS]
+        met = np.zeros((len(prints), len(self.by_length[length])), bool)
+        for table, (shift, width) in zip(self.near_values[length], _edges(), strict=True):
+            met |= table[((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)]
+        i, j = np.nonzero(met)
+        items = self.by_length[length][j]
+        d = np.bitwise_count(prints[i] ^ self.prints[items])
+        ok = d <= RADIUS
+        return list(zip(i[ok].tolist(), items[ok].tolist(), d[ok].tolist(), strict=True))
 
     def similarity(self, window: np.ndarray, j: int) -> float:
         bag, mine = self.bags[j], Counter(window.tolist())
@@ -157,7 +136,8 @@ class Index:
     def _leaks_of(self, shingles: np.ndarray, weight: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, float]]:
         n = len(shingles)
         hits = np.concatenate([[0], np.cumsum(hit)])
-        sums, base = None, 0
+        if hits[-1] < SIMILARITY * (min(self.by_length) - self.k + 1):
+            return
         todo = []
         for length, members in self.by_length.items():
             m = length - self.k + 1
@@ -185,7 +165,7 @@ class Index:
 
 
 def indexes(items: list[tuple[int | None, str | None]]) -> list[Index]:
-    known = PlainHash()
+    known = WordHash()
     by_k: dict[int, list] = defaultdict(list)
     for i, text in items:
         words, _ = _words([(text or "").encode()], known)
@@ -211,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = PlainHash()
+            known = WordHash()
             for b in slices(batches):
                 ids, rows = b.column("doc_id").to_pylist(), []
                 words, counts = _words(texts_of(b), known)
@@ -231,7 +211,7 @@ def reject(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = PlainHash()
+            known = WordHash()
             for b in slices(batches):
                 words, counts = _words(texts_of(b), known)
                 clean = np.ones(b.num_rows, bool)
