@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language, packing, pii, quality, secret_scan, toxicity
+from . import decontaminate, jaccard_join, language, maxent, packing, pii, quality, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.op3,
     "op4_toxicity": toxicity.op4,
     "op5_language": language.op5,
+    "op6_maxent": maxent.op6,
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_quality": quality.op10,
