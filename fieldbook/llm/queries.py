@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language, maxent, packing, pii, quality, secret_scan, toxicity
+from . import decontaminate, jaccard_join, language, maxent, packing, pii, quality, quotes, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
@@ -15,9 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4,
     "op5_language": language.op5,
     "op6_maxent": maxent.op6,
+    "op7_quotes": quotes.op7,
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_quality": quality.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_quotes": quotes.ORACLE}
