@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain(text: bytes) -> bytes:
+    """Lower case, with a blank for every ASCII character that is no letter or digit: ``split()`` then gives the plain words."""
+    return text.decode("utf-8", "replace").lower().encode().translate(_PLAIN)
+
+
 def word_hashes(texts: list[bytes], known: WordHash, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, end to end, and the number of words of each text."""
     counts = np.zeros(len(texts), np.int64)
@@ -121,16 +130,16 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
     return hashes, owner
 
 
-def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that texts of each take a bounded number of bytes (one text at least)."""
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each take a bounded number of bytes (one text at least)."""
     for b in batches:
-        at = 0
-        if b.num_rows == 0:
-            continue
-        sizes = np.array([len(t) for t in texts_of(b)]) if "text" in b.schema.names else np.zeros(b.num_rows)
+        sizes = np.zeros(b.num_rows)
+        if "text" in b.schema.names:
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        at, ends = 0, np.cumsum(sizes)
         while at < b.num_rows:
-            ends = np.cumsum(sizes[at:])
-            n = max(1, int(np.searchsorted(ends, most_bytes, side="right")))
+            before = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, before + most_bytes, side="right")) - at)
             yield b.slice(at, n)
             at += n
 

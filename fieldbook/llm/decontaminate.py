@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix64, read, shingle_hashes, slices, texts_of, word_hashes
+from .common import WordHash, mix64, plain, read, shingle_hashes, slices, texts_of, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -36,12 +36,9 @@ RADIUS = 20
 BLOCKS = 7
 #: Benchmark text sent to the tasks at once, at most about.
 BENCHMARK_BYTES = 2_000_000
-_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
 def _words(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased runs of letters, digits and other non-ASCII characters, end to end, and their number for each text."""
-    return word_hashes([t.decode("utf-8", "replace").lower().encode().translate(_PLAIN) for t in texts], known, lower=False)
+    return word_hashes([plain(t) for t in texts], known, lower=False)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:

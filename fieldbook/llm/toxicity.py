@@ -4,6 +4,7 @@
    Spark counts in how many toxic and clean documents each word and word beginning occurs and after how many different
    words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, in varied contexts (copies
    of one text don't make it varied), marks a toxic token where it stands in a toxic document.
+   Tokens are runs of letters, digits and other non-ASCII characters, lower-cased.
 2. The field has the labels O and T; its features are the word, its neighbours, its ends and its shape, hashed. It is fitted
    on at most ``FIT_ROWS`` labelled documents, half of each class, taken in hash order.
 3. Every whole text is tagged: forward-backward marginals of all tokens, exactly, as products of 2x2 matrices over blocks.
@@ -19,7 +20,6 @@ extra columns are ignored by ``tag`` and kept by ``reject``.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, read, slices, texts_of
+from .common import cut, fold_of, mix64, plain, read, slices, texts_of
 
 FIT_ROWS = 1200
 FIT_TOKENS = 400_000
@@ -43,62 +43,54 @@ SHARE = 0.01
 STEMS = (4, 6)
 BLOCK = 32
 ROUNDS = 40
-_EDGE = re.compile(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$")
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _SPANS = "array<struct<start:int,end:int,p:double>>"
 
 
-def normal(word: bytes) -> bytes:
-    return _EDGE.sub(b"", word.decode("utf-8", "replace").lower().encode())
+def _slots(words: list[bytes]) -> np.ndarray:
+    """Slots [words, 7] of the features of words: own word, first 4 and 6 bytes, last 4, shape; as the word before, as the word after."""
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    first4 = np.array(words, "S4").view("<u4").astype(np.uint64)
+    first6 = np.array(words, "S6").astype("S8").view("<u8")
+    last4 = np.array([w[-4:] for w in words], "S4").view("<u4").astype(np.uint64)
+    kinds = _KIND[np.array(words, "S12").view(np.uint8).reshape(-1, 12)].astype(np.uint64)
+    shape = kinds @ (np.uint64(4) ** np.arange(12, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        each = [mix64(x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k, x in enumerate((whole, first4, first6, last4, shape, whole, whole), 1)]
+    return (np.column_stack(each) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
 
 
-def _slot(kind: int, text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text, seed=kind) & ((1 << HASH_BITS) - 1)
-
-
-def _own_features(w: bytes) -> tuple[int, ...]:
-    shape = b"".join(b"a" if 97 <= c <= 122 or c >= 128 else b"9" if 48 <= c <= 57 else b"-" for c in w[:12])
-    return (_slot(1, w), _slot(2, w[:4]), _slot(7, w[:6]), _slot(3, w[-4:]), _slot(4, shape))
+_KIND = np.array([0 if b == 0 else 2 if 48 <= b <= 57 else 1 for b in range(256)], np.uint8)
 
 
 class Words(dict):
-    """raw word -> row of feature slots (own five, as a previous word, as a next word), up to a bounded number of rows."""
+    """word -> row of ``table``: its slots, or with weights its scores (own, as the word before, as the word after). Cleared beyond a bounded number of rows."""
 
-    def __init__(self, weights: np.ndarray | None = None, most: int = 150_000):
+    def __init__(self, weights: np.ndarray | None = None, most: int = 300_000):
         super().__init__()
-        self.weights, self.most, self.rows = weights, most, array("q" if weights is None else "f")
-
-    def row(self, raw: bytes) -> tuple:
-        w = normal(raw)
-        slots = (*_own_features(w), _slot(5, w), _slot(6, w))
-        if self.weights is None:
-            return slots
-        x = self.weights
-        return float(sum(x[s] for s in slots[:5])), float(x[slots[5]]), float(x[slots[6]])
-
-    def __missing__(self, raw: bytes) -> int:
-        at = len(self)
-        self.rows.extend(self.row(raw))
-        self[raw] = at
-        return at
-
-    def table(self) -> np.ndarray:
-        """A copy of the rows."""
-        return np.array(self.rows).reshape(len(self), -1)
+        self.weights, self.most = weights, most
+        self.table = np.zeros((0, 7), np.int64) if weights is None else np.zeros((0, 3), np.float32)
+
+    def learn(self, words: list[bytes]) -> None:
+        rows = _slots(words)
+        if self.weights is not None:
+            rows = np.column_stack([self.weights[rows[:, :5]].sum(axis=1), self.weights[rows[:, 5]], self.weights[rows[:, 6]]]).astype(np.float32)
+        self.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
+        self.table = np.concatenate([self.table, rows])
 
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-            self.rows = array(self.rows.typecode)
+            self.table = self.table[:0]
 
 
 def _tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
     words.trim()
-    counts, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
-    for i, t in enumerate(texts):
-        w = t.split()
-        counts[i] = len(w)
-        parts.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
-    return np.concatenate(parts), counts
+    split = [plain(t).split() for t in texts]
+    if new := list(set().union(*split) - words.keys()):
+        words.learn(new)
+    counts = np.array([len(w) for w in split], np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *[np.fromiter(map(words.__getitem__, w), np.int64, len(w)) for w in split]]), counts
 
 
 def _neighbours(values: np.ndarray, counts: np.ndarray, by: int) -> np.ndarray:
@@ -178,7 +170,7 @@ class Field:
         self.flat = 0.0
 
     def emissions(self, words: Words, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        own, prev, nxt = words.table()[flat].T.astype(float) if len(flat) else np.zeros((3, 0))
+        own, prev, nxt = words.table[flat].T.astype(float)
         return own + _neighbours(nxt, counts, 1) + _neighbours(prev, counts, -1) + self.bias
 
     def score(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -200,11 +192,11 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
     """Maximum likelihood of the token labels by Adagrad steps over all sequences, then the calibration by Newton steps."""
     field, words = Field(), Words()
     flat, counts = _tokens(texts, words)
-    names = {at: any(u in lexicon for u in units(normal(raw))) for raw, at in words.items()}
+    names = {at: any(u in lexicon for u in units(w)) for w, at in words.items()}
     known = np.array([names[i] for i in range(len(words))], bool)
     owner = np.repeat(np.arange(len(counts)), counts)
     y = known[flat] & toxic[owner]
-    slots = words.table()
+    slots = words.table
     own, prev, nxt = slots[flat, :5], slots[flat, 6], slots[flat, 5]
     before, after = _neighbours(prev, counts, 1), _neighbours(nxt, counts, -1)
     feats = np.column_stack([own, before, after])
@@ -246,14 +238,14 @@ def units(w: bytes) -> tuple[bytes, ...]:
 
 
 class _Units(dict):
-    """raw word -> those of its units that are wanted (all without a choice), remembered up to a bound."""
+    """word -> those of its units that are wanted (all without a choice), remembered up to a bound."""
 
     def __init__(self, wanted: set[bytes] | None = None, most: int = 200_000):
         super().__init__()
         self.wanted, self.most = wanted, most
 
     def __missing__(self, raw: bytes) -> tuple[bytes, ...]:
-        got = units(normal(raw))
+        got = units(raw)
         if self.wanted is not None:
             got = tuple(u for u in got if u in self.wanted)
         if len(self) < self.most:
@@ -269,7 +261,7 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes
         for b in slices(batches):
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for t, toxic in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
-                n[toxic == 1].update({u for raw in set(t.split()) for u in known[raw]})
+                n[toxic == 1].update({u for w in set(plain(t).split()) for u in known[w]})
             words = list(n[0].keys() | n[1].keys())
             yield pa.record_batch([pa.array(words, pa.binary()), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], ["unit", "t", "c"])
 
@@ -279,7 +271,7 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes
             pairs: Counter = Counter()
             for t in texts_of(b):
                 before = b""
-                for raw in t.split():
+                for raw in plain(t).split():
                     for u in known[raw]:
                         pairs[u, before] += 1
                     before = raw
@@ -337,7 +329,7 @@ def tag(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
                 i = int(np.searchsorted(ends, at, side="right"))
                 if i not in places:
                     text = texts[i].decode("utf-8", "replace")
-                    places = {i: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]}
+                    places = {i: [m.span() for m in _WORD.finditer(text)]}
                 s, e = places[i][int(at - ends[i] + counts[i])]
                 found[i].append({"start": s, "end": e, "p": float(p[at])})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
