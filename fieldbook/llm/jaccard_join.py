@@ -68,7 +68,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHash(), set()
-        for b in slices(batches, 16_000_000):
+        for b in slices(batches):
             hashes, sizes = sets_of(texts_of(b), known, k)
             fresh = np.zeros(len(sizes), bool)
             for i, x in enumerate(nodes_of(hashes, sizes).tolist()):
@@ -78,7 +78,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             if len(seen) > 1_000_000:
                 seen.clear()
             token, n = np.unique(hashes[np.repeat(fresh, sizes)], return_counts=True)
-            often = n >= 3
+            often = n >= 2
             yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
