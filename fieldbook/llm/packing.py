@@ -36,7 +36,7 @@ UNDERFULL = 0.985
 PASSES = 3
 END_ID = 0
 #: Words whose ids a worker remembers, at most.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 # White space of the tokenizer, without \x1c-\x1f, which str.split() would also split on.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t\\n\\v\\f\\r \x85\xa0  -     　]+")
