@@ -37,6 +37,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    spark._jvm.System.gc()  # nothing needs the shuffle files behind this table any more; they go once the driver has let go of them
     return out
 
 

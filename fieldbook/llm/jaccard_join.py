@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, cut, drop_cut, lists, mix64, read, shingle_hashes, slices, texts_of, word_hashes
@@ -121,7 +121,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             # orders 2 and 3: the lowest and highest hashes; half of each hash is enough for a filter
             from_low = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             whose = np.repeat(np.arange(len(sizes)), sizes)
-            half = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            half = ((hashes >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)  # ascending as signed numbers too
             low, high = from_low < cut_at[whose], sizes[whose] - from_low <= cut_at[whose]
 
             def masked(values: np.ndarray, kind: pa.DataType, fresh: np.ndarray = fresh, cut_at: np.ndarray = cut_at) -> pa.ListArray:
@@ -173,13 +173,26 @@ def _candidates(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFram
     """pairs(a, b, na, nb, i, j) with an order-1 token in common at places i and j -> the pairs that orders 1, 2 and 3 let pass.
 
     A common token at places i and j leaves room for min(i, j) common tokens up to it and min(na - i, nb - j) after it.
+    Under orders 2 and 3 both prefixes are complete up to the nearer of their ends, so there the common tokens are counted,
+    and only what lies beyond is unknown.
     """
+
+    def room_beyond(x: str, y: str, inside, end) -> Column:
+        """Most common tokens of two sets by one order. Two tokens of a set may share a half hash, hence the distinct count's correction."""
+        edge = end(F.col(x), F.col(y))
+        fx, fy = F.filter(x, lambda v: inside(v, edge)), F.filter(y, lambda v: inside(v, edge))
+        common = F.size(F.array_intersect(fx, fy)) + F.size(fx) - F.size(F.array_distinct(fx))
+        return common + F.least(F.col("na") - F.size(fx), F.col("nb") - F.size(fy))
+
+    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))
     room = F.least("i", "j") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-    possible = pairs.filter(F.lit(100 + percent) * room >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    possible = pairs.filter(enough(room)).select("a", "b", "na", "nb").distinct()
     nodes = prefixes.filter("low is not null").select("node", "low", "high").dropDuplicates(["node"])
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
     both = possible.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b")
+    low = room_beyond("low_a", "low_b", lambda v, e: v < e, lambda x, y: F.least(F.element_at(x, -1), F.element_at(y, -1)))
+    high = room_beyond("high_a", "high_b", lambda v, e: v > e, lambda x, y: F.greatest(x[0], y[0]))
+    return both.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).filter(enough(low) & enough(high)).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
