@@ -1 +1,41 @@
-"""Registry-analytics building blocks: plans."""
+"""Resources: parameters checked on the driver, then one DataFrame query."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+from fieldbook.operators import relational
+
+
+@dataclass(frozen=True)
+class Parameter:
+    """A query parameter: its column, its type, and whether it takes several values with | between them."""
+
+    column: str
+    kind: type = str
+    multi: bool = True
+    longest: int = 100
+
+    def parse(self, text: str) -> list:
+        if len(text) > self.longest:
+            raise ValueError(f"{self.column}: more than {self.longest} characters")
+        parts = text.split("|") if self.multi else [text]
+        return [None if p == "" else self.kind(p) for p in parts]
+
+
+@dataclass(frozen=True)
+class Resource:
+    """A table with its parameters and the key that pages are ordered by."""
+
+    key: list[str]
+    parameters: dict[str, Parameter] = field(default_factory=dict)
+
+    def query(self, df: DataFrame, given: dict[str, str], validate: bool = False) -> DataFrame:
+        unknown = given.keys() - self.parameters.keys() - {"side", "per_side"}
+        if validate and unknown:
+            raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
+        wanted = {p.column: p.parse(given[name]) for name, p in self.parameters.items() if name in given}
+        number, size = (int(given[x]) if x in given else None for x in ("side", "per_side"))
+        return relational.page(relational.where(df, wanted), self.key, number, size)

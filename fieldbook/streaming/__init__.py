@@ -1 +1,37 @@
-"""Registry-analytics building blocks: streaming."""
+"""Change feeds as streams."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from fieldbook.operators import changes
+
+
+def feed(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
+    """A stream over a growing folder of change files; the checkpoint remembers what was read."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def replicate(stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], key: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep a replica: every batch is reduced to what the replica can apply and applied. Batches may be repeated after a failure; applying one again changes nothing."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        replica = load()
+        save(changes.apply(replica, changes.for_replica(batch, replica, key, order), key))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tumbling(df: DataFrame, ts: str, width: str, by: list[str], late: str | None = None) -> DataFrame:
+    """Counts of windows of fixed width; on a stream, ``late`` bounds how long a window stays open."""
+    df = df if late is None else df.withWatermark(ts, late)
+    return df.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+
+
+def ignore_future(df: DataFrame, ts: str, now, seconds: int = 120) -> DataFrame:
+    """Events registered more than two minutes ahead of the clock are left for later."""
+    return df.filter(F.col(ts) <= now + F.make_dt_interval(secs=F.lit(float(seconds))))
