@@ -18,7 +18,9 @@ def composite_key(*parts: tuple[Column, int, str]) -> Column:
 
 
 def key_part(key: Column, start: int, width: int, filler: str = "0") -> Column:
-    return F.ltrim(F.substring(key, start, width), F.lit(filler))
+    """A part of a fixed-width key without its filler; a part of zeros only is the number zero."""
+    bare = F.ltrim(F.substring(key, start, width), F.lit(filler))
+    return F.when(bare == "", "0").otherwise(bare) if filler == "0" else bare
 
 
 def house_number(text: Column) -> Column:

@@ -36,10 +36,11 @@ UNDERFULL = 0.985
 PASSES = 3
 END_ID = 0
 #: Words whose ids a worker remembers, at most.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 # White space of the tokenizer, without \x1c-\x1f, which str.split() would also split on.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t\\n\\v\\f\\r \x85\xa0  -     　]+")
+_MARK = "\x01"
 _TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?![^\s])")
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,6 +56,9 @@ class Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer, self.most, self.extra = Tokenizer.from_file(path), most, {}
+        # a control character between blanks is a token of its own, so many words can be encoded in one text and told apart again
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def __missing__(self, word: str) -> bytes:
         return self.extra[word]
@@ -70,10 +74,24 @@ class Ids(dict):
         text = _TAIL.sub(r" \1", text.lower())
         return _SPACE.split(text) if _ODD.search(text) else text.split()
 
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        alone = [w for w in words if self.mark is None or _MARK in w]
+        rest = [w for w in words if _MARK not in w] if self.mark is not None else []
+        out = {w: array("I", e.ids).tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            at = 0
+            for w, end in zip(group, ends, strict=True):
+                out[w] = raw[at:end]
+                at = end + 4
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._words(t) for t in texts]
         new = list(set().union(*split) - self.keys())
-        got = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        got = self._encoded(new)
         room = self.most - len(self)
         self.extra = got
         if room >= len(got):

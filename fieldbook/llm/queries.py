@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10,
 }
 
-ORACLE: dict[str, str] = {"op7_quotes": quotes.ORACLE}
+ORACLE: dict[str, str] = {"op7_quotes": quotes.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}

@@ -68,7 +68,7 @@ def for_replica(batch: DataFrame, replica: DataFrame, key: list[str], order: lis
 def invalid_history(changes: DataFrame, key: list[str], order: list[str], op: str = "operation") -> DataFrame:
     """Operations that cannot follow the one before: insert after insert or update; update or delete after nothing or a delete."""
     before = F.lag(op).over(Window.partitionBy(*key).orderBy(*order))
-    alive = F.coalesce(before != "delete", F.lit(False))
+    alive = F.coalesce(F.col("previous") != "delete", F.lit(False))
     return changes.withColumn("previous", before).filter(F.when(F.col(op) == "insert", alive).otherwise(~alive))
 
 
