@@ -8,10 +8,13 @@ among the first ``n - ceil(t*n) + 1`` tokens of each, under ANY global order of
 * order 2: ascending hash, order 3: descending hash. Both prefixes must share a token too, else a candidate is dropped
   before its sets are compared exactly.
 
+Each set also has a parity sketch: every token flips one of ``SKETCH`` bits, so two sets differ in at least as many tokens
+as their sketches differ in bits. Pairs whose sketches differ in too many bits are never listed; no similar pair is lost.
+
 Texts with one and the same set are one node (64-bit digest of the set), so copies cost nothing. In a group of near
-copies each node is first compared with the three most central nodes of each of its tokens; then only pairs that are
-still in different components remain to be compared. All of those are, so no link between components is missed, while
-pairs inside a component are never listed.
+copies each node is first compared with the few central nodes it has most tokens in common with; then only pairs that
+are still in different components remain to be compared. All of those are, so no link between components is missed,
+while pairs inside a component are never listed.
 
 Null or wordless text: empty set, linked with nothing, component_id is its own doc_id. Texts of one to four words: the
 whole sequence is the one token. Repeated rows get a row each. Rows without doc_id are linked like others, and a component
@@ -36,13 +39,20 @@ WORDS = 5
 PERCENT = 75
 #: Tokens whose counts are sent to all tasks, at most: 16 bytes each.
 COMMON = 1 << 17
-PIVOTS = 3
+#: Central nodes that a node is compared with first.
+PIVOTS = 2
+#: Bits of a set's parity sketch.
+SKETCH = 512
 
 
 def prefix_size(n, percent: int = PERCENT):
     return n - (-(-n * percent // 100)) + 1
 
 
+def prefix_size_of(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100) + 1
+
+
 def sets_of(texts: list[bytes], known: WordHash, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of every text, ascending, end to end, and how many each text has."""
     words, counts = word_hashes(texts, known)
@@ -63,6 +73,19 @@ def nodes_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.array(got, np.uint64).view(np.int64)
 
 
+def sketches_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity sketches [texts, SKETCH / 64] of the sets, as int64."""
+    out = np.zeros((len(sizes), SKETCH // 64), np.uint64)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        heads = (np.cumsum(sizes) - sizes)[filled]
+        bit = np.uint64(1) << ((hashes >> np.uint64(8)) & np.uint64(63))
+        place = (hashes >> np.uint64(14)) % np.uint64(SKETCH // 64)
+        for k in range(SKETCH // 64):
+            out[filled, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), heads)
+    return out.view(np.int64)
+
+
 def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens met in most different sets, ascending, with their counts: counted within tasks, then summed over all."""
 
@@ -89,7 +112,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, node, prefix (order 1), low and high (orders 2 and 3); the three are null where the task has given them before for the same node."""
+    """doc_id, n, node, prefix (order 1), low and high (orders 2 and 3), sketch; the four are null where the task has given them before for the same node."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_tokens(docs, k))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +147,18 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             half = ((hashes >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)  # ascending as signed numbers too
             low, high = from_low < cut_at[whose], sizes[whose] - from_low <= cut_at[whose]
 
-            def masked(values: np.ndarray, kind: pa.DataType, fresh: np.ndarray = fresh, cut_at: np.ndarray = cut_at) -> pa.ListArray:
-                made = lists(values, cut_at, kind)
+            sketch = sketches_of(hashes, sizes)[fresh]
+
+            def masked(values: np.ndarray, kind: pa.DataType, counts: np.ndarray = cut_at, fresh: np.ndarray = fresh) -> pa.ListArray:
+                made = lists(values, counts, kind)
                 return pa.ListArray.from_arrays(made.offsets, made.values, mask=pa.array(~fresh))
 
             yield pa.record_batch(
-                [b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), masked(token[keep].view(np.int64), pa.int64()), masked(half[low], pa.int32()), masked(half[high], pa.int32())],
-                ["doc_id", "n", "node", "prefix", "low", "high"],
+                [b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), masked(token[keep].view(np.int64), pa.int64()), masked(half[low], pa.int32()), masked(half[high], pa.int32()), masked(sketch.ravel(), pa.int64(), np.where(fresh, SKETCH // 64, 0))],
+                ["doc_id", "n", "node", "prefix", "low", "high", "sketch"],
             )
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>, low array<int>, high array<int>"), "prefixes")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>, low array<int>, high array<int>, sketch array<long>"), "prefixes")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -169,10 +194,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _candidates(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, na, nb, i, j) with an order-1 token in common at places i and j -> the pairs that orders 1, 2 and 3 let pass.
+def _enough(most: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether sets of na and nb tokens, at most ``most`` of them common, can be similar enough."""
+    return F.lit(100 + percent) * most >= F.lit(percent) * (na + nb)
+
+
+def _sketch_room(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """Most common tokens of two sets by their sketches."""
+    apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return F.floor((na + nb - apart) / 2)
+
+
+def _candidates(possible: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """possible(a, b, na, nb), which order 1 lets pass -> the pairs that orders 2 and 3 let pass too.
 
-    A common token at places i and j leaves room for min(i, j) common tokens up to it and min(na - i, nb - j) after it.
     Under orders 2 and 3 both prefixes are complete up to the nearer of their ends, so there the common tokens are counted,
     and only what lies beyond is unknown.
     """
@@ -184,10 +219,9 @@ def _candidates(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFram
         common = F.size(F.array_intersect(fx, fy)) + F.size(fx) - F.size(F.array_distinct(fx))
         return common + F.least(F.col("na") - F.size(fx), F.col("nb") - F.size(fy))
 
-    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    room = F.least("i", "j") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-    possible = pairs.filter(enough(room)).select("a", "b", "na", "nb").distinct()
-    nodes = prefixes.filter("low is not null").select("node", "low", "high").dropDuplicates(["node"])
+    enough = lambda most: _enough(most, F.col("na"), F.col("nb"), percent)
+    wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
+    nodes = prefixes.filter("low is not null").select("node", "low", "high").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
     both = possible.join(side("a"), "a").join(side("b"), "b")
     low = room_beyond("low_a", "low_b", lambda v, e: v < e, lambda x, y: F.least(F.element_at(x, -1), F.element_at(y, -1)))
@@ -211,25 +245,36 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, p
     by_token = Window.partitionBy("token")
     postings = prefixes.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "token"))
     shared = cut(postings.select("*", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi")).filter("lo <> hi").select("token", "node", "n", (F.col("at") + 1).alias("at")).distinct(), "postings")
-    # central nodes have the largest part of their prefix in common with others
-    share = shared.groupBy("node").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
-    ranked = cut(shared.join(share, "node").withColumn("rank", F.row_number().over(by_token.orderBy(F.desc("share"), "node"))), "ranked")
-    drop_cut(shared)
-    size_ok = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    turned = F.col("a.node") < F.col("b.node")
-    pair = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, two in (("node", "a b"), ("n", "na nb"), ("at", "i j")) for (x, y), name in zip(("ab", "ba"), two.split(), strict=True)]
-    same = F.col("a.token") == F.col("b.token")
-    first = cut(_candidates(ranked.filter(F.col("rank") <= PIVOTS).alias("a").join(ranked.alias("b"), same & (F.col("a.rank") < F.col("b.rank")) & size_ok).select(*pair), prefixes, percent), "pairs")
-    links = _verified(docs, first, nodes, k, percent)
+    sketches = cut(prefixes.filter("sketch is not null").select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    # central nodes have the largest part of their prefix in common with others; every node is first compared with the central nodes of its tokens
+    share = shared.groupBy("node").agg((F.count("*") / prefix_size_of(F.first("n"), percent)).alias("share"))
+    central = shared.join(share, "node").groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("pivot"))
+    met = shared.join(central, "token").filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    best = met.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "pivot"))).filter(F.col("k") <= PIVOTS)
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    fits = _enough(_sketch_room(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")), F.col("na"), F.col("nb"), percent)
+    size_ok = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    tried = cut(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").filter(size_ok & fits).select("a", "b", "na", "nb"), "pairs")
+    links = _verified(docs, cut(_candidates(tried, prefixes, percent), "pairs"), nodes, k, percent)
     labels = cut(components(links), "labels")
-    # what is left: nodes of one token in different components, neither of them a pivot there
-    labelled = ranked.filter(F.col("rank") > PIVOTS).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # what is left: nodes of one token in different components
+    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    rest = cut(labelled.join(open_tokens, "token", "left_semi").select("token", "node", "n", "at", "label"), "rest")
+    rest = cut(labelled.join(open_tokens, "token", "left_semi").join(sketches.select("node", "sketch"), "node").select("token", "node", "n", "at", "label", "sketch"), "rest")
+    drop_cut(shared)
     major = rest.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
     minor = rest.join(major, "token").filter("label <> major")
     others = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("a.major")) | (F.col("a.node") < F.col("b.node")))
-    second = cut(_candidates(minor.alias("a").join(rest.alias("b"), same & others & size_ok).select(*pair), prefixes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    na, nb = F.col("a.n"), F.col("b.n")
+    similar = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    # a common token at places i and j leaves room for min(i, j) common tokens up to it and min(na - i, nb - j) after it
+    similar &= _enough(F.least("a.at", "b.at") + F.least(na - F.col("a.at"), nb - F.col("b.at")), na, nb, percent)
+    similar &= _enough(_sketch_room(F.col("a.sketch"), F.col("b.sketch"), na, nb), na, nb, percent)
+    turned = F.col("a.node") < F.col("b.node")
+    pair = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, two in (("node", "a b"), ("n", "na nb")) for (x, y), name in zip(("ab", "ba"), two.split(), strict=True)]
+    left = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & others & similar).select(*pair).distinct()
+    untried = cut(left.join(tried, ["a", "b"], "left_anti"), "pairs")
+    second = cut(_candidates(untried, prefixes, percent), "pairs")
     return components(links.union(_verified(docs, second, nodes, k, percent)))
 
 
