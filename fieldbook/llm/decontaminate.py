@@ -36,6 +36,8 @@ RADIUS = 20
 BLOCKS = 7
 #: Benchmark text sent to the tasks at once, at most about.
 BENCHMARK_BYTES = 2_000_000
+
+
 def _words(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased runs of letters, digits and other non-ASCII characters, end to end, and their number for each text."""
     return word_hashes([plain(t) for t in texts], known, lower=False)

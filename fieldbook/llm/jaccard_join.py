@@ -38,7 +38,9 @@ from .graph import components
 WORDS = 5
 PERCENT = 75
 #: Tokens whose counts are sent to all tasks, at most: 16 bytes each.
-COMMON = 1 << 17
+COMMON = 1 << 18
+#: Bits by which a counting task knows tokens of its earlier slices.
+SEEN = 1 << 27
 #: Central nodes that a node is compared with first.
 PIVOTS = 2
 #: Bits of a set's parity sketch.
@@ -87,10 +89,14 @@ def sketches_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens met in most different sets, ascending, with their counts: counted within tasks, then summed over all."""
+    """The tokens met in most different sets, ascending, with their counts: counted within tasks, then summed over all.
+
+    A task passes on the tokens that it meets twice or more, which a bit table of fixed size tells. Single ones are left
+    out, so counts may be low by one for each task; they only decide how useful order 1 is.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHash(), set()
+        known, seen, met = WordHash(), set(), np.zeros(SEEN // 8, np.uint8)
         for b in slices(batches):
             hashes, sizes = sets_of(texts_of(b), known, k)
             fresh = np.zeros(len(sizes), bool)
@@ -101,7 +107,9 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             if len(seen) > 1_000_000:
                 seen.clear()
             token, n = np.unique(hashes[np.repeat(fresh, sizes)], return_counts=True)
-            often = n >= 2
+            byte, bit = ((token >> np.uint64(3)) % np.uint64(SEEN // 8)).astype(np.int64), np.uint8(1) << (token & np.uint64(7)).astype(np.uint8)
+            often = (n >= 2) | (met[byte] & bit > 0)
+            np.bitwise_or.at(met, byte, bit)
             yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -271,8 +279,13 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, p
     similar &= _enough(F.least("a.at", "b.at") + F.least(na - F.col("a.at"), nb - F.col("b.at")), na, nb, percent)
     similar &= _enough(_sketch_room(F.col("a.sketch"), F.col("b.sketch"), na, nb), na, nb, percent)
     turned = F.col("a.node") < F.col("b.node")
-    pair = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, two in (("node", "a b"), ("n", "na nb")) for (x, y), name in zip(("ab", "ba"), two.split(), strict=True)]
-    left = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & others & similar).select(*pair).distinct()
+    pair = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, two in (("node", "a b"), ("n", "na nb"), ("at", "i j")) for (x, y), name in zip(("ab", "ba"), two.split(), strict=True)]
+    met = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & others & similar).select(*pair)
+    # every common token of two prefixes is a row here, so up to the nearer prefix's end the common tokens are counted, and only what lies beyond is unknown
+    counted = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    na, nb = F.col("na"), F.col("nb")
+    beyond = F.greatest(F.least(na - prefix_size_of(na, percent), nb - F.col("j")), F.least(na - F.col("i"), nb - prefix_size_of(nb, percent)))
+    left = cut(counted.filter(_enough(F.col("c") + beyond, na, nb, percent)).select("a", "b", "na", "nb"), "pairs")
     untried = cut(left.join(tried, ["a", "b"], "left_anti"), "pairs")
     second = cut(_candidates(untried, prefixes, percent), "pairs")
     return components(links.union(_verified(docs, second, nodes, k, percent)))
