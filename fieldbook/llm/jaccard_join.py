@@ -43,7 +43,7 @@ COMMON = 1 << 18
 SEEN = 1 << 27
 #: Central nodes that a node is compared with first.
 PIVOTS = 2
-#: Bits of a set's parity sketch.
+#: Bits of a set's parity sketch: eight numbers of 64 bits, chosen by the three highest bits of a token.
 SKETCH = 512
 
 
@@ -78,13 +78,11 @@ def nodes_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def sketches_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Parity sketches [texts, SKETCH / 64] of the sets, as int64."""
     out = np.zeros((len(sizes), SKETCH // 64), np.uint64)
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        heads = (np.cumsum(sizes) - sizes)[filled]
-        bit = np.uint64(1) << ((hashes >> np.uint64(8)) & np.uint64(63))
-        place = (hashes >> np.uint64(14)) % np.uint64(SKETCH // 64)
-        for k in range(SKETCH // 64):
-            out[filled, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), heads)
+    if len(hashes):
+        # the highest bits choose the number, so in ascending sets the tokens of one number lie together
+        slot = np.repeat(np.arange(len(sizes)) * (SKETCH // 64), sizes) + (hashes >> np.uint64(61)).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        out.ravel()[slot[heads]] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), heads)
     return out.view(np.int64)
 
 
@@ -109,7 +107,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             token, n = np.unique(hashes[np.repeat(fresh, sizes)], return_counts=True)
             byte, bit = ((token >> np.uint64(3)) % np.uint64(SEEN // 8)).astype(np.int64), np.uint8(1) << (token & np.uint64(7)).astype(np.uint8)
             often = (n >= 2) | (met[byte] & bit > 0)
-            np.bitwise_or.at(met, byte, bit)
+            met[byte] |= bit  # where two tokens of a slice share a byte, one may go unnoted
             yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -121,10 +119,14 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, node, prefix (order 1), low and high (orders 2 and 3), sketch; the four are null where the task has given them before for the same node."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common_tokens(docs, k))
+    token, n = _common_tokens(docs, k)
+    maybe = np.zeros(1 << 22, bool)
+    maybe[(token >> np.uint64(42)).astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast((token, n, np.packbits(maybe)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
+        common, often, packed = shared.value
+        maybe = np.unpackbits(packed).astype(bool)
         known, seen = WordHash(), set()
         for b in slices(batches):
             hashes, sizes = sets_of(texts_of(b), known, k)
@@ -141,8 +143,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             # order 1: how common (0 if not counted as common), then a hash unrelated to the other orders
             rank = np.zeros(len(token), np.uint64)
             if len(common) and len(token):
-                at = np.minimum(np.searchsorted(common, token), len(common) - 1)
-                rank = np.where(common[at] == token, often[at], 0).astype(np.uint64)
+                hit = np.flatnonzero(maybe[(token >> np.uint64(42)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(common, token[hit]), len(common) - 1)
+                rank[hit] = np.where(common[at] == token[hit], often[at], 0)
             order = np.lexsort((mix64(token ^ np.uint64(0xD1B54A32D192ED03)), rank, owner))
             token, owner = token[order], owner[order]
             own = np.where(fresh, sizes, 0)
