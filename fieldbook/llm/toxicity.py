@@ -2,8 +2,10 @@
 
 1. Token labels. The labels are per document, so tokens are labelled from a distance: over ALL labelled training documents
    Spark counts in how many toxic and clean documents each word and word beginning occurs and after how many different
-   words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, in varied contexts (copies
-   of one text don't make it varied), marks a toxic token where it stands in a toxic document.
+   words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, significantly so and in
+   varied contexts (copies of one text don't make it varied), marks a toxic token where it stands in a toxic document.
+   Neither test depends on the size of the input: variety is the number of different words before ``DRAWS`` of its
+   occurrences, expected over all choices of these. At most ``LEXICON`` units, the most significant, are sent to the tasks.
    Tokens are runs of letters, digits and other non-ASCII characters, lower-cased.
 2. The field has the labels O and T; its features are the word, its neighbours, its ends and its shape, hashed. It is fitted
    on at most ``FIT_ROWS`` labelled documents, half of each class, taken in hash order.
@@ -19,6 +21,7 @@ extra columns are ignored by ``tag`` and kept by ``reject``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,8 +40,12 @@ HASH_BITS = 18
 THRESHOLD = 0.7
 #: A toxic token: at least so many times likelier in toxic documents, after so many different words at least, and so varied.
 ODDS, CONTEXTS, VARIED = 20.0, 5, 0.3
-#: The part of the toxic documents that a toxic word stands in, at least.
-SHARE = 0.01
+#: Occurrences among which variety is measured, however many there are.
+DRAWS = 50
+#: Chance that any unit at all passes the test of significance without being likelier in toxic documents, at most.
+CHANCE = 0.01
+#: Units sent to the tasks, at most.
+LEXICON = 200_000
 #: Lengths of the word beginnings that count as units, in bytes.
 STEMS = (4, 6)
 BLOCK = 32
@@ -253,6 +260,19 @@ class _Units(dict):
         return got
 
 
+def varied(times: list[tuple[int, int]]) -> bool:
+    """Whether a unit's contexts are varied. times: (n, k), k different words stand before n of its occurrences each.
+
+    The words expected before m of all occurrences, drawn without replacement, have a mean that doesn't depend on the number of occurrences.
+    """
+    total = sum(n * k for n, k in times)
+    m = min(total, DRAWS)
+    log_choose = lambda n: math.lgamma(n + 1) - math.lgamma(n - m + 1)
+    none = log_choose(total)
+    expected = sum(k * (1 - (math.exp(log_choose(total - n) - none) if total - n >= m else 0.0)) for n, k in times)
+    return sum(k for _, k in times) >= CONTEXTS and expected >= VARIED * m
+
+
 def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes]:
     """Units of toxic tokens, from counts over all labelled rows (doc_id, text, toxic)."""
 
@@ -278,13 +298,24 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes
             yield pa.record_batch([pa.array([u for u, _ in pairs], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(p) >> 1 for _, p in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64())], ["unit", "prev", "n"])
 
     counted = labelled.select("text", "toxic").mapInArrow(occurs, "unit binary, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = cut(counted.filter(F.col("t") > 0), "toxic-units")
     odds = (F.col("t") / max(toxic_rows, 1)) / ((F.col("c") + 0.5) / max(clean_rows, 1))
-    # each stands in a fixed share of the toxic documents, so there are only so many, however many documents there are
-    likely = {bytes(r["unit"]) for r in counted.filter((odds >= ODDS) & (F.col("t") >= max(CONTEXTS, SHARE * toxic_rows))).select("unit").collect()}
+    # Chernoff's bound on the chance of t toxic ones among t + c documents, for all units tested together
+    base, n = toxic_rows / (toxic_rows + clean_rows), F.col("t") + F.col("c")
+    surprise = F.col("t") * F.log(F.col("t") / (n * base)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - base)))).otherwise(0.0)
+    least = math.log(max(counted.count(), 1) / CHANCE)
+    sure = counted.withColumn("surprise", surprise).filter((odds >= ODDS) & (F.col("t") >= CONTEXTS) & (F.col("surprise") >= least))
+    likely = {bytes(r["unit"]) for r in sure.orderBy(F.desc("surprise"), "unit").limit(LEXICON).select("unit").collect()}
     shared = labelled.sparkSession.sparkContext.broadcast(likely)
     pairs = labelled.filter("toxic = 1").select("text").mapInArrow(contexts, "unit binary, prev long, n long")
-    varied = pairs.groupBy("unit", "prev").agg(F.sum("n").alias("n")).groupBy("unit").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= CONTEXTS) & (F.col("c") >= VARIED * F.col("n")))
-    return {bytes(r["unit"]) for r in varied.select("unit").collect()}
+    times = pairs.groupBy("unit", "prev").agg(F.sum("n").alias("n")).groupBy("unit", "n").agg(F.count("*").alias("k")).groupBy("unit").agg(F.collect_list(F.struct("n", "k")).alias("times"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [varied([(x["n"], x["k"]) for x in t]) for t in b.column("times").to_pylist()]
+            yield b.select(["unit"]).filter(pa.array(kept, pa.bool_()))
+
+    return {bytes(r["unit"]) for r in times.mapInArrow(choose, "unit binary").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field:

@@ -163,6 +163,18 @@ def test_toxic_documents_are_found_in_held_out_rows(spark):
         assert all(re.fullmatch(r"[0-9A-Za-z\x80-\U0010ffff]+", texts[r.doc_id][s.start : s.end]) for s in r.spans)
 
 
+def test_toxic_words_stay_known_however_large_the_input(spark):
+    rng = random.Random(6)
+    before = [f"p{i}" for i in range(40)]
+    toxic = [" ".join([rng.choice(before), "grimbly", *(f"u{rng.randrange(10**6)}" for _ in range(5))]) for _ in range(60)]
+    rows = [(t, 1) for t in toxic] + [("a copied line of words zubzub", 1)] * 60 + [(f"clean {rng.choice(before)} words u{rng.randrange(10**6)}", 0) for _ in range(600)]
+    for times in (1, 40):
+        labelled = spark.createDataFrame(rows * times, "text string, toxic long").repartition(8)
+        found = toxicity._lexicon(labelled, 120 * times, 600 * times)
+        assert b"grimbly" in found and b"zubzub" not in found
+    assert toxicity.varied([(500, 40)]) and not toxicity.varied([(10**6, 4)]) and not toxicity.varied([(10**6, 1), (1, 9)])
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows):
     labels = spark.createDataFrame([(4, 0, 1), (4, 1, 1), (8, None, 1), (None, 1, 1), (7, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.limit(0)):
