@@ -8,7 +8,9 @@
    occurrences, expected over all choices of these. At most ``LEXICON`` units, the most significant, are sent to the tasks.
    Tokens are runs of letters, digits and other non-ASCII characters, lower-cased.
 2. The field has the labels O and T; its features are the word, its neighbours, its ends and its shape, hashed. It is fitted
-   on at most ``FIT_ROWS`` labelled documents, half of each class, taken in hash order.
+   on at most ``FIT_ROWS`` labelled documents, half of each class, taken whole in hash order. A document that would bring
+   its class over half of ``FIT_TOKENS`` (about, at 6 bytes each) is passed over and the next ones are tried; where none
+   fits, the class's shortest stands in. The gradient is summed over batches of about ``BATCH`` tokens.
 3. Every whole text is tagged: forward-backward marginals of all tokens, exactly, as products of 2x2 matrices over blocks.
    The marginals give the offending spans (offsets in code points) and, through a logistic calibration fitted on the same
    bounded rows and set to the class sizes over all labelled rows, the document's score.
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import cut, fold_of, mix64, plain, read, slices, texts_of
 
 FIT_ROWS = 1200
-FIT_TOKENS = 400_000
+FIT_TOKENS = 2_000_000
+BATCH = 100_000
 HASH_BITS = 18
 THRESHOLD = 0.7
 #: A toxic token: at least so many times likelier in toxic documents, after so many different words at least, and so varied.
@@ -197,36 +200,43 @@ def _summary(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share: float) -> Field:
     """Maximum likelihood of the token labels by Adagrad steps over all sequences, then the calibration by Newton steps."""
-    field, words = Field(), Words()
-    flat, counts = _tokens(texts, words)
-    names = {at: any(u in lexicon for u in units(w)) for w, at in words.items()}
-    known = np.array([names[i] for i in range(len(words))], bool)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    y = known[flat] & toxic[owner]
-    slots = words.table
-    own, prev, nxt = slots[flat, :5], slots[flat, 6], slots[flat, 5]
-    before, after = _neighbours(prev, counts, 1), _neighbours(nxt, counts, -1)
-    feats = np.column_stack([own, before, after])
-    before_y = _neighbours(y.astype(np.int64), counts, 1)
+    field, batches, at = Field(), [], 0
+    size = np.cumsum([len(t) // 6 + 1 for t in texts])
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")) - at)
+        words = Words()
+        flat, counts = _tokens(texts[at : at + n], words)
+        names = {i: any(u in lexicon for u in units(w)) for w, i in words.items()}
+        known = np.array([names[i] for i in range(len(words))], bool)
+        y = known[flat] & np.repeat(toxic[at : at + n], counts)
+        batches.append((words.table.astype(np.int32), flat.astype(np.int32), counts, y))
+        at += n
+
+    def features(slots: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        before, after = _neighbours(slots[flat, 6], counts, 1), _neighbours(slots[flat, 5], counts, -1)
+        return np.column_stack([slots[flat, :5], before, after])
+
     size, g2, tg2, bg2 = 1 << HASH_BITS, np.full(1 << HASH_BITS, 1e-3), np.full((2, 2), 1e-3), 1e-3
     for _ in range(ROUNDS):
-        emit = field.weights[feats].sum(axis=1) + field.bias
-        p = marginals(emit, counts, field.trans)
-        gap = y - p
-        grad = np.bincount(feats.ravel(), weights=np.repeat(gap, 7), minlength=size) - 0.02 * field.weights
+        grad, bias, tg = -0.02 * field.weights, 0.0, -0.02 * field.trans
+        for slots, flat, counts, y in batches:
+            feats = features(slots, flat, counts)
+            p = marginals(field.weights[feats].sum(axis=1) + field.bias, counts, field.trans)
+            gap = y - p
+            grad += np.bincount(feats.ravel(), weights=np.repeat(gap, 7), minlength=size)
+            bias += gap.sum()
+            # expected transitions under the product of neighbouring marginals: a mean-field step, as labels are far apart
+            before_y, prev_p = _neighbours(y.astype(np.int64), counts, 1), _neighbours(p, counts, 1)
+            want = np.array([[((1 - before_y) * (1 - y)).sum(), ((1 - before_y) * y).sum()], [(before_y * (1 - y)).sum(), (before_y * y).sum()]])
+            have = np.array([[((1 - prev_p) * (1 - p)).sum(), ((1 - prev_p) * p).sum()], [(prev_p * (1 - p)).sum(), (prev_p * p).sum()]])
+            tg += want - have
         g2 += grad**2
         field.weights += 0.5 * grad / np.sqrt(g2)
-        bias = gap.sum()
         bg2 += bias**2
         field.bias += 0.5 * bias / np.sqrt(bg2)
-        # expected transitions under the product of neighbouring marginals: a mean-field step, as labels are far apart
-        prev_p = _neighbours(p, counts, 1)
-        want = np.array([[((1 - before_y) * (1 - y)).sum(), ((1 - before_y) * y).sum()], [(before_y * (1 - y)).sum(), (before_y * y).sum()]])
-        have = np.array([[((1 - prev_p) * (1 - p)).sum(), ((1 - prev_p) * p).sum()], [(prev_p * (1 - p)).sum(), (prev_p * p).sum()]])
-        tg = want - have - 0.02 * field.trans
         tg2 += tg**2
         field.trans += 0.1 * tg / np.sqrt(tg2)
-    x = _summary(marginals(field.weights[feats].sum(axis=1) + field.bias, counts, field.trans), counts)
+    x = np.concatenate([_summary(marginals(field.weights[features(s, f, c)].sum(axis=1) + field.bias, c, field.trans), c) for s, f, c, _ in batches])
     t, w = toxic.astype(float), np.zeros(4)
     for _ in range(25):
         q = 1 / (1 + np.exp(-(x @ w)))
@@ -318,7 +328,25 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> set[bytes
     return {bytes(r["unit"]) for r in times.mapInArrow(choose, "unit binary").collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field:
+def _sample(labelled: DataFrame, rows: int, most_tokens: int) -> list[bytes]:
+    """At most so many whole texts, in hash order, of about so many tokens together; what doesn't fit is passed over."""
+    sizes = labelled.select("h", F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 6).alias("n"))
+    picked, room = Counter(), most_tokens
+    for r in sizes.filter(F.col("n") <= most_tokens).orderBy("h").limit(rows).collect():
+        if r["n"] <= room:
+            picked[r["h"]] += 1
+            room -= r["n"]
+    if not picked:
+        picked[sizes.orderBy("n", "h").first()["h"]] = 1
+    out = []
+    for r in sorted(labelled.filter(F.col("h").isin(*picked)).select("h", "text").toLocalIterator(), key=lambda r: r["h"]):
+        if picked[r["h"]]:
+            picked[r["h"]] -= 1
+            out.append((r["text"] or "").encode())
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_tokens: int = FIT_TOKENS) -> Field:
     """The field, from docs(doc_id, text) and labels(doc_id, toxic); the caller chooses the rows it may learn from."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     labelled = cut(docs.select("doc_id", "text").filter("doc_id is not null").join(marks, "doc_id").withColumn("h", F.xxhash64("text", "doc_id")), "labelled")
@@ -329,15 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field:
         out.flat = pos / max(pos + neg, 1)
         return out
     lexicon = _lexicon(labelled, pos, neg)
-    sample = []
-    for toxic in (1, 0):
-        at = 0
-        for r in labelled.filter(F.col("toxic") == toxic).orderBy("h", "doc_id").select("text").limit(rows // 2).toLocalIterator():
-            text = (r["text"] or "").encode()
-            at += len(text) // 6
-            if at > FIT_TOKENS // 2 and sample and sample[-1][1] == toxic:
-                break
-            sample.append((text, toxic))
+    sample = [(t, toxic) for toxic in (1, 0) for t in _sample(labelled.filter(F.col("toxic") == toxic), rows // 2, most_tokens // 2)]
     return _fit_field([t for t, _ in sample], np.array([y == 1 for _, y in sample]), lexicon, pos / (pos + neg))
 
 

@@ -175,6 +175,21 @@ def test_toxic_words_stay_known_however_large_the_input(spark):
     assert toxicity.varied([(500, 40)]) and not toxicity.varied([(10**6, 4)]) and not toxicity.varied([(10**6, 1), (1, 9)])
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    rows = [(h, "word " * 40, 1) for h in range(20) if h != 1] + [(1, "word " * 4000, 1)]
+    labelled = spark.createDataFrame(rows, "h long, text string, toxic long")
+    assert len(toxicity._sample(labelled, 20, 3000)) == 19
+    assert len(toxicity._sample(labelled, 20, 5000)) == 20 and len(toxicity._sample(labelled, 7, 5000)) == 7
+    assert toxicity._sample(labelled, 20, 10) == [b"word " * 40]
+    texts, toxic = [b"a fine day %d" % i if i % 2 else b"a grimbly day %d" % i for i in range(200)], np.arange(200) % 2 == 0
+    whole, toxicity.BATCH = toxicity._fit_field(texts, toxic, {b"grimbly"}, 0.5), 50
+    try:
+        cut = toxicity._fit_field(texts, toxic, {b"grimbly"}, 0.5)
+    finally:
+        toxicity.BATCH = 100_000
+    assert np.allclose(whole.weights, cut.weights) and np.allclose(whole.calibration, cut.calibration)
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows):
     labels = spark.createDataFrame([(4, 0, 1), (4, 1, 1), (8, None, 1), (None, 1, 1), (7, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.limit(0)):
