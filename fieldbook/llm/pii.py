@@ -5,8 +5,9 @@
 3. Each candidate gets format features (lengths, kinds of characters, groups) and context features (neighbouring
    characters, cue words within 40 code points before it). The validators of the base rules (Luhn, part sizes) are no features.
 4. Gradient-boosted trees learn from weak labels: 1 where a candidate covers a base span, 0 elsewhere. They are fitted on
-   at most ``FIT_ROWS`` distinct candidates, taken in hash order over the whole corpus; a quarter of them is held out.
-5. Per generator, the lowest score whose held-out precision reaches ``PRECISION`` is the threshold. Candidates at or over it
+   at most ``FIT_ROWS`` distinct candidates of each generator, taken in hash order over the whole corpus. A quarter of all
+   distinct candidates, by hash, is held out and never fitted.
+5. Per generator, the lowest score whose precision over ALL held-out candidates reaches ``PRECISION`` is the threshold. Candidates at or over it
    that touch no base span are added to the result. A generator with too few held-out positives adds nothing.
 
 The trees become nested CASE expressions, so scoring is one projection without a shuffle.
@@ -131,15 +132,17 @@ class Boosted:
 
 def fit(proposed: DataFrame, rows: int = FIT_ROWS, precision: float = PRECISION) -> Boosted:
     flat = proposed.filter(F.size("cands") > 0).select(F.explode("cands").alias("h")).select("h.kind", "h.s", "h.label", "h.x")
-    distinct = flat.groupBy("kind", "s").agg(F.max("label").alias("label"), F.min("x").alias("x")).withColumn("h", F.xxhash64("s", "kind"))
-    sample = cut(distinct.orderBy("h", "kind", "s").limit(rows).select("kind", "h", "label", "x"), "pii-sample")
+    flat = flat.withColumn("h", F.xxhash64("s", "kind"))
+    held = F.pmod(F.col("h"), F.lit(4)) == 0
+    distinct = lambda part: part.groupBy("kind", "s", "h").agg(F.max("label").alias("label"), F.min("x").alias("x"))
+    each = [distinct(flat.filter(~held & (F.col("kind") == kind))).orderBy("h", "s").limit(rows).select("kind", "h", "label", "x") for kind in GENERATORS]
+    sample = cut(reduce(DataFrame.unionByName, each), "pii-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2 or min(seen.values()) < 10:
         return Boosted()
-    held = F.pmod(F.col("h"), F.lit(4)) == 0
-    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=15, maxDepth=3, stepSize=0.3, seed=7).fit(sample.filter(~held).select(array_to_vector("x").alias("v"), F.col("label").cast("double").alias("y")).coalesce(2))
+    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=15, maxDepth=3, stepSize=0.3, seed=7).fit(sample.select(array_to_vector("x").alias("v"), F.col("label").cast("double").alias("y")).coalesce(2))
     out = Boosted([t._call_java("rootNode") for t in model.trees], list(model.treeWeights))
-    bins = sample.filter(held).select("kind", "label", F.floor(out.score(F.col("x")) * 1000).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
+    bins = distinct(flat.filter(held)).select("kind", "label", F.floor(out.score(F.col("x")) * 1000).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
     for kind in GENERATORS:
         pos = n = 0
         for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):

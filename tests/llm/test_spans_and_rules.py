@@ -96,6 +96,14 @@ def test_pii_model_adds_and_redacts(spark):
         assert r.text == want + texts[r.doc_id][at:] and r.n_chars == len(r.text)
 
 
+def test_thresholds_come_from_all_held_out_candidates(spark):
+    rng = random.Random(12)
+    text = lambda i: f"ip host 10.{i % 250}.{i // 250}.{rng.randrange(250)} of the server" if i % 20 == 0 else f"version {rng.randrange(300, 9999)}.{i}.{rng.randrange(10**5)}.{rng.randrange(300, 999)} of a part"
+    proposed = pii._proposed(documents(spark, [(i, text(i)) for i in range(6000)]), [pii.F.col("doc.doc_id")])
+    # the sample alone holds fewer than LEAST_POSITIVES held-out positives
+    assert "dotted_like" in pii.fit(proposed, rows=1200).thresholds
+
+
 def test_odd_rows(spark, odd, odd_rows):
     for f in (secret_scan.scan, pii.scan, quality.rate):
         assert f(odd).count() == len(odd_rows)
