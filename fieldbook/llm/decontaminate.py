@@ -3,7 +3,7 @@
 A benchmark item of n words is looked for in every window of n words of every whole text. Words are lower-cased runs of letters and
 digits, so punctuation and case don't matter. A window or item is a multiset of five-word shingles
 (of n-word shingles where the item has n < 5 words) with weights: the rarer a shingle is among the benchmark's items, the
-more it weighs. Windows of weighted Jaccard similarity 0.75 or more are leaks.
+more it weighs. Windows of weighted Jaccard similarity 0.75 or more are leaks. A text shorter than the item is one window.
 
 * A window that similar has at least three quarters of its shingles in the benchmark, so others are skipped without loss.
 * Windows get 64-bit SimHashes from running sums of the shingles' signed bits, so all windows of all lengths are cheap.
@@ -11,7 +11,9 @@ more it weighs. Windows of weighted Jaccard similarity 0.75 or more are leaks.
   ``RADIUS // BLOCKS`` bits in one block at least, so probing all block values that near finds every fingerprint within the radius.
 * Candidates, nearest first, are compared exactly; a document gets one row per item it leaks.
 
-The benchmark is taken in blocks of bounded size, each sent to all tasks; documents are only read, never shuffled.
+The benchmark is taken in blocks of bounded size, each sent to all tasks; documents are only read, never shuffled. Shingles
+are counted over the whole benchmark, and with each block go those of several items (20 bytes each), so verdicts don't
+depend on the blocks.
 
 Null or empty text leaks nothing, and null or wordless items are never found. Repeated documents give a row each per item;
 repeated items each give their row. Null ids stay null. Empty tables give an empty result. Extra columns are ignored by
@@ -62,25 +64,31 @@ def _edges() -> list[tuple[int, int]]:
 class Index:
     """Items of one shingle size: shingle weights, fingerprints, and the items behind every block value."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], k: int):
-        self.k = k
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], k: int, total: int | None = None, shared: dict[int, int] | None = None):
+        """total: items of this shingle size in the whole benchmark; shared: shingles of several of them, and of how many. Without these the items are the benchmark."""
+        self.k, self.total = k, len(items) if total is None else total
         self.items = [(i, len(w)) for i, w in items]
         shingles, owner = shingle_hashes(np.concatenate([w for _, w in items]), np.array([len(w) for _, w in items]), k)
         self.bags = [Counter(shingles[owner == j].tolist()) for j in range(len(items))]
-        seen = Counter(s for bag in self.bags for s in bag)
+        seen = Counter(s for bag in self.bags for s in bag) if shared is None else dict.fromkeys((s for bag in self.bags for s in bag), 1) | shared
         self.heaviest = self._weight(0)
         self.known = np.array(sorted(seen), np.uint64)
         self.weights = np.array([self._weight(seen[s]) for s in self.known.tolist()], np.int32)
-        self.weight_of = dict(zip(self.known.tolist(), self.weights.tolist(), strict=True))
         self.first = np.zeros(1 << 20, bool)
         self.first[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.array([int(_packed((_signs(np.array(list(b), np.uint64)) * np.array([n * self.weight_of[s] for s, n in b.items()], np.int32)[:, None]).sum(axis=0)[None])[0]) for b in self.bags], np.uint64)
+        loads = [np.array(list(b.values()), np.int32) * self._weigh(np.array(list(b), np.uint64)) for b in self.bags]
+        self.mass = np.array([int(x.sum()) for x in loads])
+        self.prints = np.array([int(_packed((_signs(np.array(list(b), np.uint64)) * x[:, None]).sum(axis=0)[None])[0]) for b, x in zip(self.bags, loads, strict=True)], np.uint64)
         self.by_length: dict[int, np.ndarray] = {n: np.array([j for j, (_, m) in enumerate(self.items) if m == n]) for n in sorted({m for _, m in self.items})}
         # for every length and block: which of its items are near which block values
         self.near_values = {n: [self._near(self.prints[members], *edge) for edge in _edges()] for n, members in self.by_length.items()}
 
     def _weight(self, df: int) -> int:
-        return round(16 * (1 + np.log((1 + len(self.bags)) / (1 + max(df, 1)))))
+        return round(16 * (1 + np.log((1 + self.total) / (1 + max(df, 1)))))
+
+    def _weigh(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.weights[at], self.heaviest)
 
     @staticmethod
     def _near(prints: np.ndarray, shift: int, width: int) -> np.ndarray:
@@ -103,8 +111,8 @@ class Index:
     def similarity(self, window: np.ndarray, j: int) -> float:
         bag, mine = self.bags[j], Counter(window.tolist())
         both = either = 0
-        for s in bag.keys() | mine.keys():
-            w = self.weight_of.get(s, self.heaviest)
+        every = list(bag.keys() | mine.keys())
+        for s, w in zip(every, self._weigh(np.array(every, np.uint64)).tolist(), strict=True):
             a, b = bag.get(s, 0), mine.get(s, 0)
             both += w * min(a, b)
             either += w * max(a, b)
@@ -135,13 +143,16 @@ class Index:
     def _leaks_of(self, shingles: np.ndarray, weight: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, float]]:
         n = len(shingles)
         hits = np.concatenate([[0], np.cumsum(hit)])
-        if hits[-1] < SIMILARITY * (min(self.by_length) - self.k + 1):
+        if hits[-1] < SIMILARITY * min(n, min(self.by_length) - self.k + 1):
             return
         todo = []
         for length, members in self.by_length.items():
             m = length - self.k + 1
             if m > n:
-                break
+                # the whole text is the one window; what it shares weighs no more than its known shingles
+                if hits[-1] < SIMILARITY * n or weight[hit].sum() < SIMILARITY * self.mass[members].min():
+                    continue
+                m = n
             starts = np.flatnonzero(hits[m:] - hits[:-m] >= SIMILARITY * m)
             if len(starts):
                 todo.append((length, m, starts, members))
@@ -163,23 +174,49 @@ class Index:
                     yield j, first, d, s
 
 
-def indexes(items: list[tuple[int | None, str | None]]) -> list[Index]:
+def _shared_shingles(benchmark: DataFrame) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
+    """By shingle size: the number of items, and the shingles of several items with the number of these."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for b in slices(batches):
+            sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            words, counts = _words(texts_of(b), known)
+            for w in np.split(words, np.cumsum(counts)[:-1]) if len(counts) else []:
+                if len(w):
+                    k = min(WORDS, len(w))
+                    # 0 stands for the item itself
+                    hashes += [np.unique(shingle_hashes(w, np.array([len(w)]), k)[0]), np.zeros(1, np.uint64)]
+                    sizes += [np.full(len(hashes[-2]), k), np.array([-k])]
+            yield pa.record_batch([pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hashes).view(np.int64))], ["k", "s"])
+
+    total, shared = defaultdict(int), defaultdict(dict)
+    for r in benchmark.select("text").mapInArrow(emit, "k long, s long").groupBy("k", "s").agg(F.count("*").alias("n")).filter("k < 0 or n > 1").toLocalIterator():
+        if r["k"] < 0:
+            total[-r["k"]] = r["n"]
+        else:
+            shared[r["k"]][r["s"] % (1 << 64)] = r["n"]
+    return total, shared
+
+
+def indexes(items: list[tuple[int | None, str | None]], total: dict[int, int], shared: dict[int, dict[int, int]]) -> list[Index]:
     known = WordHash()
     by_k: dict[int, list] = defaultdict(list)
     for i, text in items:
         words, _ = _words([(text or "").encode()], known)
         if len(words):
             by_k[min(WORDS, len(words))].append((i, words))
-    return [Index(v, k) for k, v in sorted(by_k.items())]
+    return [Index(v, k, total[k], shared[k]) for k, v in sorted(by_k.items())]
 
 
 def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[Index]]:
     """The benchmark in blocks of about BENCHMARK_BYTES, however large it is."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BENCHMARK_BYTES)
+    counted = _shared_shingles(benchmark) if n else None
     for b in range(n):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select(F.col("item_id").cast("long"), "text")
-        yield indexes([(r[0], r[1]) for r in part.collect()])
+        yield indexes([(r[0], r[1]) for r in part.collect()], *counted)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

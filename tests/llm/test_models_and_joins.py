@@ -124,6 +124,43 @@ def test_leaks_like_brute_force(spark, odd, odd_rows):
     assert decontaminate.leaks(odd.limit(0), bench).count() == 0
 
 
+def brute_short_leaks(text, items):
+    """brute_leaks, with a text shorter than an item as its one window."""
+    plain = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", t.lower()).split()
+    words, found = plain(text), brute_leaks(text, items)
+    bags = {i: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, t in items if len(w := plain(t)) >= 5}
+    df = Counter(s for b in bags.values() for s in b)
+    weight = lambda s: round(16 * (1 + np.log((1 + len(bags)) / (1 + max(df.get(s, 0), 1)))))
+    win = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+    for i, t in items:
+        if i in bags and len(words) < len(plain(t)):
+            both, either = (sum(weight(s) * f(win[s], bags[i][s]) for s in win.keys() | bags[i].keys()) for f in (min, max))
+            if both and both >= 0.75 * either:
+                found.add(i)
+    return found
+
+
+def test_trimmed_items_leak_however_the_benchmark_is_split(spark, monkeypatch):
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(300)]
+    common = [rng.choice(vocab) for _ in range(20)]
+    items = [(i, " ".join([*(common if i % 2 else []), *(rng.choice(vocab) for _ in range(rng.choice([30, 45])))])) for i in range(24)]
+    docs = []
+    for d in range(80):
+        w = items[d % 24][1].split()
+        part = w[rng.randint(0, len(w) // 6) : len(w) - rng.randint(0, len(w) // 6)]
+        docs.append((d, " ".join(part if d % 4 else [*part, *common, *part[:9]])))
+    want = {d: s for d, t in docs if (s := brute_short_leaks(t, items))}
+    assert len(want) > 20 and any(not brute_leaks(t, items) and d in want for d, t in docs)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (2_000_000, 1500):
+        monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", most)
+        got = defaultdict(set)
+        for r in decontaminate.leaks(documents(spark, docs), bench).collect():
+            got[r.doc_id].add(r.item_id)
+        assert got == want
+
+
 def test_multi_index_finds_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(4)
     items = [(i, rng.integers(0, 2**63, 30, dtype=np.uint64)) for i in range(50)]
