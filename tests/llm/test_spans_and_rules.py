@@ -162,3 +162,15 @@ def test_quotes_link_to_their_messages(spark):
     assert got[None, None].parent_turn is None
     assert [k for k, r in sorted(got.items(), key=lambda x: x[1].position) if r.thread_conv_id == 1] == [(1, 0), (1, 1), (1, 2), (2, 0)]
     assert quotes.conversations(df.limit(0)).count() == 0
+
+
+def test_deeper_quotes_link_where_level_1_does_not(spark):
+    rows = [
+        (1, 0, "a", "Where is the harbour map?"), (1, 1, "b", "In the drawer.\n> Where is the harbour map?"),
+        (1, 2, "c", "Thanks!\n>> Where is the harbour map?"), (1, 3, "d", "No.\n> In my drawer, as edited.\n>> Where is the harbour map?"), (1, 4, "e", "Both.\n> In the drawer.\n>> Where is the harbour map?"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.conversations(df).collect()}
+    assert [got[t].parent_turn for t in range(5)] == [None, 0, 0, 0, 1] and {r.thread_conv_id for r in got.values()} == {1}
+    assert [got[t].depth for t in range(5)] == [0, 1, 1, 1, 2]
+    assert [[(o.level, o.turn) for o in got[t].origins] for t in range(5)] == [[], [(1, 0)], [(2, 0)], [(2, 0)], [(1, 1), (2, 0)]]
