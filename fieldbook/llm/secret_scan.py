@@ -29,7 +29,7 @@ HEX = r"[0-9a-f]{24,}+"
 STRONG = ("assign", "access", "hex")
 
 # The weak patterns.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}+(?![A-Za-z0-9+/_=-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])"
 ACCOUNT = r"""(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64}+)"""
 ENDPOINT = r"""\b[a-z][a-z0-9+.-]{1,20}+://[^\s"'<>]{3,200}+"""
 

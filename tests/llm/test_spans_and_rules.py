@@ -174,3 +174,10 @@ def test_deeper_quotes_link_where_level_1_does_not(spark):
     assert [got[t].parent_turn for t in range(5)] == [None, 0, 0, 0, 1] and {r.thread_conv_id for r in got.values()} == {1}
     assert [got[t].depth for t in range(5)] == [0, 1, 1, 1, 2]
     assert [[(o.level, o.turn) for o in got[t].origins] for t in range(5)] == [[], [(1, 0)], [(2, 0)], [(2, 0)], [(1, 1), (2, 0)]]
+
+
+def test_long_tokens_are_parts(spark):
+    rng = random.Random(14)
+    token = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZghjkmnpqrstuvwxyz23456789") for _ in range(500))
+    got = secret_scan.scan(documents(spark, [(1, f"login: jdoe99 then {token} end"), (2, f"nothing beside {token}")])).collect()
+    assert {r.doc_id: {(s.kind, s.end - s.start) for s in r.spans} for r in got} == {1: {("account", 13), ("opaque", 500)}, 2: set()}
