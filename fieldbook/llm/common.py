@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one only where it is unset and Spark is one local process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fieldbook-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -1,5 +1,8 @@
 """Operator 4: toxicity by a linear-chain conditional random field.
 
+Labels go to the texts: while there are at most ``SENT`` of them they are broadcast and texts stay where they are; beyond that
+number texts and labels are joined by shuffling and written once.
+
 1. Token labels. The labels are per document, so tokens are labelled from a distance: over ALL labelled training documents
    Spark counts in how many toxic and clean documents each word and word beginning occurs and after how many different
    words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, significantly so and in
@@ -16,7 +19,8 @@
    bounded rows and set to the class sizes over all labelled rows, the document's score.
 
 Null text is empty text; an empty text gets the score of a document without toxic tokens. Repeated rows and ids give a row
-each; a null id stays null and is not held out. A document with several labels counts as toxic if one says so. Without
+each; a null id stays null and is not held out. A very long text is tagged whole, in blocks. Ties decide nothing: units of equal
+significance go by their bytes, sample rows of equal hash are taken alike. A document with several labels counts as toxic if one says so. Without
 labels of both classes every score is the share of toxic labels (0 without labels). An empty table gives an empty result;
 extra columns are ignored by ``tag`` and kept by ``reject``.
 """
@@ -53,6 +57,8 @@ LEXICON = 200_000
 STEMS = (4, 6)
 BLOCK = 32
 ROUNDS = 40
+#: Labels broadcast to the texts, at most; about 60 bytes each.
+SENT = 2_000_000
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _SPANS = "array<struct<start:int,end:int,p:double>>"
 
@@ -76,7 +82,7 @@ _KIND = np.array([0 if b == 0 else 2 if 48 <= b <= 57 else 1 for b in range(256)
 class Words(dict):
     """word -> row of ``table``: its slots, or with weights its scores (own, as the word before, as the word after). Cleared beyond a bounded number of rows."""
 
-    def __init__(self, weights: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, weights: np.ndarray | None = None, most: int = 100_000):
         super().__init__()
         self.weights, self.most = weights, most
         self.table = np.zeros((0, 7), np.int64) if weights is None else np.zeros((0, 3), np.float32)
@@ -152,8 +158,25 @@ def _chain(e: np.ndarray, blocks: np.ndarray, m: np.ndarray, start: np.ndarray,
 
 def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """P(label = T) of every token by forward-backward. emit: score of T over O; trans: log potentials [[OO, OT], [TO, TT]]; the start counts as O."""
+    return _messages(emit, counts, trans)[0]
+
+
+def expectations(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(label = T) of every token, and the expected number [2, 2] of each transition, from the marginals of neighbouring pairs."""
+    p, ahead, back = _messages(emit, counts, trans)
+    if not len(p):
+        return p, np.zeros((2, 2))
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    before = np.concatenate([np.zeros((1, 2)), ahead[:-1]])
+    before[first] = 1.0, 0.0
+    pair = before[:, :, None] * np.exp(trans)[None] * back[:, None, :]
+    return p, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
+def _messages(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, and the forward and backward messages [tokens, 2], each with the token's own emission in it and up to a factor."""
     if not len(emit):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros((0, 2)), np.zeros((0, 2))
     blocks = -(-counts // BLOCK)
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(emit)) - (np.cumsum(counts) - counts)[owner]
@@ -168,7 +191,7 @@ def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.nda
     grid[back_at] = e
     bo, bt = (x[back_at] for x in _chain(grid.reshape(-1, BLOCK), blocks, m.T, np.array([1.0, 1.0]), np.eye(2)))
     one, other = at_ * bt / e, ao * bo
-    return one / (one + other)
+    return one / (one + other), np.column_stack([ao, at_]), np.column_stack([bo, bt])
 
 
 class Field:
@@ -221,14 +244,12 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
         grad, bias, tg = -0.02 * field.weights, 0.0, -0.02 * field.trans
         for slots, flat, counts, y in batches:
             feats = features(slots, flat, counts)
-            p = marginals(field.weights[feats].sum(axis=1) + field.bias, counts, field.trans)
+            p, have = expectations(field.weights[feats].sum(axis=1) + field.bias, counts, field.trans)
             gap = y - p
             grad += np.bincount(feats.ravel(), weights=np.repeat(gap, 7), minlength=size)
             bias += gap.sum()
-            # expected transitions under the product of neighbouring marginals: a mean-field step, as labels are far apart
-            before_y, prev_p = _neighbours(y.astype(np.int64), counts, 1), _neighbours(p, counts, 1)
+            before_y = _neighbours(y.astype(np.int64), counts, 1)
             want = np.array([[((1 - before_y) * (1 - y)).sum(), ((1 - before_y) * y).sum()], [(before_y * (1 - y)).sum(), (before_y * y).sum()]])
-            have = np.array([[((1 - prev_p) * (1 - p)).sum(), ((1 - prev_p) * p).sum()], [(prev_p * (1 - p)).sum(), (prev_p * p).sum()]])
             tg += want - have
         g2 += grad**2
         field.weights += 0.5 * grad / np.sqrt(g2)
@@ -257,7 +278,7 @@ def units(w: bytes) -> tuple[bytes, ...]:
 class _Units(dict):
     """word -> those of its units that are wanted (all without a choice), remembered up to a bound."""
 
-    def __init__(self, wanted: set[bytes] | None = None, most: int = 200_000):
+    def __init__(self, wanted: set[bytes] | None = None, most: int = 60_000):
         super().__init__()
         self.wanted, self.most = wanted, most
 
@@ -346,10 +367,18 @@ def _sample(labelled: DataFrame, rows: int, most_tokens: int) -> list[bytes]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_tokens: int = FIT_TOKENS) -> Field:
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, toxic, h of the documents with a label."""
+    marks = cut(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), "labels")
+    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    few = marks.count() <= most
+    joined = texts.join(F.broadcast(marks), "doc_id") if few else cut(texts.join(marks, "doc_id"), "labelled")
+    return joined.withColumn("h", F.xxhash64("text", "doc_id"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_tokens: int = FIT_TOKENS, most_sent: int = SENT) -> Field:
     """The field, from docs(doc_id, text) and labels(doc_id, toxic); the caller chooses the rows it may learn from."""
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    labelled = cut(docs.select("doc_id", "text").filter("doc_id is not null").join(marks, "doc_id").withColumn("h", F.xxhash64("text", "doc_id")), "labelled")
+    labelled = _labelled(docs, labels, most_sent)
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -389,9 +418,15 @@ def tag(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, f"doc_id long, score double, spans {_SPANS}")
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Field:
+    """The field of op4: fitted on the rows that are not held out."""
+    kept = fold_of("doc_id", 3) != 1
+    return fit(docs.filter(kept), labels.filter(kept))
+
+
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays under the threshold; learns like op4. Rows keep all their columns: the verdict is made where the text is."""
-    field = fit(docs.filter(fold_of("doc_id", 3) != 1), labels)
+    field = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,5 +442,5 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    field = fit(docs.filter(fold_of("doc_id", 3) != 1), read(spark, sf_dir, "labels"))
+    field = learn(docs, read(spark, sf_dir, "labels"))
     return tag(docs, field).select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
