@@ -5,8 +5,8 @@ among the first ``n - ceil(t*n) + 1`` tokens of each, under ANY global order of
 
 * order 1: common tokens last, then by hash. Which tokens are common is counted over all documents; as any order is
   valid, only its usefulness depends on those counts, never the result. Its prefixes are the join keys.
-* order 2: ascending hash, order 3: descending hash. Both prefixes must share a token too, else a candidate is dropped
-  before its sets are compared exactly.
+* order 2: ascending hash, order 3: descending hash. Sets are fetched in ascending order, so these prefixes are their two
+  ends; both must share a token too, else a candidate is dropped before its sets are compared exactly.
 
 Each set also has a parity sketch: every token flips one of ``SKETCH`` bits, so two sets differ in at least as many tokens
 as their sketches differ in bits. Pairs whose sketches differ in too many bits are never listed; no similar pair is lost.
@@ -18,7 +18,8 @@ while pairs inside a component are never listed.
 
 Null or wordless text: empty set, linked with nothing, component_id is its own doc_id. Texts of one to four words: the
 whole sequence is the one token. Repeated rows get a row each. Rows without doc_id are linked like others, and a component
-without any doc_id has component_id null. An empty table gives an empty result; extra columns are ignored by ``join``
+without any doc_id has component_id null. Ties between central nodes go to the larger digest. A very long text is one set
+of all its shingles. An empty table gives an empty result; extra columns are ignored by ``join``
 and kept by ``deduplicate``.
 """
 
@@ -118,7 +119,7 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, node, prefix (order 1), low and high (orders 2 and 3), sketch; the four are null where the task has given them before for the same node."""
+    """doc_id, n, node, prefix (order 1), sketch; the two are null where the task has given them before for the same node."""
     token, n = _common_tokens(docs, k)
     maybe = np.zeros(1 << 22, bool)
     maybe[(token >> np.uint64(42)).astype(np.int64)] = True
@@ -152,12 +153,6 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             place = np.arange(len(token)) - np.repeat(np.cumsum(own) - own, own)
             cut_at = np.where(fresh, prefix_size(sizes, percent), 0)
             keep = place < cut_at[owner]
-            # orders 2 and 3: the lowest and highest hashes; half of each hash is enough for a filter
-            from_low = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            whose = np.repeat(np.arange(len(sizes)), sizes)
-            half = ((hashes >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)  # ascending as signed numbers too
-            low, high = from_low < cut_at[whose], sizes[whose] - from_low <= cut_at[whose]
-
             sketch = sketches_of(hashes, sizes)[fresh]
 
             def masked(values: np.ndarray, kind: pa.DataType, counts: np.ndarray = cut_at, fresh: np.ndarray = fresh) -> pa.ListArray:
@@ -165,11 +160,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 return pa.ListArray.from_arrays(made.offsets, made.values, mask=pa.array(~fresh))
 
             yield pa.record_batch(
-                [b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), masked(token[keep].view(np.int64), pa.int64()), masked(half[low], pa.int32()), masked(half[high], pa.int32()), masked(sketch.ravel(), pa.int64(), np.where(fresh, SKETCH // 64, 0))],
-                ["doc_id", "n", "node", "prefix", "low", "high", "sketch"],
+                [b.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes), masked(token[keep].view(np.int64), pa.int64()), masked(sketch.ravel(), pa.int64(), np.where(fresh, SKETCH // 64, 0))],
+                ["doc_id", "n", "node", "prefix", "sketch"],
             )
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>, low array<int>, high array<int>, sketch array<long>"), "prefixes")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n long, node long, prefix array<long>, sketch array<long>"), "prefixes")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -216,37 +211,16 @@ def _sketch_room(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return F.floor((na + nb - apart) / 2)
 
 
-def _candidates(possible: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """possible(a, b, na, nb), which order 1 lets pass -> the pairs that orders 2 and 3 let pass too.
-
-    Under orders 2 and 3 both prefixes are complete up to the nearer of their ends, so there the common tokens are counted,
-    and only what lies beyond is unknown.
-    """
-
-    def room_beyond(x: str, y: str, inside, end) -> Column:
-        """Most common tokens of two sets by one order. Two tokens of a set may share a half hash, hence the distinct count's correction."""
-        edge = end(F.col(x), F.col(y))
-        fx, fy = F.filter(x, lambda v: inside(v, edge)), F.filter(y, lambda v: inside(v, edge))
-        common = F.size(F.array_intersect(fx, fy)) + F.size(fx) - F.size(F.array_distinct(fx))
-        return common + F.least(F.col("na") - F.size(fx), F.col("nb") - F.size(fy))
-
-    enough = lambda most: _enough(most, F.col("na"), F.col("nb"), percent)
-    wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    nodes = prefixes.filter("low is not null").select("node", "low", "high").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
-    both = possible.join(side("a"), "a").join(side("b"), "b")
-    low = room_beyond("low_a", "low_b", lambda v, e: v < e, lambda x, y: F.least(F.element_at(x, -1), F.element_at(y, -1)))
-    high = room_beyond("high_a", "high_b", lambda v, e: v > e, lambda x, y: F.greatest(x[0], y[0]))
-    return both.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).filter(enough(low) & enough(high)).select("a", "b")
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs(a, b) that have the similarity, compared exactly."""
+    """u, v: the pairs(a, b), which order 1 lets pass, that orders 2 and 3 let pass too and that have the similarity, compared exactly."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = cut(_sets(docs, nodes.join(wanted, "node", "left_semi"), k), "sets")
-    got = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    got = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    length = lambda x: prefix_size_of(F.size(x), percent).cast("int")
+    low = F.arrays_overlap(F.slice("ta", 1, length("ta")), F.slice("tb", 1, length("tb")))
+    high = F.arrays_overlap(F.slice("ta", -length("ta"), length("ta")), F.slice("tb", -length("tb"), length("tb")))
     similar = F.lit(100 + percent) * F.size(F.array_intersect("ta", "tb")) >= F.lit(percent) * (F.size("ta") + F.size("tb"))
-    out = cut(got.filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+    out = cut(got.filter(low & high).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
     drop_cut(sets)
     return out
 
@@ -266,7 +240,7 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, p
     fits = _enough(_sketch_room(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")), F.col("na"), F.col("nb"), percent)
     size_ok = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     tried = cut(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").filter(size_ok & fits).select("a", "b", "na", "nb"), "pairs")
-    links = _verified(docs, cut(_candidates(tried, prefixes, percent), "pairs"), nodes, k, percent)
+    links = _verified(docs, tried, nodes, k, percent)
     labels = cut(components(links), "labels")
     # what is left: nodes of one token in different components
     labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -289,9 +263,12 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, p
     na, nb = F.col("na"), F.col("nb")
     beyond = F.greatest(F.least(na - prefix_size_of(na, percent), nb - F.col("j")), F.least(na - F.col("i"), nb - prefix_size_of(nb, percent)))
     left = cut(counted.filter(_enough(F.col("c") + beyond, na, nb, percent)).select("a", "b", "na", "nb"), "pairs")
+    drop_cut(rest)
     untried = cut(left.join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = cut(_candidates(untried, prefixes, percent), "pairs")
-    return components(links.union(_verified(docs, second, nodes, k, percent)))
+    out = cut(components(links.union(_verified(docs, untried, nodes, k, percent))), "labels")
+    for used in (sketches, tried, links, labels, left, untried):
+        drop_cut(used)
+    return out
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -310,10 +287,12 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group: that with the smallest id. Rows that repeat an id and its text are one document; rows without an id stay."""
-    gone = join(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return left.withColumn("_copy", F.when(F.col("doc_id").isNotNull(), F.row_number().over(same)).otherwise(1)).filter("_copy = 1").drop("_copy")
+    gone = join(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    row = docs.select(F.struct("*").alias("doc"))
+    left = row.filter("doc.doc_id is not null").join(gone, F.col("doc.doc_id") == F.col("id"), "left_anti")
+    same = Window.partitionBy("doc.doc_id", F.xxhash64("doc.text")).orderBy(F.lit(0))
+    first = left.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("doc")
+    return first.union(row.filter("doc.doc_id is null")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
