@@ -1,20 +1,26 @@
 """Operator 6: language-model scores of a hashed maximum-entropy model with class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The class softmax has hashed features of the history: the
-previous word, the two previous words (n-grams), the second and third word back (skips) and a bias. Classes are made from
-counts over all training tokens: words are grouped by the lang they occur in most, then into bins of equal mass. Inside a
-class a word's own feature is all that counts, whose maximum-likelihood weight is the log of its count. Rare words, known
-or not, share one class, in which known ones have discounted counts and the rest of the mass is that of an unknown word.
+P(token | history) is the product of choices down a tree of classes: a class, a class inside it and so on, at last the word
+among its class's members. Every choice, the last one included, is a softmax over at most ``BRANCH`` children whose features
+are the node together with the history: the previous word, the two previous words (n-grams) and the second word back (a
+skip), all hashed into one table of weights. What the features add to is the log of the child's share of the node's
+tokens. Words are put in the tree by the lang they occur in most and then by count, and each node is split into children of
+about equal mass, so frequent words need few choices.
+
+Words seen less than ``LEAST`` times, or beyond the ``VOCAB`` most frequent ones, are one leaf of the tree; among these a word's
+probability is its discounted share of their counts, and the rest is that of an unknown word. Their counts come by a join,
+so every word has its own probability and base scores and n_known are exact.
 
 * Counts: by word over all training documents, shuffled after summing within tasks; nothing is left out.
-* Training: distributed gradient updates. In each of ``ROUNDS`` rounds every task runs Adagrad steps over all its tokens from
-  the shared weights; the tasks' rows are then averaged, weighted by how often each row was used, in a tree of bounded fan-in.
-* Scoring: sparse numpy batches. The ``VOCAB`` most frequent words (a bound on what is sent to the tasks) are scored in the
-  tasks; all other words are joined with the counts table, so base scores and n_known are exact for every word.
-
-Null text is empty text: the end token only. Repeated rows and ids give a row each; rows without an id are training rows
-and not held out. Without training rows the base score is that of unknown words and the model knows the end and unknown words
-only. An empty table gives an empty result. Extra columns are ignored.
+* Training: distributed gradient updates. The training texts are dealt by hash into ``ROUNDS`` rounds, so every token is learned
+  from once. In each round learners (tasks of about ``SHARE`` tokens, at most ``LEARNERS``) take Adagrad steps over their tokens from the shared weights; their rows are averaged, weighted by how often each was used,
+  in a tree of bounded fan-in. The table has four rows a known word, at most ``1 << MOST_BITS``.
+* Scoring: sparse numpy batches of (token, node) pairs.
+
+Null text is empty text: the end token only. A very long text is scored whole, in batches. Words of equal count are put in the order of their hashes.
+Repeated rows and ids give a row each; rows without an id are training rows and not held out. Without training rows the base
+score is that of unknown words and the model knows the end and unknown words only. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, fold_of, mix64, read, slices, texts_of, word_hashes
+from .common import WordHash, cut, drop_cut, fold_of, mix64, read, slices, texts_of, word_hashes
 
-#: Words sent to all tasks, at most; 20 bytes each. Words seen less than LEAST times are always rare.
+#: Words in the tree, at most; about 60 bytes each are sent to all tasks.
 VOCAB = 1 << 19
 LEAST = 3
-LANGUAGES = 16
-BINS = 10
-ROWS = 1 << 15
+BRANCH = 16
+LEAST_BITS, MOST_BITS = 12, 19
 ROUNDS = 2
-RATE = 0.3
-BATCH = 1 << 15
+RATE = 0.5
+BATCH = 1 << 12
+SHARE, LEARNERS = 6_000_000, 4096
 FAN_IN = 64
 BLOCK = 256
-END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
+END, START, RARE = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7), np.uint64(0x5EEDAAAA)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
+FEATURES = 3
 
 
 def tokens(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -52,82 +60,120 @@ def tokens(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]
 
 
 def features(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of the weights [tokens, 5] that fire before each token."""
+    """Hashes [tokens, FEATURES] of what stands before each token."""
     place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         w = np.full(len(flat), START, np.uint64)
         w[k:] = np.where(place[k:] >= k, flat[:-k] if len(flat) > k else flat[:0], START)
         back.append(w)
     with np.errstate(over="ignore"):
-        kinds = [back[0], back[1] ^ (back[0] * _NEXT), back[1], back[2]]
-        rows = [mix64(x + np.uint64(i + 1) * _NEXT) % np.uint64(ROWS - 1) for i, x in enumerate(kinds)]
-    return np.column_stack([*rows, np.full(len(flat), ROWS - 1, np.uint64)]).astype(np.int64)
+        kinds = [back[0], back[1] ^ (back[0] * _NEXT), back[1]]
+        return np.column_stack([mix64(x + np.uint64(i + 1) * _NEXT) for i, x in enumerate(kinds)])
 
 
 class Vocabulary:
-    """Sorted hashes of the frequent words with their counts, classes and log10 shares of their class. Class 0 is the end, class 1 rare words."""
+    """Sorted hashes of the frequent words, the end and the rare leaf, with their counts and their paths (node, child) in the tree."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, group: np.ndarray, total: int, distinct: int, rare: tuple[int, int, float]):
-        order = np.argsort(words)
-        self.words, self.counts, group = words[order], counts[order], group[order]
+        """rare: tokens, distinct words and discount of the words that are not listed."""
         self.total, self.distinct = total, distinct
         self.rare_mass, self.rare_words, self.discount = rare
-        self.kind = np.zeros(len(words), np.int16)
-        at = 2
-        for g in np.unique(group):
-            mine = np.flatnonzero((group == g) & (self.words != END))
-            if not len(mine):
-                continue
-            mine = mine[np.argsort(-self.counts[mine], kind="stable")]
-            before = np.cumsum(self.counts[mine]) - self.counts[mine]
-            bins = (BINS * before // max(int(self.counts[mine].sum()), 1)).astype(np.int64)
-            _, tight = np.unique(bins, return_inverse=True)
-            self.kind[mine] = at + tight
-            at += int(tight.max()) + 1
-        self.classes = at
-        mass = np.bincount(self.kind, weights=self.counts, minlength=at)
-        self.share = np.log10(self.counts / mass[self.kind])
+        if not len(words) or not (words == END).any():
+            words, counts, group = np.append(words, END), np.append(counts, 0), np.append(group, -1)
+        words, counts, group = np.append(words, RARE), np.append(counts, self.rare_mass), np.append(group, -1)
+        order = np.argsort(words)
+        self.words, self.counts, group = words[order], counts[order], group[order]
         self.base = np.log10((self.counts + 0.1) / self.denominator)
+        self._plant(np.lexsort((self.words, -self.counts, group)))
+
+    def _plant(self, order: np.ndarray) -> None:
+        """Split nodes into children until every word is a leaf; order: the words as they lie side by side in the tree."""
+        mass = np.maximum(self.counts[order], 0.5)
+        node, steps, at = np.zeros(len(order), np.int64), [], 0
+        live = np.arange(len(order))
+        priors, size = [], 0
+        while len(live):
+            heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            n = np.diff(np.append(heads, len(live)))
+            m, own = mass[live], np.repeat(np.arange(len(heads)), n)
+            before, whole = np.cumsum(m) - m, np.add.reduceat(m, heads)
+            middle = (before - before[heads][own] + m / 2) / whole[own]
+            child = np.where((n <= BRANCH)[own], np.arange(len(live)) - heads[own], np.minimum((middle * BRANCH).astype(np.int64), BRANCH - 1))
+            # children are numbered without gaps
+            new = np.concatenate([[True], (child[1:] != child[:-1]) | (own[1:] != own[:-1])])
+            rank = np.cumsum(new) - 1
+            child = rank - rank[heads][own]
+            prior = np.full((len(heads), BRANCH), -np.inf, np.float32)
+            prior[own[new], child[new]] = np.log(np.add.reduceat(m, np.flatnonzero(new)) / whole[own[new]])
+            priors.append(prior)
+            steps.append((order[live], size + own, child))
+            size += len(heads)
+            alone = np.bincount(rank)[rank] == 1
+            live, node = live[~alone], rank[~alone]
+        word, where, child = (np.concatenate(x) for x in zip(*steps, strict=True))
+        by_word = np.argsort(word, kind="stable")
+        self.nodes, self.children = where[by_word].astype(np.int32), child[by_word].astype(np.int8)
+        self.depth = np.bincount(word, minlength=len(order))
+        self.starts = np.cumsum(self.depth) - self.depth
+        self.priors = np.concatenate(priors)
+        self.bits = int(np.clip(np.ceil(np.log2(4 * len(order))), LEAST_BITS, MOST_BITS))
 
     @property
     def denominator(self) -> float:
         return self.total + 0.1 * (self.distinct + 1)
 
     def look(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the vocabulary of each token, and whether it is there."""
-        if not len(self.words):
-            return np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+        """Place of each token, the rare leaf's for those not listed, and whether it is listed."""
         at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-        return at, self.words[at] == flat
+        here = self.words[at] == flat
+        return np.where(here, at, np.searchsorted(self.words, RARE)), here
+
+    def choices(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The choices of tokens at places ``at``: their token, node, child, and rows [choices, FEATURES] of the weights."""
+        depth = self.depth[at]
+        token = np.repeat(np.arange(len(at)), depth)
+        pair = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth) + np.repeat(self.starts[at], depth)
+        node = self.nodes[pair]
+        with np.errstate(over="ignore"):
+            rows = ((hashes[token] ^ mix64(node.astype(np.uint64) + np.uint64(1))[:, None]) * _TURN) >> np.uint64(64 - self.bits)
+        return token, node, self.children[pair].astype(np.int64), rows.astype(np.int64)
+
+
+def _levels(weights: np.ndarray, priors: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores [choices, BRANCH] of the children, the highest of each choice 0."""
+    z = priors.take(node, axis=0)
+    for f in range(rows.shape[1]):
+        z += weights.take(rows[:, f], axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    return z
 
-    def classes_of(self, flat: np.ndarray) -> np.ndarray:
-        at, here = self.look(flat)
-        return np.where(here, self.kind[at] if len(self.kind) else 0, np.where(flat == END, 0, 1)).astype(np.int64)
 
+def _residual(weights: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Gradient [choices, BRANCH] of the negative log likelihood by the scores."""
+    g = _levels(weights, priors, node, rows)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(child)), child] -= 1
+    return g
 
-def _log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log P(class | history) [tokens, classes]."""
-    z = weights[rows[:, 0]]
-    for f in range(1, rows.shape[1]):
-        z += weights[rows[:, f]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
 
+def _gradient(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sums of g over them."""
+    order = np.sort((rows << 32) | np.arange(len(rows)))
+    key = order >> 32
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[head], np.diff(np.append(head, len(key))), np.add.reduceat(g.take(order & 0xFFFFFFFF, axis=0), head, axis=0)
 
-def _step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
-    """One Adagrad step on the mean gradient of each row."""
-    g = np.exp(_log_classes(weights, rows))
-    g[np.arange(len(kind)), kind] -= 1
+
+def _step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> None:
+    """One Adagrad step, with one rate a row, on the negative log likelihood of the choices."""
+    g = _residual(weights, priors, node, child, rows)
     for f in range(rows.shape[1]):
-        order = np.argsort(rows[:, f], kind="stable")
-        sorted_rows = rows[order, f]
-        head = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        at, n = sorted_rows[head], np.diff(np.concatenate([head, [len(sorted_rows)]]))
-        grad = np.add.reduceat(g[order], head, axis=0)
-        squares[at] += grad * grad
-        weights[at] -= RATE * grad / np.sqrt(squares[at])
+        at, n, grad = _gradient(g, rows[:, f])
+        sums = squares[at] + np.einsum("ij,ij->i", grad, grad)
+        squares[at] = sums
+        weights[at] = weights.take(at, axis=0) - grad * (RATE / np.sqrt(sums))[:, None]
         used[at] += n
 
 
@@ -187,93 +233,110 @@ def vocabulary(counted: DataFrame) -> tuple[Vocabulary, DataFrame]:
     mass: dict[str, int] = {}
     for g, n in zip(langs, top["n"].to_pylist(), strict=True):
         mass[g] = mass.get(g, 0) + n
-    number = {g: i for i, g in enumerate(sorted(mass, key=lambda g: (-mass[g], g))[: LANGUAGES - 1])}
-    group = np.array([number.get(g, LANGUAGES) for g in langs], np.int64)
+    number = {g: i for i, g in enumerate(sorted(mass, key=lambda g: (-mass[g], g)))}
+    group = np.array([number[g] for g in langs], np.int64)
     return Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), group, total, distinct, (rare[0] or 0, rare[1], discount)), words.select("word", "n")
 
 
-def _average(deltas: DataFrame, classes: int) -> np.ndarray:
-    """Weights averaged over tasks, row by row: deltas(part, block, used, rows) are summed up a tree of at most FAN_IN at a time."""
-    shape = "part long, block int, used binary, rows binary"
+_DELTA = "part long, block int, used binary, rows binary"
+
+
+def _average(deltas: DataFrame, parts: int, bits: int) -> np.ndarray:
+    """Weights averaged over learners, row by row, by use: deltas(part, block, used, rows) are summed up a tree of at most FAN_IN at a time."""
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        used, rows = np.zeros(BLOCK), np.zeros((BLOCK, classes))
+        used, rows = np.zeros(BLOCK), np.zeros((BLOCK, BRANCH))
         for u, r in zip(t["used"].to_pylist(), t["rows"].to_pylist(), strict=True):
-            used += np.frombuffer(u, np.float32)
-            rows += np.frombuffer(r, np.float32).reshape(BLOCK, classes)
-        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([key[0].as_py()], pa.int32()), "used": pa.array([used.astype(np.float32).tobytes()]), "rows": pa.array([rows.astype(np.float32).tobytes()])})
+            n = np.frombuffer(u, np.float32)
+            used += n
+            rows += np.frombuffer(r, np.float16).reshape(BLOCK, BRANCH) * n[:, None]
+        mean = (rows / np.maximum(used, 1)[:, None]).astype(np.float16)
+        return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([key[0].as_py()], pa.int32()), "used": pa.array([used.astype(np.float32).tobytes()]), "rows": pa.array([mean.tobytes()])})
 
-    parts = (deltas.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        deltas = deltas.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInArrow(add, shape)
+        deltas = deltas.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInArrow(add, _DELTA)
         parts = -(-parts // FAN_IN)
         if parts == 1:
             break
-    out = np.zeros((ROWS, classes), np.float32)
-    got = deltas.select("block", "used", "rows").toArrow()
-    for b, u, r in zip(*(got[c].to_pylist() for c in ("block", "used", "rows")), strict=True):
-        n = np.maximum(np.frombuffer(u, np.float32), 1)[:, None]
-        out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r, np.float32).reshape(BLOCK, classes) / n
+    out = np.zeros((1 << bits, BRANCH), np.float32)
+    got = deltas.select("block", "rows").toArrow()
+    for b, r in zip(got["block"].to_pylist(), got["rows"].to_pylist(), strict=True):
+        out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r, np.float16).reshape(BLOCK, BRANCH)
     return out
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights [ROWS, classes] of the class softmax, learned from all tokens of docs(text)."""
-    sc, classes = docs.sparkSession.sparkContext, vocab.classes
-    weights = np.zeros((ROWS, classes), np.float32)
+    """Weights [rows, BRANCH], learned from all tokens of docs(text)."""
+    sc = docs.sparkSession.sparkContext
+    weights = None
     known_words = sc.broadcast(vocab)
-    for _ in range(rounds):
-        shared = sc.broadcast(weights)
+    parts = int(np.clip(-(-vocab.total // (SHARE * rounds)), 1, LEARNERS))
+    for k in range(rounds):
+        shared = sc.broadcast(None if weights is None else weights.astype(np.float16))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            weights, vocab, known = shared.value.copy(), known_words.value, WordHash()
-            squares, used = np.full_like(weights, 1.0), np.zeros(len(weights), np.float32)
-            for b in slices(batches, 2_000_000):
+            vocab, known = known_words.value, WordHash(200_000)
+            weights = np.zeros((1 << vocab.bits, BRANCH), np.float32) if shared.value is None else shared.value.astype(np.float32)
+            squares, used = np.ones(len(weights), np.float32), np.zeros(len(weights), np.float32)
+            for b in slices(batches, 1_000_000):
                 flat, counts = tokens(texts_of(b), known)
-                rows, kind = features(flat, counts), vocab.classes_of(flat)
-                for at in range(0, len(flat), BATCH):
-                    _step(weights, squares, used, rows[at : at + BATCH], kind[at : at + BATCH])
+                at, _ = vocab.look(flat)
+                hashes = features(vocab.words[at], counts)
+                for i in range(0, len(flat), BATCH):
+                    _, node, child, rows = vocab.choices(at[i : i + BATCH], hashes[i : i + BATCH])
+                    _step(weights, squares, used, vocab.priors, node, child, rows)
             part = TaskContext.get().partitionId()
-            blocks = [i for i in range(ROWS // BLOCK) if used[i * BLOCK : (i + 1) * BLOCK].any()]
-            cols = [[used[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in blocks], [(weights[i * BLOCK : (i + 1) * BLOCK] * used[i * BLOCK : (i + 1) * BLOCK, None]).tobytes() for i in blocks]]
-            yield pa.record_batch([pa.array([part] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "block", "used", "rows"])
-
-        deltas = cut(docs.select("text").mapInArrow(learn, "part long, block int, used binary, rows binary"), "gradients")
-        weights = _average(deltas, classes)
+            blocks = [i for i in range(len(weights) // BLOCK) if used[i * BLOCK : (i + 1) * BLOCK].any()]
+            for i in range(0, len(blocks), 64):
+                some = blocks[i : i + 64]
+                cols = [[x[j * BLOCK : (j + 1) * BLOCK].astype(kind).tobytes() for j in some] for x, kind in ((used, np.float32), (weights, np.float16))]
+                yield pa.record_batch([pa.array([part] * len(some), pa.int64()), pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "block", "used", "rows"])
+
+        weights = _average(docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(parts).mapInArrow(learn, _DELTA), parts, vocab.bits)
+        shared.destroy()
+    known_words.destroy()
     return weights
 
 
+def log_choices(vocab: Vocabulary, weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log of the product of each token's choices; its place in the vocabulary, and whether it is listed."""
+    at, here = vocab.look(flat)
+    hashes, logs = features(vocab.words[at], counts), np.empty(len(flat))
+    for i in range(0, len(flat), BATCH):
+        token, node, child, rows = vocab.choices(at[i : i + BATCH], hashes[i : i + BATCH])
+        z = _levels(weights, vocab.priors, node, rows)
+        p = z[np.arange(len(child)), child] - np.log(np.exp(z).sum(axis=1))
+        logs[i : i + BATCH] = np.bincount(token, weights=p, minlength=len(at[i : i + BATCH]))
+    return logs, at, here
+
+
 def score(docs: DataFrame, vocab: Vocabulary, words: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights.astype(np.float16)))
     kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocab, weights), known = shared.value, WordHash()
-        for b in slices(batches, 2_000_000):
+        (vocab, half), known = shared.value, WordHash(200_000)
+        weights = half.astype(np.float32)
+        for b in slices(batches, 1_000_000):
             flat, counts = tokens(texts_of(b), known)
-            rows, classes = features(flat, counts), vocab.classes_of(flat)
-            logs = np.empty(len(flat))
-            for at in range(0, len(flat), BATCH):
-                part = slice(at, at + BATCH)
-                logs[part] = _log_classes(weights, rows[part])[np.arange(len(flat[part])), classes[part]] / np.log(10)
-            at, here = vocab.look(flat)
+            logs, at, here = log_choices(vocab, weights, flat, counts)
+            logs /= np.log(10)
             owner = np.repeat(np.arange(len(counts)), counts)
-            base = np.where(here, vocab.base[at], 0.0) if len(vocab.base) else np.zeros(len(flat))
-            logs += np.where(here, vocab.share[at], 0.0) if len(vocab.share) else 0.0
-            # an end never seen in training is as any unknown token to the base score
-            lone = ~here & (flat == END)
-            base[lone] = np.log10(0.1 / vocab.denominator)
-            sums = [np.bincount(owner, weights=x, minlength=len(counts)) for x in (base, logs, here)]
-            rest = ~here & ~lone
+            base = np.where(here, vocab.base[at], 0.0)
+            # an end never met in training is listed, with no count
+            met = here & (vocab.counts[at] > 0)
+            sums = [np.bincount(owner, weights=x, minlength=len(counts)) for x in (base, logs, met)]
+            rest = ~here
             key, n = np.unique(np.column_stack([owner[rest].astype(np.uint64), flat[rest]]), axis=0, return_counts=True) if rest.any() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
             sizes = np.bincount(key[:, 0].astype(np.int64), minlength=len(counts))
             tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(key[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"]))
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), tail.cast(kind)], ["doc_id", "n_tokens", "base", "logs", "here", "tail"])
 
     scored = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_tokens long, base double, logs double, here long, tail array<struct<word:long,n:long>>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    shared.destroy()
     rare = scored.select("row", F.inline("tail")).select("row", "word", F.col("n").alias("times")).join(words, "word", "left")
     mass, d = max(vocab.rare_mass, 1), vocab.discount
     unknown = float(np.log10(d * vocab.rare_words / mass)) if vocab.rare_words else 0.0

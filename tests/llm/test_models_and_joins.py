@@ -189,6 +189,30 @@ def test_marginals_like_enumeration():
     assert np.allclose(both[:70], toxicity.marginals(emit[:70], np.array([70]), trans))
 
 
+def test_transitions_like_enumeration():
+    rng = np.random.default_rng(8)
+    counts = np.array([4, 0, 1, 7])
+    emit, trans = rng.normal(size=12), rng.normal(size=(2, 2))
+    want, at = np.zeros((2, 2)), 0
+    for n in counts:
+        mass, seen = 0.0, np.zeros((2, 2))
+        for ys in itertools.product((0, 1), repeat=int(n)):
+            p = np.exp(sum(emit[at + t] * y + trans[ys[t - 1] if t else 0, y] for t, y in enumerate(ys)))
+            mass += p
+            for t, y in enumerate(ys):
+                seen[ys[t - 1] if t else 0, y] += p
+        want += seen / mass
+        at += n
+    p, got = toxicity.expectations(emit, counts, trans)
+    assert np.allclose(got, want) and np.allclose(p, toxicity.marginals(emit, counts, trans))
+
+
+def test_labels_reach_the_texts_by_broadcast_or_by_shuffle_alike(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    few, many = (toxicity.fit(docs, labels, most_sent=n) for n in (10**6, 0))
+    assert np.allclose(few.weights, many.weights) and np.allclose(few.calibration, many.calibration)
+
+
 def test_toxic_documents_are_found_in_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     rows = toxicity.op4(spark, LARGER).collect()
@@ -304,20 +328,76 @@ def test_base_scores_by_plain_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_model_is_a_distribution(spark, odd, odd_rows):
+def walk(vocab, weights, history, word):
+    """Log probability of a listed word by plain sums over its path; history: hashes of the three words before, nearest first."""
+    hashes = maxent.features(np.array([*history[::-1], 0], np.uint64), np.array([4]))[-1]
+    i, out = int(np.flatnonzero(vocab.words == word)[0]), 0.0
+    for s in range(vocab.starts[i], vocab.starts[i] + vocab.depth[i]):
+        node, child = int(vocab.nodes[s]), int(vocab.children[s])
+        mixed = int(maxent.mix64(np.array([node + 1], np.uint64))[0])
+        rows = [((int(h) ^ mixed) * int(maxent._TURN) % 2**64) >> (64 - vocab.bits) for h in hashes]
+        z = [float(vocab.priors[node, c]) + sum(float(weights[r, c]) for r in rows) for c in range(maxent.BRANCH)]
+        out += z[child] - np.log(sum(np.exp(x) for x in z))
+    return out
+
+
+def test_choices_are_a_distribution_over_all_words(spark, odd, odd_rows):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     vocab, words = maxent.vocabulary(maxent.count(docs))
     weights = maxent.train(docs, vocab, rounds=1)
-    flat, counts = maxent.tokens([b"the words of a text", b"", b"more"], maxent.WordHash())
-    p = np.exp(maxent._log_classes(weights, maxent.features(flat, counts)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    share = np.bincount(vocab.kind, weights=10**vocab.share, minlength=vocab.classes)
-    assert np.allclose(share[np.unique(vocab.kind)], 1)
+    assert np.abs(weights).max() > 0.1 and vocab.depth.max() > 2
+    history = vocab.words[:3].tolist()
+    each = np.array([walk(vocab, weights, history, w) for w in vocab.words])
+    assert abs(np.exp(each).sum() - 1) < 1e-3
+    # the same numbers from the batches; the word after three others depends on them in a trained model
+    for k in (5, 50, len(vocab.words) - 1):
+        flat = np.array([*history[::-1], vocab.words[k]], np.uint64)
+        got, _, here = maxent.log_choices(vocab, weights, flat, np.array([4]))
+        assert here.all() and abs(got[3] - each[k]) < 1e-3
+    other = np.array([walk(vocab, weights, history[::-1], w) for w in vocab.words])
+    assert np.abs(other - each).max() > 0.05
     assert maxent.score(odd, vocab, words, weights).count() == len(odd_rows) and maxent.score(odd.limit(0), vocab, words, weights).count() == 0
     none, no_words = maxent.vocabulary(maxent.count(odd.limit(0)))
     assert maxent.score(odd, none, no_words, maxent.train(odd.limit(0), none)).count() == len(odd_rows)
 
 
+def test_a_words_siblings_are_told_apart_by_history(spark):
+    """Two words of equal count, in one innermost class: only their own softmax can tell which follows what."""
+    rng = random.Random(3)
+    texts = [" ".join(x for _ in range(30) for x in (("red", "apple") if rng.random() < 0.5 else ("blue", "berry"))) for _ in range(300)]
+    docs = documents(spark, list(enumerate(texts)))
+    vocab, words = maxent.vocabulary(maxent.count(docs))
+    got = {r.doc_id: r.score for r in maxent.score(documents(spark, [(1, "red apple"), (2, "red berry")]), vocab, words, maxent.train(docs, vocab)).collect()}
+    assert got[1] > got[2] + 0.5
+
+
+def test_gradient_like_differences():
+    rng = np.random.default_rng(5)
+    words = np.sort(rng.integers(1, 2**60, 40, dtype=np.uint64))
+    vocab = maxent.Vocabulary(words, rng.integers(3, 90, 40), np.arange(40) % 2, 3000, 50, (7, 5, 0.5))
+    flat = rng.choice(vocab.words, 60)
+    _, node, child, rows = vocab.choices(vocab.look(flat)[0], maxent.features(flat, np.array([60])))
+    weights = rng.normal(size=(1 << vocab.bits, maxent.BRANCH)).astype(np.float64)
+    priors = vocab.priors.astype(np.float64)
+
+    def loss(w):
+        z = maxent._levels(w, priors, node, rows)
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(child)), child]).sum()
+
+    g = maxent._residual(weights, priors, node, child, rows)
+    sums = np.zeros_like(weights)
+    for f in range(rows.shape[1]):
+        at, n, grad = maxent._gradient(g, rows[:, f])
+        assert n.sum() == len(rows) and len(np.unique(at)) == len(at)
+        sums[at] += grad
+    for r in rng.choice(np.unique(rows), 10):
+        for c in range(2):
+            up, down = weights.copy(), weights.copy()
+            up[r, c] += 1e-4
+            down[r, c] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - sums[r, c]) < 1e-4
+
+
 # n-gram Jaccard join
 
 
