@@ -1,20 +1,27 @@
 """Operator 8: personal data by candidate gradient boosting, in Spark expressions only.
 
 1. Base rules (email, ip, card, phone) give spans that always stay.
-2. High-recall generators propose overlapping candidate spans: anything with an @, any long chain of digits, any dotted number.
+2. High-recall generators propose overlapping candidate spans: anything with an @ or "(at)", digits with single separators,
+   digits in the groups of a phone number, dotted numbers.
 3. Each candidate gets format features (lengths, kinds of characters, groups) and context features (neighbouring
-   characters, cue words within 40 code points before it). The validators of the base rules (Luhn, part sizes) are no features.
-4. Gradient-boosted trees learn from weak labels: 1 where a candidate covers a base span, 0 elsewhere. They are fitted on
-   at most ``FIT_ROWS`` distinct candidates of each generator, taken in hash order over the whole corpus. A quarter of all
-   distinct candidates, by hash, is held out and never fitted.
-5. Per generator, the lowest score whose precision over ALL held-out candidates reaches ``PRECISION`` is the threshold. Candidates at or over it
-   that touch no base span are added to the result. A generator with too few held-out positives adds nothing.
-
-The trees become nested CASE expressions, so scoring is one projection without a shuffle.
+   characters, cue words within ``CONTEXT`` code points before it).
+4. Labels come from what the features don't show. A candidate is right where a base span, and so a validator (Luhn, parts up to
+   255, a mail host, a dialling prefix), confirms it. It is refuted where a validator speaks against it: a card-sized number
+   that fails Luhn, a dotted number that is no address, digits inside a longer word, a date, a single repeated digit, a handle without a
+   host. All others (phone numbers without a prefix, written-out addresses) are open: they are never learned from, and only
+   they can be added. The plus sign, the @ and the outcome of validators are no features, so open candidates look like confirmed ones.
+5. Gradient-boosted trees are fitted on at most ``FIT_ROWS`` distinct labelled candidates of each generator, taken in hash
+   order over the whole corpus. A quarter of all distinct candidates, by hash, is held out and never fitted.
+6. Per generator, the lowest score whose precision over ALL held-out labelled candidates reaches ``PRECISION`` is the
+   threshold. Open candidates at or over it that touch no base span are added. A generator with fewer than ``LEAST`` held-out
+   candidates of either class has no calibration and adds nothing.
+
+The trees become nested CASE expressions, so scoring is one projection without a shuffle. Spans and redaction take time in
+proportion to a text's length and matches, however long it is.
 
 Null text is empty text: no spans, and a redacted null stays null. Repeated rows and ids give a row each; a null id stays
-null. An empty table, or one with a single class of labels, has no model and keeps base spans only. Extra columns are
-kept by ``redact`` and ignored by ``scan``.
+null. Spans of equal start are ordered by kind as listed, then end. An empty table, or one with a single class of labels,
+has no model and keeps base spans only. Extra columns are kept by ``redact`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -31,8 +38,8 @@ from .common import cut, read
 
 FIT_ROWS = 20_000
 PRECISION = 0.9
-#: Held-out positives that a threshold needs, at least.
-LEAST_POSITIVES = 20
+#: Held-out candidates of each class that a threshold needs, at least.
+LEAST = 20
 CONTEXT = 40
 
 # The base patterns, in the order their kinds are listed. (?:(?<!x)|\G) starts a run of x at its first
@@ -45,10 +52,12 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The generators, and the cue words of the context features.
 GENERATORS = {
-    "email_like": r"""[^\s@<>"'(),;]{1,64}+@[^\s@<>"'(),;]{2,253}+""",
-    "number_like": r"\+?[0-9(][0-9().\x20-]{5,40}[0-9]",
-    "dotted_like": r"[0-9]{1,6}+(?:\.[0-9]{1,6}+){3,12}+",
+    "email_like": r"""(?:(?<![^\s@<>"'(),;])|\G)[^\s@<>"'(),;]++(?:@|\x20?[(\[]at[)\]]\x20?)[^\s@<>"'(),;]{2,}+(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]++)*+""",
+    "digits_like": r"[0-9](?:[\x20./-]?[0-9]){6,}+",
+    "phone_like": r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}",
+    "dotted_like": r"(?:(?<![0-9.])|\G)[0-9]++(?:\.[0-9]++){3,}+",
 }
+DATE = r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})"
 CUES = (
     r"(?i)\b(phone|tel|telephone|call|fax|mobile|cell|whatsapp)\b",
     r"(?i)\b(card|visa|mastercard|amex|iban|account|credit|debit|ssn|passport)\b",
@@ -67,42 +76,54 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def _features(h: Column, text: Column) -> Column:
-    s = h["s"]
+def _features(h: Column) -> Column:
+    s, before = h["s"], h["before"]
     n = lambda pattern: F.length(F.regexp_replace(s, f"[^{pattern}]", ""))
     groups = F.filter(F.split(s, r"[^A-Za-z0-9]+"), lambda g: F.length(g) > 0)
     sizes = F.transform(groups, lambda g: F.length(g))
-    before = F.substring(text, F.greatest(h["start"] - CONTEXT + 1, F.lit(1)), F.least(h["start"], F.lit(CONTEXT)))
     side = lambda c: F.when(F.length(c) == 0, 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
+    digits = F.regexp_replace(s, "[^0-9]", "")
     numbers = [
         h["rank"],
-        F.length(s),
-        *map(n, ("0-9", "A-Za-z", "A-Z", r"\x20", "-", ".", "()", "+", "_%")),
-        F.when(s.rlike("^[0-9]"), 1).otherwise(0),
-        F.size(F.array_distinct(F.split(F.regexp_replace(s, "[^0-9]", ""), ""))),
+        *map(n, ("0-9", "A-Za-z", "A-Z", r"\x20", "-", ".", "()", "_%")),
+        F.size(F.array_distinct(F.split(digits, ""))),
         F.size(groups),
         F.coalesce(F.array_max(sizes), F.lit(0)),
         F.coalesce(F.array_min(sizes), F.lit(0)),
         F.coalesce(F.element_at(F.when(F.size(sizes) > 0, sizes), -1), F.lit(0)),
-        side(F.when(h["start"] > 0, F.substring(text, h["start"], F.lit(1))).otherwise("")),
-        side(F.substring(text, h["end"] + 1, F.lit(1))),
+        side(F.right(before, F.lit(1))),
+        side(h["after"]),
         *[F.when(before.rlike(c), 1).otherwise(0) for c in CUES],
     ]
     return F.array(*[x.cast("double") for x in numbers])
 
 
+def _label(h: Column, confirmed: Column) -> Column:
+    """1 confirmed, 0 refuted, null open."""
+    digits = F.regexp_replace(h["s"], "[^0-9]", "")
+    inside = F.right(h["before"], F.lit(1)).rlike(r"[\p{L}\p{N}]") | h["after"].rlike(r"[\p{L}\p{N}]")
+    card = F.length(digits).between(14, 19) & ~F.call_function("luhn_check", digits)
+    numeric = h["kind"].isin("digits_like", "phone_like")
+    refuted = (
+        (numeric & (inside | card | (F.length(digits) > 19) | h["s"].rlike(DATE) | digits.rlike(r"^([0-9])\1*$")))
+        | (h["kind"] == "dotted_like")
+        | ((h["kind"] == "email_like") & F.contains(h["s"], F.lit("@")))
+    )
+    return F.when(confirmed, 1).when(refuted, 0)
+
+
 def _proposed(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """keep, base, cands: array<struct<start, end, kind, rank, s, label, x>>; written once."""
     text = F.coalesce(F.col("doc.text"), F.lit(""))
-    guards = {"email_like": F.contains(text, F.lit("@"))}
-    cands = F.concat(*[spans.find(text, p, k, len(KINDS) + i, guard=guards.get(k)) for i, (k, p) in enumerate(GENERATORS.items())])
+    guards = {"email_like": F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")}
+    cands = F.concat(*[spans.find(text, p, k, len(KINDS) + i, guard=guards.get(k), near=CONTEXT) for i, (k, p) in enumerate(GENERATORS.items())])
     found = docs.select(F.struct("*").alias("doc")).select("doc", base_spans(text).alias("base"), cands.alias("cands"))
-    label = lambda h: F.exists("base", lambda b: _overlaps(h, b) & (2 * (F.least(h["end"], b["end"]) - F.greatest(h["start"], b["start"])) >= F.greatest(h["end"], b["end"]) - F.least(h["start"], b["start"])))
-    rows = F.transform("cands", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["kind"].alias("kind"), h["rank"].alias("rank"), h["s"].alias("s"), label(h).cast("int").alias("label"), _features(h, text).alias("x")))
+
+    def row(z: Column) -> Column:
+        h = z["h"]
+        return F.struct(*[h[c].alias(c) for c in ("start", "end", "kind", "rank", "s")], _label(h, z["touches"]).alias("label"), _features(h).alias("x"))
+
+    rows = F.when(F.size("cands") > 0, F.transform(spans.touching(F.col("cands"), F.col("base")), row)).otherwise(F.array())
     return cut(found.select(*keep, "base", rows.alias("cands")), "pii-candidates")
 
 
@@ -131,7 +152,7 @@ class Boosted:
 
 
 def fit(proposed: DataFrame, rows: int = FIT_ROWS, precision: float = PRECISION) -> Boosted:
-    flat = proposed.filter(F.size("cands") > 0).select(F.explode("cands").alias("h")).select("h.kind", "h.s", "h.label", "h.x")
+    flat = proposed.filter(F.size("cands") > 0).select(F.explode("cands").alias("h")).select("h.kind", "h.s", "h.label", "h.x").filter("label is not null")
     flat = flat.withColumn("h", F.xxhash64("s", "kind"))
     held = F.pmod(F.col("h"), F.lit(4)) == 0
     distinct = lambda part: part.groupBy("kind", "s", "h").agg(F.max("label").alias("label"), F.min("x").alias("x"))
@@ -140,20 +161,31 @@ def fit(proposed: DataFrame, rows: int = FIT_ROWS, precision: float = PRECISION)
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2 or min(seen.values()) < 10:
         return Boosted()
-    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=15, maxDepth=3, stepSize=0.3, seed=7).fit(sample.select(array_to_vector("x").alias("v"), F.col("label").cast("double").alias("y")).coalesce(2))
-    out = Boosted([t._call_java("rootNode") for t in model.trees], list(model.treeWeights))
+    out = boosted(sample)
     bins = distinct(flat.filter(held)).select("kind", "label", F.floor(out.score(F.col("x")) * 1000).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
     for kind in GENERATORS:
+        mine = sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"])
+        whole, right = sum(r["n"] for r in mine), sum(r["pos"] for r in mine)
+        if min(right, whole - right) < LEAST:
+            continue
         pos = n = 0
-        for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):
+        for r in mine:
             pos, n = pos + r["pos"], n + r["n"]
-            if pos >= LEAST_POSITIVES and pos >= precision * n:
+            if pos >= LEAST and pos >= precision * n:
                 out.thresholds[kind] = r["bin"] / 1000
     return out
 
 
+def boosted(sample: DataFrame) -> Boosted:
+    """The trees fitted on sample(x, label)."""
+    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=15, maxDepth=3, stepSize=0.3, seed=7).fit(sample.select(array_to_vector("x").alias("v"), F.col("label").cast("double").alias("y")).coalesce(2))
+    out = Boosted([t._call_java("rootNode") for t in model.trees], list(model.treeWeights))
+    out.model = model
+    return out
+
+
 def _chosen(model: Boosted) -> Column:
-    added = F.filter("cands", lambda h: model.accepts(h) & ~F.exists("base", lambda b: _overlaps(h, b)))
+    added = F.filter("cands", lambda h: h["label"].isNull() & model.accepts(h))
     return F.concat("base", F.transform(added, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["kind"].alias("kind"), h["rank"].alias("rank"), h["s"].alias("s"), F.lit(None).cast("string").alias("g"))).cast(spans.SPAN))
 
 
@@ -166,18 +198,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows the text."""
     proposed = _proposed(docs, [F.col("doc")])
-    text = F.col("doc.text")
-
-    def step(acc: Column, h: Column) -> Column:
-        tag = F.concat(F.lit("["), F.upper(F.regexp_replace(h["kind"], "_like$", "")), F.lit("]"))
-        fresh = h["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], h["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, h["start"] - acc["at"]), tag)).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    done = proposed.select("doc", spans.in_order(_chosen(fit(proposed))).alias("found")).select("doc", F.when(F.size("found") > 0, folded).otherwise(text).alias("new"))
+    tag = lambda h: F.concat(F.lit("["), F.upper(F.regexp_replace(h["kind"], "_like$", "")), F.lit("]"))
+    done = proposed.select("doc", spans.in_order(_chosen(fit(proposed))).alias("found")).select("doc", spans.replaced(F.col("doc.text"), F.col("found"), tag).alias("new"))
     value = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return done.select(*[value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 

@@ -6,13 +6,16 @@ being a block of text without a blank line. The link is an interval join: parts
 smallest start and largest end per role, and a weak part probes the bins its reach touches. As a bin is as wide as the
 reach, those two numbers decide exactly whether a partner exists; no pair of parts is ever emitted.
 
+Scopes, and which weak parts overlap strong ones, come from one window over a text's parts in order, so a very long text takes
+time in proportion to its length and parts. Parts of equal start are ordered by kind as listed.
+
 Null text is empty text: no spans. Repeated rows and repeated ids give a row each. A null id stays null. An empty table
 gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spans
@@ -30,8 +33,9 @@ STRONG = ("assign", "access", "hex")
 
 # The weak patterns.
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])"
-ACCOUNT = r"""(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64}+)"""
-ENDPOINT = r"""\b[a-z][a-z0-9+.-]{1,20}+://[^\s"'<>]{3,200}+"""
+ACCOUNT = r"""(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}+)"""
+ENDPOINT = r"""(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s"'<>]{3,}+"""
+BREAK = r"\n[\x20\t\r]*+(?=\n)"
 
 #: Role of each kind, and the roles that complete it.
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "opaque": "secret", "account": "identifier", "endpoint": "endpoint"}
@@ -80,14 +84,24 @@ def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, spans: array<struct<start, rank, end, kind, s>> of strong spans and linked weak spans, ordered; plus ``strong``, the strong ones."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    breaks = F.when(F.size("weak") > 0, spans.find(F.col("text"), BREAK, "break", len(ROLE))).otherwise(spans.none())
     found = cut(
         docs.select("doc_id", strong_spans(text).alias("strong"), weak_spans(text).alias("weak"), text.alias("text"))
-        .withColumn("weak", F.filter("weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
-        .withColumn("scoped", F.transform(F.concat("strong", "weak"), lambda h: F.struct(h.alias("h"), F.size(F.split(F.substring(F.col("text"), F.lit(1), h["start"]), r"\n[\x20\t\r]*\n")).alias("scope"))))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "strong", "scoped", (F.size("weak") > 0).alias("any_weak")),
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "strong", "weak", breaks.alias("breaks")),
         "secret-parts",
     )
-    parts = found.filter("any_weak").select("row", F.explode("scoped").alias("x")).select("row", "x.scope", "x.h.*")
+    every = found.filter(F.size("weak") > 0).select("row", F.inline(F.concat("strong", "weak", "breaks")))
+    order = Window.partitionBy("row").orderBy("start", "rank", "end")
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"), F.desc("end"))
+    strong, before, after = F.col("kind").isin(*STRONG), order.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.select(
+        "*",
+        F.count_if(F.col("kind") == "break").over(before).alias("scope"),
+        F.max(F.when(strong, F.col("end"))).over(before).alias("reach"),
+        F.min(F.when(strong, F.col("start"))).over(after).alias("next"),
+    )
+    overlaps = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    parts = placed.filter(strong | ((F.col("kind") != "break") & ~overlaps)).select("row", "scope", "start", "end", "kind", "rank", "s", "g")
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])[F.col("kind")]
     linked = link(parts.withColumn("role", role).withColumn("weak", ~F.col("kind").isin(*STRONG)), reach)
     per_row = linked.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "rank", "s", F.lit(None).cast("string").alias("g"))).cast(spans.SPAN).alias("linked"))

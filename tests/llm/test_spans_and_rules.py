@@ -1,8 +1,10 @@
 """Operators 1, 8, 10 and 7: base rules against plain scans, links and models against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,12 +98,72 @@ def test_pii_model_adds_and_redacts(spark):
         assert r.text == want + texts[r.doc_id][at:] and r.n_chars == len(r.text)
 
 
-def test_thresholds_come_from_all_held_out_candidates(spark):
+def national(rng, i):
+    """A text and the phone number without prefix in it (none in every second text)."""
+    open_number = f"({rng.randrange(100, 999)}) 555-{i % 10000:04d}"
+    kinds = [f"call the mobile phone {open_number} now", f"order {rng.randrange(10**6, 10**7)} of the build", f"hash {rng.randrange(16**12):x}ff{rng.randrange(10**8)}a end", f"item 2019-10-{i % 28 + 1:02d} ref {rng.randrange(10**15, 10**16)}"]
+    return (kinds[0], open_number) if i % 2 else (kinds[1 + i // 2 % 3], None)
+
+
+def test_open_candidates_are_added_by_the_model(spark):
+    rng = random.Random(21)
+    rows = [(i, f"phone +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(10**4):04d} today") for i in range(600)]
+    rows += [(1000 + i, f"ref {rng.randrange(10**15, 10**16)} or code a{rng.randrange(10**9)}b {rng.randrange(1900, 2020)}-0{i % 9 + 1}-11") for i in range(900)]
+    planted = {2000 + i: national(rng, i) for i in range(200)}
+    got = {r.doc_id: r for r in pii.scan(documents(spark, rows + [(i, t) for i, (t, _) in planted.items()])).collect()}
+    texts = dict(rows) | {i: t for i, (t, _) in planted.items()}
+    found = {i: {texts[i][s.start : s.end] for s in r.spans if s.kind in pii.GENERATORS} for i, r in got.items()}
+    sought = {i: n for i, (_, n) in planted.items() if n}
+    assert sum(n in found[i] for i, n in sought.items()) >= 0.9 * len(sought)
+    # what validators refute is never added
+    assert not any(found[i] for i in texts if i not in sought and "order" not in texts[i])
+
+
+def test_the_expression_scores_like_the_trees(spark):
+    rng = random.Random(22)
+    sample = spark.createDataFrame([(x, int(x[0] + x[3] > 8 or x[1] == 2)) for x in ([float(rng.randrange(9)) for _ in range(6)] for _ in range(400))], "x array<double>, label int")
+    model = pii.boosted(sample)
+    scored = model.model.transform(sample.select("x", pii.array_to_vector("x").alias("v"))).select(model.score(pii.F.col("x")).alias("ours"), "probability").collect()
+    assert all(abs(r.ours - float(r.probability[1])) < 1e-9 for r in scored) and len({round(r.ours, 6) for r in scored}) > 10
+
+
+def test_thresholds_need_both_classes_and_come_from_all_held_out_candidates(spark):
     rng = random.Random(12)
     text = lambda i: f"ip host 10.{i % 250}.{i // 250}.{rng.randrange(250)} of the server" if i % 20 == 0 else f"version {rng.randrange(300, 9999)}.{i}.{rng.randrange(10**5)}.{rng.randrange(300, 999)} of a part"
     proposed = pii._proposed(documents(spark, [(i, text(i)) for i in range(6000)]), [pii.F.col("doc.doc_id")])
-    # the sample alone holds fewer than LEAST_POSITIVES held-out positives
+    # the sample alone holds fewer than LEAST held-out positives
     assert "dotted_like" in pii.fit(proposed, rows=1200).thresholds
+    lone = pii._proposed(documents(spark, [(i, f"mail a{i}@mail.example.org or {rng.randrange(10**15, 10**16)}") for i in range(600)]), [pii.F.col("doc.doc_id")])
+    assert "email_like" not in pii.fit(lone).thresholds
+
+
+@pytest.mark.parametrize("query", [secret_scan.scan, pii.redact])
+def test_long_texts_take_time_in_proportion(spark, query):
+    part = "login: jdoe99 then Zx81kQ92mmPq7TtR4 at https://h.example/x\n\npassword=hunter22x mail a.b@mail.example.org or +1 (555) 123-4567 "
+    times = []
+    for n in (4000, 40_000):
+        began = time.time()
+        got = query(documents(spark, [(1, part * n)])).collect()
+        times.append(time.time() - began)
+        assert len(got) == 1
+    assert times[1] < 60 and times[1] < 30 * max(times[0], 2)
+
+
+def test_running_merges_and_replacements_like_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [([rng.randrange(50) for _ in range(n)],) for n in (0, 1, 2, 255, 256, 257, 1000)]
+    col = pii.F.col("v")
+    for r in spark.createDataFrame(rows, "v array<int>").select("v", pii.spans.scan(col, lambda a, b: a + b).alias("s"), pii.spans.scan(col, pii.F.greatest).alias("m")).collect():
+        assert r.s == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate(r.v, max))
+    text = "".join(rng.choice("abc é🎉") for _ in range(20_000))
+    marks = sorted((s, s + rng.randrange(1, 40)) for s in (rng.randrange(19_900) for _ in range(300)))
+    df = spark.createDataFrame([(text, [(s, e, "x", 0, "", None) for s, e in marks])], f"t string, h {pii.spans.SPAN}")
+    want, at = "", 0
+    for s, e in marks:
+        if s >= at:
+            want += text[at:s] + "[x]"
+        at = max(at, e)
+    assert df.select(pii.spans.replaced(pii.F.col("t"), pii.F.col("h"), lambda h: pii.F.concat(pii.F.lit("["), h["kind"], pii.F.lit("]"))).alias("r")).first().r == want + text[at:]
 
 
 def test_odd_rows(spark, odd, odd_rows):
