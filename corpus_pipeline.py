@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame; all but
 the last return the columns of documents. ``run`` writes each stage's rows to the shared folder and reads them back.
+
+Every stage: null text is empty text and stays null; a null doc_id stays null and such rows are never dropped as copies; very
+long texts are worked on whole; of near copies, and of repeated rows, the smallest doc_id stays, of rows that repeat an id and its text
+one; an empty table gives an empty table; extra columns are kept, whatever their names, by all stages but packing.
 """
 
 from __future__ import annotations

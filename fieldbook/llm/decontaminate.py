@@ -15,7 +15,7 @@ The benchmark is taken in blocks of bounded size, each sent to all tasks; docume
 are counted over the whole benchmark, and with each block go those of several items (20 bytes each), so verdicts don't
 depend on the blocks.
 
-Null or empty text leaks nothing, and null or wordless items are never found. Repeated documents give a row each per item;
+Null or empty text leaks nothing, and null or wordless items are never found. A very long text is searched whole; of equally near windows the first is taken. Repeated documents give a row each per item;
 repeated items each give their row. Null ids stay null. Empty tables give an empty result. Extra columns are ignored by
 ``leaks`` and kept by ``reject``.
 """

@@ -12,7 +12,7 @@ Texts are lower-cased, other characters than letters and apostrophes become sing
 
 Trees are of bounded size: at most ``NODES`` (context, byte) pairs are kept, those with the highest counts; the limit on
 counts is found from a histogram, so it is one rule at all sizes. Null text or a text without letters is ``und`` with score 0; so
-is everything if there is nothing to learn from. Repeated rows and ids give a row each; a null id stays null, is learned
+is everything if there is nothing to learn from. A very long text is coded whole; of languages with equal codes the first by name wins. Repeated rows and ids give a row each; a null id stays null, is learned
 from, and is not held out. An empty table gives an empty result. Extra columns are ignored.
 """
 

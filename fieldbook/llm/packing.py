@@ -5,10 +5,12 @@
 2. Pieces are dealt by hash into groups of about ``GROUP`` pieces, so a hot source is spread evenly and the number of
    groups grows with the input. Each group is packed best fit, longest first.
 3. Local search inside the group moves documents from less filled to fuller bins, exchanges one for one, or two for one,
-   whenever the sum of squared fills grows, so that little-filled bins empty.
-4. Pieces of bins that stay underfull are dealt into fewer groups and packed again, while that saves sequences.
+   until no such step makes the sum of squared fills grow, so that little-filled bins empty.
+4. Pieces of bins that stay underfull are dealt into fewer groups and packed again, while that saves sequences (``rounds`` times
+   at most).
 
-Null text is empty text (the end id alone, one piece). Repeated rows and ids are packed as rows of their own; a null id
+Null text is empty text (the end id alone, one piece). A very long text is encoded whole and cut into pieces. Ties: the steps of
+largest gain go first, among equals that of the first bin. Repeated rows and ids are packed as rows of their own; a null id
 stays null. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -33,10 +35,9 @@ LENGTH = 2048
 GROUP = 8000
 #: Bins under this part of a sequence are packed again.
 UNDERFULL = 0.985
-PASSES = 3
 END_ID = 0
 #: Words whose ids a worker remembers, at most.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 # White space of the tokenizer, without \x1c-\x1f, which str.split() would also split on.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t\\n\\v\\f\\r \x85\xa0  -     　]+")
@@ -70,8 +71,14 @@ class Ids(dict):
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")
-        text = _TAIL.sub(r" \1", text.lower())
+            low = text.replace("Σ", "σ").lower()
+            # a lowered letter may come apart into a letter and a mark, which normalizing again would reorder: such a text is lowered by the tokenizer alone
+            if not unicodedata.is_normalized("NFC", low):
+                return _SPACE.split(text) if _ODD.search(text) else text.split()
+            text = low
+        else:
+            text = text.lower()
+        text = _TAIL.sub(r" \1", text)
         return _SPACE.split(text) if _ODD.search(text) else text.split()
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
@@ -143,8 +150,8 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], cap: int, passes: int = PASSES) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges between underfull bins, as long as the sum of squared fills grows."""
+def local_search(bins: list[list[int]], sizes: list[int], cap: int) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges between underfull bins, until none makes the sum of squared fills grow."""
     fill = [sum(sizes[i] for i in b) for b in bins]
     done = [b for b, f in zip(bins, fill, strict=True) if f >= cap]
     open_bins = [b for b, f in zip(bins, fill, strict=True) if f < cap]
@@ -152,19 +159,21 @@ def local_search(bins: list[list[int]], sizes: list[int], cap: int, passes: int
     item = np.array([i for b in open_bins for i in b], np.int64)
     size = np.array(sizes, np.int64)[item] if len(item) else item
     home = np.repeat(np.arange(len(open_bins)), [len(b) for b in open_bins])
-    for _ in range(passes):
+    changed = True
+    while changed:
         changed = False
         for a in np.argsort(fills, kind="stable"):
             while fills[a]:
                 mine = np.flatnonzero(home == a)
                 best, act = 0, None
-                groups = [(x,) for x in mine] + [(mine[i], mine[j]) for i in range(len(mine)) for j in range(i + 1, len(mine))][:64]
-                tried = set()
+                # documents of one size are alike, so one of each size, and one pair of each sum of two, stand for all
+                own = size[mine]
+                some = mine[np.sort(np.unique(own, return_index=True)[1])]
+                left, right = np.triu_indices(len(mine), 1)
+                _, first = np.unique(own[left] + own[right], return_index=True)
+                groups = [(x,) for x in some] + list(zip(mine[left[first]].tolist(), mine[right[first]].tolist(), strict=True))
                 for g in groups:
                     s = int(size[list(g)].sum())
-                    if (len(g), s) in tried:
-                        continue
-                    tried.add((len(g), s))
                     if len(g) == 1:
                         # a move: d = s more in the other bin
                         gain = np.where((fills + s <= cap) & (fills + s > fills[a]), 2 * s * (fills - fills[a] + s), 0)

@@ -11,7 +11,7 @@
    nothing above it is found. ``origins`` gives the message that most of each level comes from. Following replies to their root by pointer
    doubling gives threads; messages are ordered by root, then by place, so a reply always follows what it answers.
 
-Messages are ordered by (conv_id, turn); nulls come first. Null text has no lines. Repeated rows are messages of their own; a tie is decided
+Messages are ordered by (conv_id, turn); nulls come first. Null text has no lines. A very long message is parsed whole. Repeated rows are messages of their own; a tie is decided
 by row order. An empty table gives an empty result; extra columns are ignored.
 """
 

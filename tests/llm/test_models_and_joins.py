@@ -65,6 +65,15 @@ def test_packing_of_odd_rows_in_many_groups(spark, odd, odd_rows):
     assert packing.pack(odd.limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_ids_are_the_tokenizers_whatever_the_marks():
+    rng, path = random.Random(31), packing.default_tokenizer()
+    known = packing.Ids(path)
+    letters = "İIıiSßΣσςAÅåE\u0301e Éñ.,!?\u0327\u0307\u0301\u0323\u0308\u0328ﬁ가각한\u1100\u1161  \t\n\x1c\x85\xa0\u2028🎉09_-'"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(20_000)]
+    for t, raw in zip(texts, known.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == known.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_local_search_raises_squared_fill():
     rng = random.Random(2)
     for _ in range(20):
