@@ -87,3 +87,74 @@ def sort_rank_door(door: Column) -> Column:
     d = F.lower(F.trim(door))
     side = F.when(d.isNull() | (d == ""), 0).when(d == "tv", 1).when(d == "mf", 2).when(d == "th", 3).when(d.rlike("^[0-9]+$"), 4).otherwise(5)
     return F.struct(side.alias("group"), F.coalesce(d.try_cast("int"), F.lit(0)).alias("n"))
+
+
+# Letters with marks and the plain ones they are looked up by.
+_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüý", "aaaaaaceeeeiiiinoooooouuuuy"
+
+
+def unaccented(text: Column) -> Column:
+    """Lower case without marks: index and query side alike."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
+
+
+def with_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
+    """The tokens and, for each that has one, its synonym: index side only."""
+    if not synonyms:
+        return tokens
+    table = F.create_map(*[F.lit(x) for kv in sorted(synonyms.items()) for x in kv])
+    return F.array_distinct(F.concat(tokens, F.array_compact(F.transform(tokens, lambda t: table[t]))))
+
+
+def spoken(address: Column) -> Column:
+    """Words that stand for a floor or add nothing, in the register's own form: kld is kl, stueplan is st, sal goes."""
+    out = F.regexp_replace(F.lower(address), r"\bkld\b\.?", "kl")
+    out = F.regexp_replace(out, r"\b(?:stueplan|stuen|stue)\b\.?", "st")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\bsal\b\.?", " "), r"\s+", " "))
+
+
+#: A strict address: street, house number, floor and door, locality, postal code and city.
+ADDRESS = r"^(?<street>[^,0-9][^,]*?) (?<number>[0-9]{1,3}[A-Za-z]?)(?:, (?:(?<floor>st|kl[0-9]?|[0-9]{1,2})\.?)(?: (?<door>[^,]+))?)?(?:, (?<locality>[^,0-9][^,]*))?, (?<postal>[0-9]{4}) (?<city>[^,]+)$"
+_PARTS = ("street", "number", "floor", "door", "locality", "postal", "city")
+
+
+def address_parts(text: Column) -> Column:
+    """Struct of a strictly written address, null where it is none; parts that are missing are null."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    parts = F.struct(*[F.nullif(F.regexp_extract(clean, ADDRESS, i), F.lit("")).alias(p) for i, p in enumerate(_PARTS, 1)])
+    return F.when(clean.rlike(ADDRESS), parts)
+
+
+def house_number_between(h: Column, low: Column, high: Column) -> Column:
+    """Closed range of house numbers, letters included; an end that is null is open."""
+    at = lambda x: F.struct(x["number"], F.coalesce(x["letter"], F.lit("")))
+    return F.coalesce(at(h) >= F.when(low.isNotNull(), at(low)), F.lit(True)) & F.coalesce(at(h) <= F.when(high.isNotNull(), at(high)), F.lit(True)) & h.isNotNull()
+
+
+def postal_blank(code: Column) -> Column:
+    """Four digits behind the blank that a sign would take."""
+    return F.concat(F.lit(" "), F.lpad(code.cast("string"), 4, "0"))
+
+
+def local_day(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
+    """The day of an instant where the register is kept."""
+    return F.date_trunc("day", F.from_utc_timestamp(ts, zone))
+
+
+def iso_utc(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def mapped(code: Column, table: dict, other=None) -> Column:
+    """A code by a table of values; codes that are not in it give ``other``."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[code], F.lit(other)) if other is not None else F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[code]
+
+
+def link(base: str, *parts: Column) -> Column:
+    """The address of a row's own page; null where a part of its key is null."""
+    return F.concat(F.lit(base.rstrip("/")), *[x for p in parts for x in (F.lit("/"), F.url_encode(p.cast("string")))])
+
+
+def without_nulls(values: dict[str, Column]) -> Column:
+    """Map of the values that are there."""
+    return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())

@@ -1,56 +1,47 @@
-"""Interval sets of one group: priority, merging, gap extension. Groups are bounded (the intervals of one street side), so they run as grouped maps."""
+"""Interval sets of groups: priority, merging, gap extension, as joins and windows over the pieces between bounds; boxes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def layered(items: list[tuple[float, float, object]]) -> list[tuple[float, float, object]]:
-    """Half-open intervals without overlaps: where two meet, the later-listed one wins; equal neighbours that touch become one."""
-    kept: list[tuple[float, float, object]] = []
-    for lo, hi, ref in items:
-        if not lo < hi:
-            continue
-        rest = []
-        for a, b, r in kept:
-            rest += [(x, y, r) for x, y in ((a, min(b, lo)), (max(a, hi), b)) if x < y]
-        kept = [*rest, (lo, hi, ref)]
-    out: list[tuple[float, float, object]] = []
-    for lo, hi, ref in sorted(kept, key=lambda x: x[0]):
-        if out and out[-1][1] == lo and out[-1][2] == ref:
-            out[-1] = (out[-1][0], hi, ref)
-        else:
-            out.append((lo, hi, ref))
-    return out
-
-
-def extended(items: list[tuple[float, float, object]], low: float = float("-inf"), high: float = float("inf")) -> list[tuple[float, float, object]]:
-    """Sorted disjoint intervals without gaps: each reaches to the next one's start, the first and last to the given ends."""
-    items = sorted(items, key=lambda x: x[0])
-    if not items:
-        return []
-    starts = [low, *[x[0] for x in items[1:]]]
-    return [(s, e, x[2]) for s, e, x in zip(starts, [*starts[1:], high], items, strict=True)]
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def resolve(df: DataFrame, group: list[str], order: list[str], lo: str, hi: str, ref: str, extend: bool = False) -> DataFrame:
-    """Per group, the layered (and extended) intervals of its rows in the given order."""
-    fields = [f for f in df.schema.fields if f.name in (*group, lo, hi, ref)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order)
-        got = layered(list(zip(rows[lo], rows[hi], rows[ref], strict=True)))
-        got = extended(got, rows[lo].min(), rows[hi].max()) if extend else got
-        out = pd.DataFrame(got, columns=[lo, hi, ref])
-        for g in group:
-            out[g] = pdf[g].iloc[0]
-        return out[[f.name for f in fields]]
-
-    return df.groupBy(*group).applyInPandas(run, schema)
+    """Per group, half-open intervals without overlaps: where rows meet, the last in the given order wins; equal neighbours that touch become one.
+
+    Each interval is listed under the pieces between neighbouring bounds that it covers, so all joins are on equal keys. With
+    ``extend`` the gaps are filled: an interval reaches to the next one's start.
+    """
+    rows = df.filter(F.col(lo) < F.col(hi)).select(*group, F.col(lo).alias("lo_"), F.col(hi).alias("hi_"), F.col(ref).alias("ref_"), F.struct(*order).alias("order_"))
+    by_bound = Window.partitionBy(*group).orderBy("x_")
+    bounds = rows.select(*group, F.col("lo_").alias("x_")).union(rows.select(*group, "hi_")).distinct()
+    pieces = bounds.select(*group, "x_", F.row_number().over(by_bound).alias("piece_"), F.lead("x_").over(by_bound).alias("end_"))
+    first = pieces.select(*group, F.col("x_").alias("lo_"), F.col("piece_").alias("from_"))
+    last = pieces.select(*group, F.col("x_").alias("hi_"), (F.col("piece_") - 1).alias("to_"))
+    listed = rows.join(first, [*group, "lo_"]).join(last, [*group, "hi_"]).withColumn("piece_", F.explode(F.sequence("from_", "to_")))
+    top = listed.groupBy(*group, "piece_").agg(F.max_by("ref_", "order_").alias("ref_"))
+    placed = top.join(pieces.drop("end_"), [*group, "piece_"]).join(pieces.select(*group, "piece_", "end_"), [*group, "piece_"])
+    by_piece = Window.partitionBy(*group).orderBy("piece_")
+    same = F.lag("end_").over(by_piece).eqNullSafe(F.col("x_")) & F.lag("ref_").over(by_piece).eqNullSafe(F.col("ref_"))
+    runs = placed.withColumn("new_", F.when(same, 0).otherwise(1)).withColumn("run_", F.sum("new_").over(by_piece))
+    out = runs.groupBy(*group, "run_").agg(F.min("x_").alias(lo), F.max("end_").alias(hi), F.first("ref_").alias(ref))
+    if extend:
+        by_run = Window.partitionBy(*group).orderBy("run_")
+        out = out.withColumn(hi, F.coalesce(F.lead(lo).over(by_run), F.col(hi)))
+    return out.select(*group, lo, hi, ref)
+
+
+def meets(alo: Column, ahi: Column, blo: Column, bhi: Column, a_ends: tuple[bool, bool] = (True, False), b_ends: tuple[bool, bool] = (True, False)) -> Column:
+    """Whether two intervals share a point; the ends say whether the lower and upper bound belong to an interval."""
+    first = (alo <= bhi) if a_ends[0] and b_ends[1] else (alo < bhi)
+    return first & ((blo <= ahi) if b_ends[0] and a_ends[1] else (blo < ahi))
+
+
+def adjacent(alo: Column, ahi: Column, blo: Column, bhi: Column, a_ends: tuple[bool, bool] = (True, False), b_ends: tuple[bool, bool] = (True, False)) -> Column:
+    """Whether two intervals touch without sharing a point: one bound is equal and belongs to exactly one of them."""
+    return ((ahi == blo) & F.lit(a_ends[1] != b_ends[0])) | ((bhi == alo) & F.lit(b_ends[1] != a_ends[0]))
 
 
 def boxes_cut(a: tuple, b: tuple) -> Iterator[tuple]:

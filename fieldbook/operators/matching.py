@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +48,24 @@ def match_all(index: DataFrame, key: str, query: str, prefix_last: bool = False)
     return tested.filter(every).select(key, F.round(1_000_000 * F.col("w") / (1 + F.ln("n"))).cast("long").alias("rank"))
 
 
+def match_scan(df: DataFrame, key: str, fields: dict[str, str], query: str, prefix_last: bool = False) -> DataFrame:
+    """``match_all`` without a stored index: every row is judged where it is read, and nothing is shuffled."""
+    wanted = terms(query, prefix_last)
+    hit = lambda x, t, p: x.startswith(t) if p else x == t
+    ordered = sorted(fields.items(), key=lambda f: f[1])
+    split = df.select(key, *[F.array_distinct(tx.tokens(F.col(c))).alias(f"tokens{i}") for i, (c, _) in enumerate(ordered)])
+    own = split.select(key, *[(F.array_except(f"tokens{i}", F.array_union(F.concat(*[f"tokens{j}" for j in range(i)]), F.array().cast("array<string>"))) if i else F.col("tokens0")).alias(f"tokens{i}") for i in range(len(ordered))])
+    if not wanted:
+        return own.select(key).limit(0).withColumn("rank", F.lit(0.0))
+    every = F.concat(*[f"tokens{i}" for i in range(len(ordered))])
+    found = own.withColumn("all", every)
+    for t, p in wanted:
+        found = found.filter(F.exists("all", lambda x: hit(x, t, p)))
+    some = lambda x: reduce(lambda a, b: a | b, [hit(x, t, p) for t, p in wanted])
+    weight = sum((F.size(F.filter(f"tokens{i}", some)) * F.lit(WEIGHTS[k]) for i, (_, k) in enumerate(ordered)), F.lit(0.0))
+    return found.select(key, F.round(1_000_000 * weight / (1 + F.ln(F.size("all")))).cast("long").alias("rank"))
+
+
 def trigram_top(df: DataFrame, column: str, query: str, key: str, k: int) -> DataFrame:
     """The k rows nearest to the query by trigram distance, then key. Only a top-k goes to one place."""
     d = F.round(tx.trigram_distance(tx.trigrams(F.col(column)), tx.trigrams(F.lit(query))), 6)
@@ -77,20 +94,38 @@ def alignment(a: str, b: str, insert: int = 1, update: int = 1, delete: int = 1)
 
 
 def edit_cost(df: DataFrame, a: str, b: str, insert: int, update: int, delete: int) -> DataFrame:
-    """df with ``cost``: weighted edit distance of two columns, in Arrow batches."""
-    price = {"K": 0, "U": update, "I": insert, "D": delete}
+    """df with ``cost``: weighted edit distance from column a to column b, worked out once for each distinct pair of texts."""
+    chars = lambda c: F.split(F.col(c), "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(cost=[sum(price[o] for o in alignment(x or "", y or "", insert, update, delete)) for x, y in zip(pdf[a], pdf[b], strict=True)])
+    def row(prev: Column, x: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            change = prev[j - 1] + F.when(x == F.col("b_chars_")[j - 1], 0).otherwise(update)
+            return F.concat(done, F.array(F.least(prev[j] + delete, F.element_at(done, F.lit(-1)) + insert, change)))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["cost long"])
-    return df.mapInPandas(run, schema)
+        return F.aggregate("places_", F.array(prev[0] + delete), cell)
+
+    pairs = df.select(a, b).distinct().select(a, b, F.filter(chars(a), lambda x: x != "").alias("a_chars_"), F.filter(chars(b), lambda x: x != "").alias("b_chars_"))
+    placed = pairs.withColumn("places_", F.filter(F.sequence(F.lit(0), F.size("b_chars_")), lambda j: j > 0))
+    first = F.transform(F.sequence(F.lit(0), F.size("b_chars_")), lambda j: j * insert)
+    costs = placed.select(F.col(a).alias("a_"), F.col(b).alias("b_"), F.element_at(F.aggregate("a_chars_", first, row), F.lit(-1)).cast("long").alias("cost"))
+    return df.join(costs, F.col(a).eqNullSafe(F.col("a_")) & F.col(b).eqNullSafe(F.col("b_"))).drop("a_", "b_")
 
 
 def element_score(element: Column, query: Column, weight: float) -> Column:
-    """Autocomplete score of one address element: 0 equal, 1 not asked for, 2 asked for by prefix, else 2 + weighted edits."""
-    return F.when(element == query, 0.0).when(query.isNull() | (query == ""), 1.0).when(element.startswith(query), 2.0).otherwise(2 + F.levenshtein(element, query) * weight)
+    """Autocomplete score of one address element: 0 equal, 1 not asked for, 2 asked for by prefix, else 2 + weighted edits.
+
+    What the element has beyond the end of the query is no edit but costs 1 in all: the edits are those to the element's shortest
+    beginning from which on every further character costs one more.
+    """
+    size, lower = F.length(element), F.lower(query)
+    costs = F.transform(F.sequence(F.lit(0), size), lambda k: F.levenshtein(F.lower(F.left(element, k)), lower))
+
+    def rated(cs: Column) -> Column:
+        end = F.array_max(F.filter(F.sequence(F.lit(0), size), lambda k: (k == 0) | (cs[k] != cs[F.greatest(k - 1, F.lit(0))] + 1)))
+        return 2 + cs[end] * weight + F.when(end < size, 1.0).otherwise(0.0)
+
+    edited = F.transform(F.array(costs), rated)[0]
+    return F.when(element == query, 0.0).when(query.isNull() | (query == ""), 1.0).when(element.startswith(query), 2.0).otherwise(edited)
 
 
 def difference(field: Column, given: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.operators.stored import stored
+
 
 def any_of(column: str, values: list) -> Column:
     """One parameter with several values: OR within it; None asks for missing values."""
@@ -33,6 +35,13 @@ def page(df: DataFrame, key: list[str], number: int | None = None, size: int | N
     return df.orderBy(*key).offset((number - 1) * size).limit(size)
 
 
+def valid_only(df: DataFrame, status: str, good: list, essential: list[str], given: dict[str, object], also: dict[str, list] | None = None) -> DataFrame:
+    """Rows of a valid status with all essentials; each given switch of ``also`` (switch -> more statuses) lets these in, and incomplete rows with them."""
+    more = [v for k, vs in (also or {}).items() if given.get(k) for v in vs]
+    df = df.filter(F.col(status).isin([*good, *more]))
+    return df if more else df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in essential], F.lit(True)))
+
+
 def exists(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other.select(*on), on, "left_semi")
 
@@ -57,20 +66,59 @@ def latest_as_of(df: DataFrame, key: list[str], version: str, at, op: str | None
     return last if op is None else last.filter(F.col(op) != "delete")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0, parts: int = 32) -> DataFrame:
-    """start + 1, 2, ... in order. Sorted ranges are numbered apart and offset by the rows before them, so no task gets all rows.
+def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 0) -> DataFrame:
+    """start + 1, 2, ... in order. Sorted ranges are written with their range's number first, then numbered apart and offset by the rows before them.
 
-    The partition ids are those of one materialisation of the sort, which is persisted for both uses.
+    No task gets all rows, and a lost executor can't change which range a row is in.
     """
-    held = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = {r["_part"]: r["n"] for r in held.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offsets, at = [], start
-    for p in range(parts):
-        offsets.append((p, at))
-        at += sizes.get(p, 0)
-    table = F.create_map(*[F.lit(x) for pair in offsets for x in pair])
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return held.withColumn(name, (table[F.col("_part")] + within).cast("long")).drop("_part")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = stored(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sizes = held.groupBy("range_").agg(F.count("*").alias("n_"))
+    # one row a range, so this window is as small as the number of partitions
+    offsets = sizes.select(F.col("range_"), (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_") + start).alias("offset_"))
+    within = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return held.join(F.broadcast(offsets), "range_").withColumn(name, (F.col("offset_") + within).cast("long")).drop("range_", "offset_")
+
+
+def with_lookups(df: DataFrame, lookups: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Left joins by equal names: each lookup with its columns renamed first, so that what it shares with df is its key."""
+    for other, names in lookups:
+        renamed = other.select(*[F.col(c).alias(names.get(c, c)) for c in other.columns])
+        df = df.join(renamed, [c for c in renamed.columns if c in df.columns], "left")
+    return df
+
+
+def related(df: DataFrame, relations: list[dict]) -> DataFrame:
+    """Declared relations joined one after another: dict(table, name, on: {df column: its column}, many). A row becomes a struct; with ``many`` an array of its rows, by value, null where there is none."""
+    for r in relations:
+        keys = list(r["on"].values())
+        side = r["table"].select(*[F.col(c).alias(f"{r['name']}_key_{c}") for c in keys], F.struct("*").alias(r["name"]))
+        if r.get("many"):
+            side = side.groupBy(*[f"{r['name']}_key_{c}" for c in keys]).agg(F.sort_array(F.collect_list(r["name"])).alias(r["name"]))
+        on = reduce(lambda a, b: a & b, [F.col(mine) == F.col(f"{r['name']}_key_{c}") for mine, c in r["on"].items()])
+        df = df.join(side, on, "left").drop(*[f"{r['name']}_key_{c}" for c in keys])
+    return df
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the columns of a relation of one row (a clock, a union of areas), which an aggregate without keys proves."""
+    return df.crossJoin(F.broadcast(one.agg(*[F.first(c).alias(c) for c in one.columns])))
+
+
+def best_groups(df: DataFrame, group: list[str], score: str, edits: str, k: int) -> DataFrame:
+    """The k groups of best score, then of fewest edits, then by key."""
+    return df.groupBy(*group).agg(F.max(score).alias(score), F.min(edits).alias(edits)).orderBy(F.desc(score), edits, *group).limit(k)
+
+
+def candidates(df: DataFrame, key: list[str], most: int) -> DataFrame:
+    """At most so many rows for a ranking to choose from: those with the lowest keys, so that the choice is the same each time."""
+    return df.orderBy(*key).limit(most)
+
+
+def triggered_order(df: DataFrame, given: dict[str, object], orders: dict[str, list[str]], key: list[str]) -> DataFrame:
+    """Ordered by what the given parameters ask for, in the order they are declared, then by key."""
+    wanted = [c for p, cs in orders.items() if given.get(p) is not None for c in cs]
+    return df.orderBy(*wanted, *key)
 
 
 def fallback(exact: DataFrame, fuzzy: DataFrame) -> DataFrame:

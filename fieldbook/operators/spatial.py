@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import geo
+from fieldbook.operators.stored import stored
 
 
 def within_circle(df: DataFrame, x: str, y: str, cx: float, cy: float, r: float) -> DataFrame:
@@ -46,7 +47,7 @@ def distance_join(a: DataFrame, b: DataFrame, r: float, ax: str = "ax", ay: str
 
 
 def nearest_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float, ax: str = "ax", ay: str = "ay", bx: str = "bx", by: str = "by") -> DataFrame:
-    """The nearest row of b for each row of a, by rings of cells: a hit closer than the ring's width is final; the rest looks in cells twice as wide.
+    """The nearest row of b for each row of a, by rings of cells: a hit closer than the ring's width is final; the rest, written once, looks in cells four times as wide.
 
     The widest ring covers b's whole extent, which its two corners bound, so the loop ends.
     """
@@ -58,11 +59,13 @@ def nearest_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     out, left, r = None, a, cell
     w = Window.partitionBy(a_key).orderBy("distance", b_key)
     while True:
-        best = distance_join(left, b, r, ax, ay, bx, by).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        best = stored(distance_join(left, b, r, ax, ay, bx, by).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r"), "nearest")
         out = best if out is None else out.unionByName(best)
         if r > reach:
             return out
-        left, r = left.join(best.select(a_key), a_key, "left_anti"), r * 4
+        left, r = stored(left.join(best.select(a_key), a_key, "left_anti"), "unmet"), r * 4
+        if left.isEmpty():
+            return out
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, size: float, x: str, y: str, key: str, first_only: str | None = None) -> DataFrame:
@@ -92,3 +95,81 @@ def polygon_join(points: DataFrame, polygons: DataFrame, size: float, x: str, y:
     if first_only is None:
         return hits
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(first_only).orderBy(key))).filter("_r = 1").drop("_r")
+
+
+def covering_or(points: DataFrame, areas: DataFrame, size: float, x: str, y: str, point_key: str, value: str, default) -> DataFrame:
+    """Every point with the lowest ``value`` of the areas that cover it, or the default."""
+    met = polygon_join(points.select(point_key, x, y), areas, size, x, y, value).groupBy(point_key).agg(F.min(value).alias(value))
+    return points.join(met, point_key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def covered_pairs(points: DataFrame, areas: DataFrame, size: float, x: str, y: str, group: str, key: str) -> DataFrame:
+    """Distinct (group of points, area) pairs in which some point is covered."""
+    return polygon_join(points, areas, size, x, y, key).select(group, key).distinct()
+
+
+def box_overlaps(a: DataFrame, b: DataFrame, size: float, least: float) -> DataFrame:
+    """(a_key, b_key, area) of boxes a(a_key, x0, x1, y0, y1) and b that overlap by more than ``least``. Boxes are listed under the grid cells they cross; the overlap's lowest cell alone lists a pair, so none comes twice."""
+    def celled(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(f"{p}_key", *[F.col(c).alias(f"{p}{c}") for c in ("x0", "x1", "y0", "y1")])
+        across = named.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{p}x0") / size), F.floor(F.col(f"{p}x1") / size))))
+        return across.withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / size), F.floor(F.col(f"{p}y1") / size))))
+
+    left, low = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
+    area = (F.least("ax1", "bx1") - left) * (F.least("ay1", "by1") - low)
+    real = (F.col("ax0") < F.col("bx1")) & (F.col("bx0") < F.col("ax1")) & (F.col("ay0") < F.col("by1")) & (F.col("by0") < F.col("ay1"))
+    once = (F.col("cx") == F.floor(left / size)) & (F.col("cy") == F.floor(low / size))
+    return celled(a, "a").join(celled(b, "b"), ["cx", "cy"]).filter(real & once).select("a_key", "b_key", area.alias("area")).filter(F.col("area") > least)
+
+
+def hull_boxes(points: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """A group's points put together: their number, box, centre, and all of them ordered."""
+    return points.groupBy(*group).agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.avg(x).alias("cx"), F.avg(y).alias("cy"))
+
+
+def subdivided(points: DataFrame, x: str, y: str, size: float, most: int = 64, deepest: int = 12) -> DataFrame:
+    """level, cx, cy: each point's cell once squares are quartered until they hold at most so many points (or are ``deepest`` times halved). Only counts of cells are looked at between levels."""
+    out, left = None, points.withColumn("level", F.lit(0))
+    for level in range(deepest + 1):
+        s = size / 2**level
+        here = left.withColumn("level", F.lit(level)).withColumn("cx", F.floor(F.col(x) / s)).withColumn("cy", F.floor(F.col(y) / s))
+        if level == deepest:
+            return here if out is None else out.unionByName(here)
+        crowded = here.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("cx", "cy")
+        done = here.join(crowded, ["cx", "cy"], "left_anti").select(here.columns)
+        out = done if out is None else out.unionByName(done)
+        left = stored(here.join(crowded, ["cx", "cy"], "left_semi").select(points.columns), "crowded")
+        if left.isEmpty():
+            return out
+
+
+def moved(df: DataFrame, x: str, y: str, old_x: str, old_y: str, least: float = 0.1) -> DataFrame:
+    """Rows whose place is new or farther than ``least`` from the one before, compared in millimetres."""
+    far = F.hypot(F.round(x, 3) - F.round(old_x, 3), F.round(y, 3) - F.round(old_y, 3)) > least
+    return df.filter(F.coalesce(far, F.col(x).isNotNull() | F.col(old_x).isNotNull()))
+
+
+def near_place(df: DataFrame, x: str, y: str, px: float, py: float, r: float) -> DataFrame:
+    """Rows within r of a place with their distance; the box test goes to the scan."""
+    return within_circle(df, x, y, px, py, r).withColumn("distance", geo.distance(F.col(x), F.col(y), F.lit(px), F.lit(py)))
+
+
+def line(ax, ay, bx, by):
+    """WKT of the line between two points."""
+    return F.concat(F.lit("LINESTRING("), ax.cast("string"), F.lit(" "), ay.cast("string"), F.lit(","), bx.cast("string"), F.lit(" "), by.cast("string"), F.lit(")"))
+
+
+def registered_elsewhere(df: DataFrame, registered: str, found: str, nulls: bool = True) -> DataFrame:
+    """Rows whose registered area is not the one found on the map; with ``nulls`` a value on one side only is a difference too."""
+    return df.filter(~F.col(registered).eqNullSafe(F.col(found)) if nulls else F.col(registered) != F.col(found))
+
+
+def geometry_differs(a: str, b: str, digits: int = 3):
+    """Whether two arrays of points differ once they are rounded and begin at their lowest point: the same ring begun elsewhere is no change."""
+    def normal(c):
+        pts = F.transform(F.col(c), lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+        bare = F.slice(pts, F.lit(1), F.greatest(F.size(pts) - 1, F.lit(0)))
+        at = F.array_position(bare, F.array_min(bare)).cast("int")
+        return F.concat(F.slice(bare, at, F.size(bare) - at + 1), F.slice(bare, F.lit(1), at - 1))
+
+    return ~F.col(a).eqNullSafe(F.col(b)) & ~normal(a).eqNullSafe(normal(b))

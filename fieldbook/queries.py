@@ -442,7 +442,11 @@ def q_range_contains_parity(spark, d):
     return temporal.banded_join(lines, bands, ["l_partkey", "side"], "q", "lo", "hi", 10).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "lo")
 
 
-@query(None)
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS lo, l_linenumber + l_quantity / 10 AS hi, l_partkey FROM lineitem),
+b AS (SELECT l_orderkey, lo AS x FROM l UNION SELECT l_orderkey, hi FROM l), p AS (SELECT l_orderkey, x AS lo, lead(x) OVER (PARTITION BY l_orderkey ORDER BY x) AS hi FROM b),
+c AS (SELECT p.l_orderkey, p.lo, p.hi, l.l_partkey, row_number() OVER (PARTITION BY p.l_orderkey, p.lo ORDER BY l.l_partkey DESC, l.lo DESC, l.hi DESC) AS r FROM p JOIN l ON p.l_orderkey = l.l_orderkey AND l.lo <= p.lo AND p.hi <= l.hi),
+n AS (SELECT *, CASE WHEN lag(hi) OVER w = lo AND lag(l_partkey) OVER w = l_partkey THEN 0 ELSE 1 END AS n FROM c WHERE r = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY lo)),
+i AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY lo) AS i FROM n) SELECT l_orderkey, min(lo) AS lo, max(hi) AS hi, any_value(l_partkey) AS l_partkey FROM i GROUP BY l_orderkey, i""")
 def q_interval_priority(spark, d):
     lines = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity") / 10).alias("hi"), "l_partkey")
     return intervals.resolve(lines, ["l_orderkey"], ["l_partkey", "lo", "hi"], "lo", "hi", "l_partkey")
@@ -464,8 +468,7 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace({0},
 @query(f"""WITH i AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents), m AS (SELECT doc_id, count(*) AS n, bool_or(token = 'the') AS a, bool_or(starts_with(token, 'tio')) AS b,
 sum(CASE WHEN token = 'the' OR starts_with(token, 'tio') THEN 1 ELSE 0 END) AS w FROM i GROUP BY doc_id) SELECT doc_id, CAST(round(1000000 * w / (1 + ln(n))) AS BIGINT) AS rank FROM m WHERE a AND b""")
 def q_fts_all_prefix(spark, d):
-    index = matching.token_index(t(spark, d, "documents"), "doc_id", {"text": "A"})
-    return matching.match_all(index, "doc_id", "the tio", prefix_last=True)
+    return matching.match_scan(t(spark, d, "documents"), "doc_id", {"text": "A"}, "the tio", prefix_last=True)
 
 
 @query(f"""WITH i AS (SELECT p_partkey, unnest({_WORDS.format('p_name')}) AS token, 'A' AS class FROM part UNION ALL SELECT p_partkey, unnest({_WORDS.format('p_type')}), 'C' FROM part),
@@ -476,7 +479,9 @@ def q_fts_rank(spark, d):
     return matching.match_all(index, "p_partkey", "s*").orderBy(F.desc("rank"), "p_partkey").limit(50)
 
 
-@query(None)
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_name, 0 AS i, list_transform(range(0, 12), lambda j: j * 2) AS r FROM n
+UNION ALL SELECT p_name, i + 1, list_transform(range(0, 12), lambda j: list_min(list_transform(range(0, j + 1), lambda k: least(r[k + 1] + 1, CASE WHEN k = 0 THEN 10000 ELSE r[k] + CASE WHEN substr(p_name, i + 1, 1) = substr('smal widgte', CAST(k AS INTEGER), 1) THEN 0 ELSE 3 END END) + 2 * (j - k)))) FROM d WHERE i < length(p_name))
+SELECT p_partkey, p_name, 'smal widgte' AS asked, CAST(r[12] AS BIGINT) AS cost FROM part JOIN d USING (p_name) WHERE i = length(p_name) ORDER BY cost, p_partkey LIMIT 100""")
 def q_weighted_score(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name", F.lit("smal widgte").alias("asked"))
     return matching.edit_cost(p, "p_name", "asked", insert=2, update=3, delete=1).orderBy("cost", "p_partkey").limit(100)
@@ -491,7 +496,9 @@ def q_category_abc(spark, d):
     return c.withColumn("grade", matching.confidence(F.col("edits"), F.lit(True), F.col("edits"), (F.col("edits") == best) & (same == 1)))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name = 'small w' THEN 0.0 WHEN starts_with(p_name, 'small w') THEN 2.0 ELSE 2 + levenshtein(p_name, 'small w') * 3.0 END::DOUBLE AS score FROM part""")
+@query("""WITH c AS (SELECT p_partkey, p_name, list_transform(range(0, length(p_name) + 1), lambda k: levenshtein(left(p_name, k), 'small w')) AS c FROM part),
+e AS (SELECT *, list_max(list_filter(range(0, length(p_name) + 1), lambda k: k = 0 OR c[k + 1] <> c[greatest(k, 1)] + 1)) AS k FROM c)
+SELECT p_partkey, CASE WHEN p_name = 'small w' THEN 0.0 WHEN starts_with(p_name, 'small w') THEN 2.0 ELSE 2 + c[k + 1] * 3.0 + CASE WHEN k < length(p_name) THEN 1 ELSE 0 END END::DOUBLE AS score FROM e""")
 def q_autocomplete_score(spark, d):
     return t(spark, d, "part").select("p_partkey", matching.element_score(F.col("p_name"), F.lit("small w"), 3.0).alias("score"))
 
@@ -586,3 +593,6 @@ def q_integrity_checks(spark, d):
         one = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+from fieldbook import address_queries, feed_queries  # noqa: E402, F401  (they register themselves)

@@ -9,16 +9,24 @@ from fieldbook import queries as registry
 from fieldbook import sources, streaming
 from fieldbook.functions import ranges
 from fieldbook.functions import text as tx
-from fieldbook.operators import changes, intervals, matching, relational, spatial, temporal
+from fieldbook.operators import addresses, changes, feeds, intervals, matching, relational, spatial, temporal
 from fieldbook.plans import Parameter, Resource
 from fieldbook.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_layered_follows_the_last_listed():
-    assert intervals.layered([(0, 10, "a"), (3, 5, "b"), (5, 6, "b")]) == [(0, 3, "a"), (3, 6, "b"), (6, 10, "a")]
-    assert intervals.extended([(1, 2, "a"), (4, 5, "b")], 0, 9) == [(0, 4, "a"), (4, 9, "b")]
+def test_layered_follows_the_last_listed(spark):
+    rows = [(1, k, *x) for k, x in enumerate([(0, 10, "a"), (3, 5, "b"), (5, 6, "b"), (7, 7, "c")])] + [(2, 0, 1, 2, "a"), (2, 1, 4, 5, "b")]
+    df = spark.createDataFrame(rows, "g int, k int, lo int, hi int, ref string")
+    got = lambda **kw: sorted(tuple(r) for r in intervals.resolve(df, ["g"], ["k"], "lo", "hi", "ref", **kw).collect())
+    assert got() == [(1, 0, 3, "a"), (1, 3, 6, "b"), (1, 6, 10, "a"), (2, 1, 2, "a"), (2, 4, 5, "b")]
+    assert got(extend=True)[3:] == [(2, 1, 4, "a"), (2, 4, 5, "b")]
+    pair = spark.createDataFrame([(0, 3, 3, 5), (0, 3, 4, 5)], "a int, b int, c int, d int")
+    cols = ("a", "b", "c", "d")
+    test = lambda f, *ends: [r[0] for r in pair.select(f(*map(intervals.F.col, cols), *ends)).collect()]
+    assert test(intervals.meets) == [False, False] and test(intervals.meets, (True, True), (True, True)) == [True, False]
+    assert test(intervals.adjacent) == [True, False] and test(intervals.adjacent, (True, True), (True, True)) == [False, False]
     assert sum((x1 - x0) * (y1 - y0) for x0, x1, y0, y1 in intervals.boxes_cut((0, 4, 0, 4), (1, 2, 1, 2))) == 15
 
 
@@ -160,3 +168,42 @@ def test_utc_and_future(spark):
     df = spark.createDataFrame([("200001011200",), ("000000000000",)], "s string")
     got = [r.t for r in df.select(sources.local_to_utc(F.col("s"), "yyyyMMddHHmm").alias("t")).collect()]
     assert got == [dt.datetime(2000, 1, 1, 11, 0), None]
+
+
+def test_execution_follows_needs_and_strategy():
+    needs = {"a": [], "b": ["a"], "c": ["b"], "d": ["a", "c"], "e": []}
+    assert feeds.execution_order(needs, ["b"]) == ["b", "c", "d"] and set(feeds.execution_order(needs, ["a", "e"])) == set(needs)
+    ran = []
+    step = lambda c, n: lambda: ran.append(c) or n
+    steps = {"a": step("a", 3), "b": step("b", 0), "c": step("c", 5), "d": step("d", 1)}
+    order = ["a", "b", "c", "d"]
+    assert feeds.execute(order, needs, steps) == {"a": 3, "b": 0, "c": 0, "d": 1} and ran == ["a", "b", "d"]
+    assert feeds.execute(order, needs, steps, "slow")["c"] == 5
+    with pytest.raises(ValueError, match="not up to date"):
+        feeds.execute(order, needs, steps, "verify")
+    assert [feeds.client_mode(*x) for x in ((0, False, 4, 9), (5, True, 4, 9), (5, False, 4, 9), (5, False, 9, 9))] == ["download", "download", "increment", "none"]
+    with pytest.raises(ValueError, match="later"):
+        feeds.client_mode(5, False, 10, 9)
+
+
+def test_sequences_and_empty_transactions(spark):
+    history = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "seq long, txid long")
+    with pytest.raises(ValueError, match="latest"):
+        feeds.checked_sequence(history, 4)
+    done = spark.createDataFrame([(6, 10)], "txid long, seq_to long")
+    found = spark.createDataFrame([(1, "insert", True), (2, "update", False), (3, "delete", True)], "id long, operation string, public boolean")
+    rows, row = feeds.transaction(done, found, ["id"])
+    assert sorted((r.id, r.seq, r.txid) for r in rows.collect()) == [(1, 11, 7), (2, None, 7), (3, 12, 7)]
+    assert tuple(row.first()) == (7, 11, 12, 1, 1, 1)
+    assert feeds.transaction(done, found.limit(0), ["id"])[1] is None
+    assert feeds.transaction(done, found.limit(0), ["id"], keep_empty=True)[1].first().txid == 7
+
+
+def test_address_helpers(spark):
+    assert addresses.asked_number("road 12 city") == ("road city", 12) and addresses.asked_number("road 12, 4000 city")[1] is None
+    assert addresses.caret_wildcard("mar road", 3) == "mar* road" and addresses.caret_wildcard("mar", None) == "mar*" and addresses.caret_wildcard("mar ", 4) == "mar "
+    scores = [("margrethepladsen", "margrethepladsen", 2), ("margrethepladsen", "", 2), ("margrethepladsen", "margret", 2), ("margrethepladsen", "margretepladsen", 11), ("margrethepladsen", "margretheplassen", 11), ("margrethepladsen", "margretheepladsen", 11), ("margrethepladsen", "margretepla", 11), ("margrethepladsen", "margretteplassen", 11)]
+    df = spark.createDataFrame(scores, "a string, q string, w int")
+    assert [r[0] for r in df.select(matching.element_score(F.col("a"), F.col("q"), F.col("w"))).collect()] == [0, 1, 2, 13, 13, 13, 14, 24]
+    ring = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(1.0, 0.0), (1.0, 1.0), (0.0, 0.0001), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 0.0)])], ", ".join(f"{c} array<struct<x:double,y:double>>" for c in "abc"))
+    assert tuple(ring.select(spatial.geometry_differs("a", "b"), spatial.geometry_differs("a", "c")).first()) == (False, True)
