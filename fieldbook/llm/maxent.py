@@ -13,7 +13,7 @@ so every word has its own probability and base scores and n_known are exact.
 
 * Counts: by word over all training documents, shuffled after summing within tasks; nothing is left out.
 * Training: distributed gradient updates. The training texts are dealt by hash into ``ROUNDS`` rounds, so every token is learned
-  from once. In each round learners (tasks of about ``SHARE`` tokens, at most ``LEARNERS``) take Adagrad steps over their tokens from the shared weights; their rows are averaged, weighted by how often each was used,
+  from once. In each round learners (tasks of about ``SHARE`` tokens, at most ``LEARNERS``) take Adagrad steps over their tokens from the shared weights; their rows are averaged, weighted by the squared gradients that each has seen,
   in a tree of bounded fan-in. The table has four rows a known word, at most ``1 << MOST_BITS``.
 * Scoring: sparse numpy batches of (token, node) pairs.
 
@@ -141,40 +141,48 @@ class Vocabulary:
 
 
 def _levels(weights: np.ndarray, priors: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores [choices, BRANCH] of the children, the highest of each choice 0."""
+    """Scores [choices, BRANCH] of the children, within what exp takes; children that a node lacks have the least."""
     z = priors.take(node, axis=0)
     for f in range(rows.shape[1]):
         z += weights.take(rows[:, f], axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    return z
+    return np.clip(z, -60, 60, out=z)
 
 
 def _residual(weights: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Gradient [choices, BRANCH] of the negative log likelihood by the scores."""
     g = _levels(weights, priors, node, rows)
     np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g /= np.einsum("ij->i", g)[:, None]
     g[np.arange(len(child)), child] -= 1
     return g
 
 
-def _gradient(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, how often each occurs, and the sums of g over them."""
+def _gradient(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of g over them."""
     order = np.sort((rows << 32) | np.arange(len(rows)))
     key = order >> 32
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[head], np.diff(np.append(head, len(key))), np.add.reduceat(g.take(order & 0xFFFFFFFF, axis=0), head, axis=0)
-
-
-def _step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> None:
+    n = np.diff(np.append(head, len(key)))
+    at = order & 0xFFFFFFFF
+    sums = g.take(at[head], axis=0)
+    # most rows occur once; only the others are added up
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        mine = np.repeat(n > 1, n)
+        starts = np.cumsum(n[many]) - n[many]
+        sums[many] = np.add.reduceat(g.take(at[mine], axis=0), starts, axis=0)
+    return key[head], sums
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> None:
     """One Adagrad step, with one rate a row, on the negative log likelihood of the choices."""
     g = _residual(weights, priors, node, child, rows)
     for f in range(rows.shape[1]):
-        at, n, grad = _gradient(g, rows[:, f])
+        at, grad = _gradient(g, rows[:, f])
         sums = squares[at] + np.einsum("ij,ij->i", grad, grad)
         squares[at] = sums
-        weights[at] = weights.take(at, axis=0) - grad * (RATE / np.sqrt(sums))[:, None]
-        used[at] += n
+        grad *= (RATE / np.sqrt(sums))[:, None]
+        weights[at] = np.subtract(weights.take(at, axis=0), grad, out=grad)
 
 
 def _is_held(doc_id="doc_id"):
@@ -242,7 +250,7 @@ _DELTA = "part long, block int, used binary, rows binary"
 
 
 def _average(deltas: DataFrame, parts: int, bits: int) -> np.ndarray:
-    """Weights averaged over learners, row by row, by use: deltas(part, block, used, rows) are summed up a tree of at most FAN_IN at a time."""
+    """Weights averaged over learners, row by row, by squared gradients (used): deltas(part, block, used, rows) are summed up a tree of at most FAN_IN at a time."""
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         used, rows = np.zeros(BLOCK), np.zeros((BLOCK, BRANCH))
@@ -250,7 +258,7 @@ def _average(deltas: DataFrame, parts: int, bits: int) -> np.ndarray:
             n = np.frombuffer(u, np.float32)
             used += n
             rows += np.frombuffer(r, np.float16).reshape(BLOCK, BRANCH) * n[:, None]
-        mean = (rows / np.maximum(used, 1)[:, None]).astype(np.float16)
+        mean = (rows / np.maximum(used, 1e-12)[:, None]).astype(np.float16)
         return pa.table({"part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([key[0].as_py()], pa.int32()), "used": pa.array([used.astype(np.float32).tobytes()]), "rows": pa.array([mean.tobytes()])})
 
     while True:
@@ -277,17 +285,17 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            vocab, known = known_words.value, WordHash(200_000)
+            vocab, known = known_words.value, WordHash(300_000)
             weights = np.zeros((1 << vocab.bits, BRANCH), np.float32) if shared.value is None else shared.value.astype(np.float32)
-            squares, used = np.ones(len(weights), np.float32), np.zeros(len(weights), np.float32)
+            squares = np.ones(len(weights), np.float32)
             for b in slices(batches, 1_000_000):
                 flat, counts = tokens(texts_of(b), known)
                 at, _ = vocab.look(flat)
                 hashes = features(vocab.words[at], counts)
                 for i in range(0, len(flat), BATCH):
                     _, node, child, rows = vocab.choices(at[i : i + BATCH], hashes[i : i + BATCH])
-                    _step(weights, squares, used, vocab.priors, node, child, rows)
-            part = TaskContext.get().partitionId()
+                    _step(weights, squares, vocab.priors, node, child, rows)
+            part, used = TaskContext.get().partitionId(), squares - 1
             blocks = [i for i in range(len(weights) // BLOCK) if used[i * BLOCK : (i + 1) * BLOCK].any()]
             for i in range(0, len(blocks), 64):
                 some = blocks[i : i + 64]
@@ -307,7 +315,8 @@ def log_choices(vocab: Vocabulary, weights: np.ndarray, flat: np.ndarray, counts
     for i in range(0, len(flat), BATCH):
         token, node, child, rows = vocab.choices(at[i : i + BATCH], hashes[i : i + BATCH])
         z = _levels(weights, vocab.priors, node, rows)
-        p = z[np.arange(len(child)), child] - np.log(np.exp(z).sum(axis=1))
+        p = z[np.arange(len(child)), child]
+        p -= np.log(np.einsum("ij->i", np.exp(z, out=z)))
         logs[i : i + BATCH] = np.bincount(token, weights=p, minlength=len(at[i : i + BATCH]))
     return logs, at, here
 
@@ -318,7 +327,7 @@ def score(docs: DataFrame, vocab: Vocabulary, words: DataFrame, weights: np.ndar
     kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocab, half), known = shared.value, WordHash(200_000)
+        (vocab, half), known = shared.value, WordHash(300_000)
         weights = half.astype(np.float32)
         for b in slices(batches, 1_000_000):
             flat, counts = tokens(texts_of(b), known)
@@ -330,9 +339,13 @@ def score(docs: DataFrame, vocab: Vocabulary, words: DataFrame, weights: np.ndar
             met = here & (vocab.counts[at] > 0)
             sums = [np.bincount(owner, weights=x, minlength=len(counts)) for x in (base, logs, met)]
             rest = ~here
-            key, n = np.unique(np.column_stack([owner[rest].astype(np.uint64), flat[rest]]), axis=0, return_counts=True) if rest.any() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-            sizes = np.bincount(key[:, 0].astype(np.int64), minlength=len(counts))
-            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(key[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"]))
+            mine, word = owner[rest], flat[rest]
+            order = np.lexsort((word, mine))
+            mine, word = mine[order], word[order]
+            head = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (word[1:] != word[:-1])])) if len(mine) else np.zeros(0, np.int64)
+            n = np.diff(np.append(head, len(mine)))
+            sizes = np.bincount(mine[head], minlength=len(counts))
+            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(word[head].view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"]))
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), tail.cast(kind)], ["doc_id", "n_tokens", "base", "logs", "here", "tail"])
 
     scored = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_tokens long, base double, logs double, here long, tail array<struct<word:long,n:long>>").withColumn("row", F.monotonically_increasing_id()), "scored")
