@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, drop_cut, fold_of, mix64, read, slices, texts_of, word_hashes
+from .common import cut, drop_cut, fold_of, mix64, read, slices, texts_of
 
 #: Words in the tree, at most; about 60 bytes each are sent to all tasks.
 VOCAB = 1 << 19
@@ -51,9 +51,54 @@ _TURN = np.uint64(0xD6E8FEB86659FD93)
 FEATURES = 3
 
 
-def tokens(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, the same for A-Z as for a-z.
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
+_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
+#: Words hashed at a time.
+_PIECE = 1 << 16
+
+
+class _Powers:
+    """Powers of ``_NEXT`` and of its inverse modulo 2^64, as many as were needed so far."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            inverse = np.uint64(pow(int(_NEXT), -1, 1 << 64))
+            cls.up, cls.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, x))]) for x in (_NEXT, inverse))
+        return cls.up, cls.down
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in lower case, end to end, and the number of words of each text.
+
+    A word's hash is that of the polynomial of its bytes; all words of a piece are differences of one running sum.
+    """
+    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = _SPACE[flat]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    out = np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(starts), _PIECE):
+            s, e = starts[i : i + _PIECE], ends[i : i + _PIECE]
+            low, n = s[0], e[-1] - s[0]
+            up, down = _Powers.upto(int(n))
+            run = np.zeros(n + 1, np.uint64)
+            np.cumsum(_LETTERS[flat[low : low + n]] * up[:n], out=run[1:])
+            out[i : i + _PIECE] = mix64((run[e - low] - run[s - low]) * down[s - low] + (e - s).astype(np.uint64))
+    return out, np.diff(first)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and one end, end to end; the number of tokens of each."""
-    words, counts = word_hashes(texts, known)
+    words, counts = word_hashes(texts)
     out = np.full(len(words) + len(texts), END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)] = words
     return out, counts + 1
@@ -75,6 +120,8 @@ def features(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Sorted hashes of the frequent words, the end and the rare leaf, with their counts and their paths (node, child) in the tree."""
 
+    _first = None
+
     def __init__(self, words: np.ndarray, counts: np.ndarray, group: np.ndarray, total: int, distinct: int, rare: tuple[int, int, float]):
         """rare: tokens, distinct words and discount of the words that are not listed."""
         self.total, self.distinct = total, distinct
@@ -117,6 +164,7 @@ class Vocabulary:
         self.depth = np.bincount(word, minlength=len(order))
         self.starts = np.cumsum(self.depth) - self.depth
         self.priors = np.concatenate(priors)
+        self.salts = mix64(np.arange(1, len(self.priors) + 1, dtype=np.uint64))
         self.bits = int(np.clip(np.ceil(np.log2(4 * len(order))), LEAST_BITS, MOST_BITS))
 
     @property
@@ -125,9 +173,18 @@ class Vocabulary:
 
     def look(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token, the rare leaf's for those not listed, and whether it is listed."""
-        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-        here = self.words[at] == flat
-        return np.where(here, at, np.searchsorted(self.words, RARE)), here
+        if self._first is None:
+            # the first word of each range of hashes; most words are the only one of theirs
+            self._shift = np.uint64(64 - int(np.ceil(np.log2(4 * len(self.words)))))
+            edges = np.arange(1 << (64 - int(self._shift)), dtype=np.uint64) << self._shift
+            self._first = np.minimum(np.searchsorted(self.words, edges), len(self.words) - 1).astype(np.int32)
+        at = self._first.take((flat >> self._shift).astype(np.int64)).astype(np.int64)
+        here = self.words.take(at) == flat
+        miss = np.flatnonzero(~here)
+        at[miss] = np.minimum(np.searchsorted(self.words, flat[miss]), len(self.words) - 1)
+        here[miss] = self.words[at[miss]] == flat[miss]
+        at[~here] = np.searchsorted(self.words, RARE)
+        return at, here
 
     def choices(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The choices of tokens at places ``at``: their token, node, child, and rows [choices, FEATURES] of the weights."""
@@ -136,7 +193,7 @@ class Vocabulary:
         pair = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth) + np.repeat(self.starts[at], depth)
         node = self.nodes[pair]
         with np.errstate(over="ignore"):
-            rows = ((hashes[token] ^ mix64(node.astype(np.uint64) + np.uint64(1))[:, None]) * _TURN) >> np.uint64(64 - self.bits)
+            rows = ((hashes[token] ^ self.salts.take(node)[:, None]) * _TURN) >> np.uint64(64 - self.bits)
         return token, node, self.children[pair].astype(np.int64), rows.astype(np.int64)
 
 
@@ -177,12 +234,14 @@ def _gradient(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _step(weights: np.ndarray, squares: np.ndarray, priors: np.ndarray, node: np.ndarray, child: np.ndarray, rows: np.ndarray) -> None:
     """One Adagrad step, with one rate a row, on the negative log likelihood of the choices."""
     g = _residual(weights, priors, node, child, rows)
+    whole = weights.view(f"V{weights.itemsize * BRANCH}").ravel()
     for f in range(rows.shape[1]):
         at, grad = _gradient(g, rows[:, f])
         sums = squares[at] + np.einsum("ij,ij->i", grad, grad)
         squares[at] = sums
         grad *= (RATE / np.sqrt(sums))[:, None]
-        weights[at] = np.subtract(weights.take(at, axis=0), grad, out=grad)
+        # whole rows are put back as one item each
+        whole[at] = np.subtract(weights.take(at, axis=0), grad, out=grad).view(whole.dtype).ravel()
 
 
 def _is_held(doc_id="doc_id"):
@@ -193,7 +252,6 @@ def count(docs: DataFrame) -> DataFrame:
     """word (hash), lang, n of all tokens of docs(text, lang), once per word and lang; written once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         held: dict[str, list[np.ndarray]] = {}
 
         def rows(g: str) -> pa.RecordBatch:
@@ -203,7 +261,7 @@ def count(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             texts, langs = texts_of(b), np.array([x or "" for x in b.column("lang").to_pylist()], object)
             for g in dict.fromkeys(langs.tolist()):
-                flat, _ = tokens([t for t, x in zip(texts, langs, strict=True) if x == g], known)
+                flat, _ = tokens([t for t, x in zip(texts, langs, strict=True) if x == g])
                 key, n = np.unique(flat, return_counts=True)
                 if g in held:
                     key, back = np.unique(np.concatenate([held[g][0], key]), return_inverse=True)
@@ -285,11 +343,11 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            vocab, known = known_words.value, WordHash(300_000)
+            vocab = known_words.value
             weights = np.zeros((1 << vocab.bits, BRANCH), np.float32) if shared.value is None else shared.value.astype(np.float32)
             squares = np.ones(len(weights), np.float32)
             for b in slices(batches, 1_000_000):
-                flat, counts = tokens(texts_of(b), known)
+                flat, counts = tokens(texts_of(b))
                 at, _ = vocab.look(flat)
                 hashes = features(vocab.words[at], counts)
                 for i in range(0, len(flat), BATCH):
@@ -327,10 +385,10 @@ def score(docs: DataFrame, vocab: Vocabulary, words: DataFrame, weights: np.ndar
     kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocab, half), known = shared.value, WordHash(300_000)
+        vocab, half = shared.value
         weights = half.astype(np.float32)
         for b in slices(batches, 1_000_000):
-            flat, counts = tokens(texts_of(b), known)
+            flat, counts = tokens(texts_of(b))
             logs, at, here = log_choices(vocab, weights, flat, counts)
             logs /= np.log(10)
             owner = np.repeat(np.arange(len(counts)), counts)

@@ -380,6 +380,21 @@ def test_a_words_siblings_are_told_apart_by_history(spark):
     assert got[1] > got[2] + 0.5
 
 
+def test_equal_words_and_no_others_have_equal_hashes(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aAbBé\u00a0 \t\n\x1c") for _ in range(rng.randrange(60))) for _ in range(300)] + ["", " ", "x" * 5000, "ab " * 2000]
+    want = [words_of(t) for t in texts]
+    whole, counts = maxent.word_hashes([t.encode() for t in texts])
+    monkeypatch.setattr(maxent, "_PIECE", 7)
+    cut, _ = maxent.word_hashes([t.encode() for t in texts])
+    flat = [w for ws in want for w in ws]
+    assert counts.tolist() == [len(ws) for ws in want] and np.array_equal(whole, cut)
+    assert len(set(zip(flat, whole.tolist(), strict=True))) == len(set(flat)) == len(set(whole.tolist()))
+    vocab = maxent.Vocabulary(np.unique(whole)[::2], np.arange(1, len(np.unique(whole)[::2]) + 1), np.zeros(len(np.unique(whole)[::2]), int), 3000, 50, (7, 5, 0.5))
+    at, here = vocab.look(whole)
+    assert np.array_equal(here, np.isin(whole, vocab.words)) and np.array_equal(vocab.words[at], np.where(here, whole, maxent.RARE))
+
+
 def test_gradient_like_differences():
     rng = np.random.default_rng(5)
     words = np.sort(rng.integers(1, 2**60, 40, dtype=np.uint64))
