@@ -60,6 +60,11 @@ def became_valid(lo: Column, hi: Column, prev: Column, now: Column) -> Column:
     return moved(lo) | moved(hi)
 
 
+def clock(registered: str, last: Column, now: Column, seconds: int = 120) -> Column:
+    """The reading of the clock of valid time, which never goes back: the last one, now, or the latest registration that is not too far ahead of now."""
+    return F.greatest(last, now, F.max(F.when(F.col(registered) <= now + F.make_interval(secs=F.lit(seconds)), F.col(registered))))
+
+
 def from_change_log(df: DataFrame, key: list[str], ts: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """[ts, next ts) for each row of a change log; the earliest begins at minus infinity."""
     w = Window.partitionBy(*key).orderBy(ts)

@@ -9,7 +9,7 @@ from fieldbook import queries as registry
 from fieldbook import sources, streaming
 from fieldbook.functions import ranges
 from fieldbook.functions import text as tx
-from fieldbook.operators import addresses, changes, feeds, intervals, matching, relational, spatial, temporal
+from fieldbook.operators import addresses, changes, feeds, intervals, matching, relational, shapes, spatial, spelling, temporal
 from fieldbook.plans import Parameter, Resource
 from fieldbook.sources import sinks
 
@@ -207,3 +207,36 @@ def test_address_helpers(spark):
     assert [r[0] for r in df.select(matching.element_score(F.col("a"), F.col("q"), F.col("w"))).collect()] == [0, 1, 2, 13, 13, 13, 14, 24]
     ring = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(1.0, 0.0), (1.0, 1.0), (0.0, 0.0001), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 0.0)])], ", ".join(f"{c} array<struct<x:double,y:double>>" for c in "abc"))
     assert tuple(ring.select(spatial.geometry_differs("a", "b"), spatial.geometry_differs("a", "c")).first()) == (False, True)
+
+
+def test_spellings_are_merged_over_shared_forms(spark):
+    names = spark.createDataFrame([("Sten Allé",), ("Steen",), ("Schmidt-vej",), ("Smidt",), ("Dal",), (None,), ("Dal",)], "name string")
+    got = {r.word: r.synonyms for r in spelling.synonym_groups(names, "name").collect()}
+    assert got == {"dal": ["dahl", "dal"], "schmidt": ["schmidt", "smidt"], "steen": ["steen", "sten"]}
+    words = spark.createDataFrame([("daldal",), ("x",)], "w string").select("w", spelling.forms(F.col("w"), [("dal", "dahl", True)]).alias("f"))
+    assert [sorted(r.f) for r in words.collect()] == [["dahldahl", "dahldal", "daldahl", "daldal"], ["x"]]
+    assert spelling.synonym_groups(names.limit(0), "name").count() == 0
+
+
+def test_visual_centre_is_as_far_inside_as_brute_force(spark):
+    import numpy as np
+
+    shell = [[0.0, 0.0], [40.0, 0.0], [40.0, 10.0], [14.0, 12.0], [10.0, 50.0], [0.0, 40.0], [0.0, 0.0]]
+    hole = [[4.0, 4.0], [4.0, 9.0], [9.0, 9.0], [9.0, 4.0], [4.0, 4.0]]
+    small = [[100.0, 100.0], [102.0, 100.0], [102.0, 102.0], [100.0, 100.0]]
+    df = spark.createDataFrame([([[small], [shell, hole]],), ([],), (None,)], "g array<array<array<array<double>>>>")
+    got = [r.c for r in df.select(shapes.visual_centre(F.col("g"), 0.1).alias("c")).collect()]
+    edges = np.concatenate([np.hstack([np.array(r)[:-1], np.array(r)[1:]]) for r in (shell, hole)])
+    grid = np.stack(np.meshgrid(np.arange(0, 40, 0.1), np.arange(0, 50, 0.1)), -1).reshape(-1, 2)
+    best = max(shapes._clearance(part, edges).max() for part in np.array_split(grid, 50))
+    assert shapes._clearance(np.array([[got[0].x, got[0].y]]), edges)[0] > best - 0.1
+    assert [(c.x, c.y) for c in got[1:]] == [(None, None)] * 2
+    line = spark.createDataFrame([([(0.0, 0.0), (0.0, 2.0), (2.0, 2.0)],), ([(1.0, 1.0)],), ([],), (None,)], "l array<struct<x:double,y:double>>")
+    found = [r.c for r in line.select(shapes.nearest_to_centroid(F.col("l")).alias("c")).collect()]
+    assert (found[0].x, found[0].y) in ((0.0, 1.5), (0.5, 2.0)) and (found[1].x, found[1].y) == (1.0, 1.0) and found[2:] == [None, None]
+
+
+def test_shape_text_of_every_depth(spark):
+    df = spark.createDataFrame([([1.5, 2.0], [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]])], "p array<double>, g array<array<array<double>>>")
+    row = df.select(shapes.ewkt("Point", F.col("p")).alias("p"), shapes.ewkt("Polygon", F.col("g"), multi=True).alias("g"), shapes.ewkt("Point", F.lit(None).cast("array<double>")).alias("n")).first()
+    assert row.p == "SRID=25832; Point1.5 2.0" and row.g == "SRID=25832; MultiPolygon(((0.0 0.0, 1.0 0.0, 0.0 0.0)))" and row.n is None
