@@ -200,10 +200,10 @@ def q_fuzzy_names(spark, d):
     return near.select("k", "p_name", big(F.levenshtein("p_name", F.lit("smal widgte"))).alias("edits")).orderBy("edits", "p_name").limit(10)
 
 
-@query("""WITH k AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), f AS (SELECT word, replace(replace(word, 'small', 'smal'), 'wid', 'whid') AS other FROM k)
+@query("""WITH k AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), f AS (SELECT word, replace(replace(word, 'small', 'smaal'), 'wid', 'whid') AS other FROM k)
 SELECT word, array_to_string(list_sort([word, other]), ' ') AS synonyms FROM f WHERE other <> word""")
 def q_synonym_groups(spark, d):
-    found = spelling.synonym_groups(t(spark, d, "part").select("p_name").distinct(), "p_name", [("small", "smal", True), ("wid", "whid", False)])
+    found = spelling.synonym_groups(t(spark, d, "part").select("p_name").distinct(), "p_name", [("small", "smaal", True), ("wid", "whid", False)])
     return found.select("word", F.array_join("synonyms", " ").alias("synonyms"))
 
 

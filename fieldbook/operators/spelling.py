@@ -26,7 +26,7 @@ def written_out(name: Column) -> Column:
 
 
 def forms(word: Column, rules: list[tuple[str, str, bool]], times: int = 3) -> Column:
-    """All spellings of a word that the rules lead to, one after another; each rule changes a word's last match, up to ``times`` matches."""
+    """All spellings of a word that the rules lead to, one after another; each rule changes a word's last match, up to ``times`` matches. A rule's sides should not hold each other, or words grow ``times`` times."""
     steps = [(a, b) for x, y, both in rules for _ in range(times) for a, b in ([(x, y), (y, x)] if both else [(x, y)])]
     table = F.array(*[F.struct(F.lit(f"^(.*){a}").alias("find"), F.lit(f"$1{b}").alias("put")) for a, b in steps])
     return F.aggregate(table, F.array(word), lambda found, r: F.array_distinct(F.concat(found, F.transform(found, lambda w: F.regexp_replace(w, r["find"], r["put"])))))
