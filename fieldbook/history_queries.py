@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldbook import sources
+from fieldbook import plans, sources
 from fieldbook.functions import geo, ranges
 from fieldbook.functions import text as tx
 from fieldbook.operators import addresses, changes, intervals, matching, relational, shapes, spatial, spelling, temporal
@@ -207,6 +207,15 @@ def q_synonym_groups(spark, d):
     return found.select("word", F.array_join("synonyms", " ").alias("synonyms"))
 
 
+@query("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS nation FROM supplier")
+def q_chosen_representation(spark, d):
+    tables = {"customer": t(spark, d, "customer"), "supplier": t(spark, d, "supplier")}
+    asked = {"kind": "supplier", "format": "csv"}
+    rows = plans.choose_table(tables, asked, "kind", "customer").withColumn("nation", big("s_nationkey"))
+    offered = {("json", "nested"): ["s_suppkey", F.struct("s_name", "nation").alias("properties")], ("csv", "flat"): ["s_suppkey", "s_name", "nation"]}
+    return plans.represent(rows, offered, asked)
+
+
 # Incoming files
 
 

@@ -39,3 +39,20 @@ class Resource:
         wanted = {p.column: p.parse(given[name]) for name, p in self.parameters.items() if name in given}
         number, size = (int(given[x]) if x in given else None for x in ("side", "per_side"))
         return relational.page(relational.where(df, wanted), self.key, number, size)
+
+
+def choose_table(tables: dict[str, DataFrame], given: dict[str, str], parameter: str, default: str) -> DataFrame:
+    """The table that a parameter names; an unknown name is an error."""
+    name = given.get(parameter, default)
+    if name not in tables:
+        raise ValueError(f"{parameter}: {name} is none of {', '.join(sorted(tables))}")
+    return tables[name]
+
+
+def represent(df: DataFrame, offered: dict[tuple[str, str], list], given: dict[str, str]) -> DataFrame:
+    """The columns of the representation asked for by format and structure: JSON is nested unless asked otherwise, other formats are flat."""
+    kind = given.get("format", "json")
+    shape = given.get("structure", "nested" if kind == "json" else "flat")
+    if (kind, shape) not in offered:
+        raise ValueError(f"no {shape} structure in format {kind}")
+    return df.select(*offered[kind, shape])

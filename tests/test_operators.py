@@ -10,7 +10,7 @@ from fieldbook import sources, streaming
 from fieldbook.functions import ranges
 from fieldbook.functions import text as tx
 from fieldbook.operators import addresses, changes, feeds, intervals, matching, relational, shapes, spatial, spelling, temporal
-from fieldbook.plans import Parameter, Resource
+from fieldbook.plans import Parameter, Resource, choose_table, represent
 from fieldbook.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -240,3 +240,14 @@ def test_shape_text_of_every_depth(spark):
     df = spark.createDataFrame([([1.5, 2.0], [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]])], "p array<double>, g array<array<array<double>>>")
     row = df.select(shapes.ewkt("Point", F.col("p")).alias("p"), shapes.ewkt("Polygon", F.col("g"), multi=True).alias("g"), shapes.ewkt("Point", F.lit(None).cast("array<double>")).alias("n")).first()
     assert row.p == "SRID=25832; Point1.5 2.0" and row.g == "SRID=25832; MultiPolygon(((0.0 0.0, 1.0 0.0, 0.0 0.0)))" and row.n is None
+
+
+def test_representations_and_table_choice(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    offered = {("json", "nested"): ["k", F.struct("v").alias("p")], ("csv", "flat"): ["k", "v"]}
+    assert represent(df, offered, {}).columns == ["k", "p"] and represent(df, offered, {"format": "csv"}).columns == ["k", "v"]
+    with pytest.raises(ValueError, match="no nested"):
+        represent(df, offered, {"format": "csv", "structure": "nested"})
+    assert choose_table({"a": df, "b": df.limit(0)}, {"t": "b"}, "t", "a").count() == 0 and choose_table({"a": df}, {}, "t", "a") is df
+    with pytest.raises(ValueError, match="none of a"):
+        choose_table({"a": df}, {"t": "x"}, "t", "a")
