@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language, maxent, packing, pii, quality, quotes, secret_scan, toxicity
+from . import decontaminate, divergence, fill_in_middle, jaccard_join, language, maxent, packing, pii, quality, quotes, secret_scan, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1,
@@ -19,6 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_quality": quality.op10,
+    "op11_divergence": divergence.op11,
+    "op12_suffix_dedup": suffix_dedup.op12,
+    "op13_fill_in_middle": fill_in_middle.op13,
 }
 
-ORACLE: dict[str, str] = {"op7_quotes": quotes.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
+ORACLE: dict[str, str] = {
+    "op7_quotes": quotes.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
+}
