@@ -19,6 +19,7 @@ Very long texts are cut into slices that overlap, and are judged whole. An empty
 
 from __future__ import annotations
 
+import gc
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,15 +35,18 @@ LENGTH = 50
 #: Bytes of which the least hash makes an anchor.
 GRAM = 12
 #: Bytes of text whose equal blocks a task collapses, and bytes that it looks through at once.
-SLICE, STEP = 8_000_000, 2_000_000
+SLICE, STEP = 6_000_000, 1_000_000
 #: Bytes of blocks in a bucket, as sampled; bytes of text in a group of the last pass; bytes of text looked at for splitters.
-BUCKET, PART, SAMPLE = 32_000_000, 8_000_000, 32_000_000
+BUCKET, PART, SAMPLE = 24_000_000, 8_000_000, 32_000_000
 
-MEMBERS = np.dtype([("entry", "<i4"), ("part", "<i4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i8")])
+#: Compression of what goes to the buckets, which is several times the text.
+LEVEL = 6
+
+MEMBERS = np.dtype([("entry", "<i4"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i8")])
 BOUNDS = np.dtype([("high", "u1"), ("low", "u1")])
-SPANS = np.dtype([("part", "<i4"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i8"), ("end", "<i8")])
+SPANS = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i8"), ("end", "<i8")])
 ROUTED = "bucket int, entries int, members int, content binary, bounds binary, places binary"
-FOUND = "part int, doc long, text_hash long, start long, end long"
+FOUND = "doc_id long, text_hash long, start long, end long"
 
 
 @dataclass(frozen=True)
@@ -164,9 +168,9 @@ def coalesced(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def members_of(entry: np.ndarray, part: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+def members_of(entry: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(entry), MEMBERS)
-    for name, value in zip(MEMBERS.names, (entry, part, doc, text, at), strict=True):
+    for name, value in zip(MEMBERS.names, (entry, doc, text, at), strict=True):
         out[name] = value
     return out
 
@@ -174,7 +178,7 @@ def members_of(entry: np.ndarray, part: np.ndarray, doc: np.ndarray, text: np.nd
 def whole_spans(members: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     """What all strings of the members' blocks cover."""
     out, of = np.zeros(len(members), SPANS), bounds[members["entry"]]
-    for name in ("part", "doc", "text"):
+    for name in ("doc", "text"):
         out[name] = members[name]
     out["start"], out["end"] = members["at"] - of["high"], members["at"] - of["low"] + length
     return out
@@ -198,16 +202,16 @@ def slices_of(batches: Iterator[pa.RecordBatch], lay: Layout, most: int, step: i
     """Rows, bounds and members of about ``most`` bytes of text at a time."""
     made, size = [], 0
 
-    def look(docs: list[tuple[int, int, int, int, bytes]]) -> None:
-        """docs: part, doc, hash of the text, place of the piece in it, piece."""
-        lengths = np.array([len(d[4]) for d in docs], np.int64)
+    def look(docs: list[tuple[int, int, int, bytes]]) -> None:
+        """docs: doc, hash of the text, place of the piece in it, piece."""
+        lengths = np.array([len(d[3]) for d in docs], np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        rows, bounds, of, at = blocks(np.frombuffer(b"".join(d[4] for d in docs), np.uint8), starts, ends, lay)
-        columns = [np.array([d[k] for d in docs], np.int64) for k in range(4)]
-        made.append((rows, bounds, members_of(np.arange(len(rows)), columns[0][of], columns[1][of], columns[2][of], at - starts[of] + columns[3][of])))
+        rows, bounds, of, at = blocks(np.frombuffer(b"".join(d[3] for d in docs), np.uint8), starts, ends, lay)
+        columns = [np.array([d[k] for d in docs], np.int64) for k in range(3)]
+        made.append((rows, bounds, members_of(np.arange(len(rows)), columns[0][of], columns[1][of], at - starts[of] + columns[2][of])))
 
-    def whole():
+    def whole() -> tuple[np.ndarray, ...]:
         base = np.cumsum([0] + [len(m[0]) for m in made])
         for k, m in enumerate(made):
             m[2]["entry"] += base[k]
@@ -215,11 +219,11 @@ def slices_of(batches: Iterator[pa.RecordBatch], lay: Layout, most: int, step: i
 
     waiting, held = [], 0
     for batch in batches:
-        for part, doc, text_hash, text in zip(*(batch.column(k).to_pylist() for k in ("part", "doc_id", "text_hash")), batch.column("text"), strict=True):
+        for doc, text_hash, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text_hash")), batch.column("text"), strict=True):
             text = text.as_py() or b""
             for at in range(0, max(len(text) - lay.length + 1, 0), step):
                 piece = text[at : at + step + lay.length - 1]
-                waiting.append((part, doc, text_hash, at, piece))
+                waiting.append((doc, text_hash, at, piece))
                 held += len(piece)
                 if held >= step:
                     look(waiting)
@@ -235,12 +239,16 @@ def slices_of(batches: Iterator[pa.RecordBatch], lay: Layout, most: int, step: i
 
 
 def packed(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+    """Compressed; of rows of numbers all first bytes, then all second ones, and so on, as most are equal."""
+    if a.dtype.itemsize > 1:
+        a = a.view(np.uint8).reshape(len(a), -1).T
+    return pa.Codec("zstd", compression_level=LEVEL).compress(np.ascontiguousarray(a).tobytes(), asbytes=True)
 
 
 def unpacked(b: bytes, dtype, n: int) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    return np.frombuffer(pa.decompress(b, n * dtype.itemsize, codec="zstd", asbytes=True), dtype)
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8)
+    return flat.view(dtype) if size == 1 else np.ascontiguousarray(flat.reshape(size, n).T).view(dtype).ravel()
 
 
 def leading(rows: np.ndarray, lay: Layout) -> np.ndarray:
@@ -272,7 +280,7 @@ def route(batches: Iterator[pa.RecordBatch], lay: Layout, splitters: np.ndarray,
         out: list[tuple] = []
         spans = coalesced(spans)
         if len(spans):
-            out.append((buckets + int(spans["text"][0]) % buckets, 0, len(spans), b"", b"", packed(spans)))
+            out.append((buckets + int(spans["doc"][0]) % buckets, 0, len(spans), b"", b"", packed(spans)))
         keys = leading(rows, lay)
         is_hot = np.isin(keys, hot) if len(hot) else np.zeros(len(rows), bool)
         for chosen, split in ((~is_hot, False), (is_hot, True)):
@@ -359,7 +367,7 @@ def resolve(rows: np.ndarray, bounds: np.ndarray, members: np.ndarray, lay: Layo
         n = high - low
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out = np.zeros(len(at), SPANS)
-        for name in ("part", "doc", "text"):
+        for name in ("doc", "text"):
             out[name] = members[name][at]
         out["start"] = members["at"][at] - np.repeat(away[gone], n)
         out["end"] = out["start"] + lay.length
@@ -368,7 +376,7 @@ def resolve(rows: np.ndarray, bounds: np.ndarray, members: np.ndarray, lay: Layo
 
 
 def as_rows(spans: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(np.ascontiguousarray(spans[n])) for n in SPANS.names], names=["part", "doc", "text_hash", "start", "end"])
+    return pa.table([pa.array(np.ascontiguousarray(spans[n])) for n in SPANS.names], names=["doc_id", "text_hash", "start", "end"])
 
 
 def bucket_spans(table: pa.Table, lay: Layout) -> pa.Table:
@@ -388,11 +396,20 @@ def bucket_spans(table: pa.Table, lay: Layout) -> pa.Table:
     return as_rows(np.concatenate(spans))
 
 
-def keyed(docs: DataFrame, parts: int) -> DataFrame:
-    """A row's place in the last pass; rows of one doc_id are told apart by their texts, and rows that repeat one get equal answers."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
-    return out.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts)).cast("int"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: 0 but where a doc_id has several texts, so (doc_id, text_hash) names a text; rows that repeat one get equal answers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    hashed = F.xxhash64("text")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low < high")
+    if several.isEmpty():
+        return rows.withColumn("text_hash", F.lit(0).cast("long"))
+    both = rows.join(several.select("doc_id", F.lit(True).alias("some")), "doc_id", "left")
+    return both.select("doc_id", "text", F.when(F.col("some"), hashed).otherwise(0).alias("text_hash"))
+
+
+def with_part(df: DataFrame, parts: int) -> DataFrame:
+    """Groups of the last pass."""
+    return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts)).cast("int"))
 
 
 def sampled_splitters(docs: DataFrame, total: int, buckets: int, lay: Layout) -> np.ndarray:
@@ -407,31 +424,29 @@ def sampled_splitters(docs: DataFrame, total: int, buckets: int, lay: Layout) ->
 
     if buckets < 2:
         return np.zeros(0, f"S{GRAM}")
-    got = docs.where(F.pmod("text_hash", F.lit(share)) == 0).mapInArrow(keys, "key binary").toArrow()
+    got = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(keys, "key binary").toArrow()
     values = np.sort(np.array(got.column("key").to_pylist(), f"S{GRAM}"))
     return values[np.arange(1, buckets) * len(values) // buckets] if len(values) else np.zeros(0, f"S{GRAM}")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, part: int = PART, slice_bytes: int = SLICE, step: int = STEP) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and the spans that a string of a smaller doc_id covers (part, doc, text_hash, start, end; of one document they may overlap)."""
+def repeated_spans(rows: DataFrame, total: int, length: int = LENGTH, bucket: int = BUCKET, slice_bytes: int = SLICE, step: int = STEP) -> DataFrame:
+    """Of keyed documents with so many bytes in total, the spans that a string of a smaller doc_id covers (doc_id, text_hash, start, end; of one document they may overlap)."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more can be compared")
     lay = Layout(length)
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    rows = keyed(docs, max(1, -(-total // part)))
     known = rows.where("doc_id is not null")
     # a block has about half as many strings as bytes stand between the ends of the string and its anchor
     buckets = max(1, -(-total * 2 * lay.width // (length - GRAM) // bucket))
     splitters = sampled_splitters(known, total, buckets, lay)
     routed = known.mapInArrow(lambda batches: route(batches, lay, splitters, buckets, slice_bytes, step), ROUTED)
     spans = routed.groupBy("bucket").applyInArrow(lambda table: bucket_spans(table, lay), FOUND)
-    return rows, cut(spans, "repeated-spans")
+    return cut(spans, "repeated-spans")
 
 
 def without(docs: pa.Table, spans: pa.Table) -> pa.Table:
     """The documents of a group without their spans."""
     found = np.zeros(spans.num_rows, SPANS)
-    for name, column in zip(SPANS.names, ("part", "doc", "text_hash", "start", "end"), strict=True):
+    for name, column in zip(SPANS.names, ("doc_id", "text_hash", "start", "end"), strict=True):
         found[name] = spans.column(column).to_numpy()
     found = coalesced(found)
     begin = np.flatnonzero((found["doc"][1:] != found["doc"][:-1]) | (found["text"][1:] != found["text"][:-1])) + 1
@@ -453,11 +468,16 @@ def without(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id").combine_chunks(), lengths, pa.array(kept, pa.binary()), pa.array(removed, spans_type)], names=["doc_id", "n_bytes", "kept", "removed"])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, part: int = PART, **sizes: int) -> DataFrame:
     """Per document: doc_id, n_bytes, what is left of its text (binary: a span may end inside a character), and the removed runs."""
-    rows, spans = repeated_spans(docs, length, **sizes)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    rows, parts = keyed(docs), max(1, -(-total // part))
+    spans = repeated_spans(rows, total, length, **sizes)
+    # nothing refers to the blocks any more, so their shuffle files may go before the texts are shuffled
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("part").cogroup(spans.groupBy("part"))
+    both = with_part(rows, parts).groupBy("part").cogroup(with_part(spans, parts).groupBy("part"))
     return both.applyInArrow(without, "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
