@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
-from fieldbook.operators import addresses, matching
+from fieldbook.operators import addresses, matching, search_index, washing
 from fieldbook.queries import _TRI, big, query, t
 
 
@@ -77,10 +77,11 @@ def q_entity_cascade(spark, d):
     return addresses.cascade(steps, least=1, size=20)
 
 
-@query("SELECT c_custkey, lower(regexp_replace(c_name, '#', ' ')) || ' st tv' AS line FROM customer WHERE c_custkey < 200")
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ', st tv' WHEN 1 THEN 'Sal Road ' || c_custkey || ' , kl tv' WHEN 2 THEN 'Stuen Road 7, ' || c_custkey || '. . th sal' ELSE 'Road 1, Sal' END AS line FROM customer""")
 def q_spoken_address(spark, d):
-    line = F.concat(F.regexp_replace("c_name", "#", " "), F.lit(" Stueplan.  sal TV"))
-    return t(spark, d, "customer").filter("c_custkey < 200").select("c_custkey", tx.spoken(line).alias("line"))
+    k = F.col("c_custkey")
+    line = F.when(k % 4 == 0, F.concat("c_name", F.lit(", StuePlan tv"))).when(k % 4 == 1, F.concat(F.lit("Sal Road "), k.cast("string"), F.lit(" , KLD tv"))).when(k % 4 == 2, F.concat(F.lit("Stuen Road 7, "), k.cast("string"), F.lit(". sal. th sal"))).otherwise("Road 1, Sal")
+    return t(spark, d, "customer").select("c_custkey", tx.spoken(line).alias("line"))
 
 
 @query("""WITH i AS (SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%small%' OR p_type LIKE '%SMALL%')
@@ -89,3 +90,94 @@ def q_name_first_rank(spark, d):
     p = t(spark, d, "part").filter(F.contains(F.col("p_name"), F.lit("small")) | F.contains(F.col("p_type"), F.lit("SMALL")))
     named = F.when(F.col("p_name") == "small widget", 2).when(F.contains(F.col("p_name"), F.lit("small")), 1).otherwise(0)
     return p.select("p_partkey", named.alias("named"), big(matching.difference(F.col("p_name"), F.lit("small widget"))).alias("edits")).orderBy(F.desc("named"), "edits", "p_partkey").limit(30)
+
+
+# Washing: every customer as an address, and a raw text of it that is whole, has another letter in the street, an unknown word, or other case and zeros
+
+_KNOWN = """a AS (SELECT c_custkey AS k, 'Road of ' || lower(c_mktsegment) AS street, (1 + c_custkey % 200) || CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE '' END AS number, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'st' ELSE CAST(c_custkey % 12 + 1 AS VARCHAR) END AS floor,
+CASE WHEN c_custkey % 5 < 2 THEN 'tv' END AS door, CAST(1000 + c_nationkey AS VARCHAR) AS postal, 'Town ' || chr(CAST(65 + c_nationkey AS INTEGER)) AS city FROM customer)"""
+
+
+def _known(spark, d):
+    k = F.col("c_custkey")
+    number = F.concat((1 + k % 200).cast("string"), F.when(k % 3 == 0, "B").otherwise(""))
+    floor = F.when(k % 4 == 1, "st").when(k % 4 > 1, (k % 12 + 1).cast("string"))
+    return t(spark, d, "customer").select(k.alias("k"), F.concat(F.lit("Road of "), F.lower("c_mktsegment")).alias("street"), number.alias("number"), floor.alias("floor"), F.when(k % 5 < 2, "tv").alias("door"), (1000 + F.col("c_nationkey")).cast("string").alias("postal"), F.concat(F.lit("Town "), F.char(65 + F.col("c_nationkey"))).alias("city"))
+
+
+_PARTS = {f: f for f in washing.FIELDS if f != "locality"}
+
+
+def _raw(spark, d):
+    k, parts = F.col("k"), {f: F.col(f) if f in _PARTS else F.lit(None).cast("string") for f in washing.FIELDS}
+    changed = {**parts, "street": F.concat(F.lit("Rxad"), F.substring("street", 5, 99))}
+    spoken = {**parts, "number": F.concat(F.lit("0"), F.col("number"))}
+    line = F.when(k % 7 == 1, washing.address_text(changed)).when(k % 7 == 2, F.concat(washing.address_text({**parts, "postal": F.lit(None).cast("string"), "city": F.lit(None).cast("string")}), F.lit("behind the mill, "), F.col("postal"), F.lit(" "), F.col("city"))).when(k % 7 == 3, F.lower(washing.address_text(spoken))).otherwise(washing.address_text(parts))
+    return _known(spark, d).withColumn("raw", line)
+
+
+@query(f"""WITH {_KNOWN} SELECT k, CASE k % 7 WHEN 1 THEN 'Rxad' || substr(street, 5) WHEN 3 THEN lower(street) ELSE street END AS street, CASE WHEN k % 7 = 3 THEN lower(number) ELSE number END AS number, floor, door, postal, CASE WHEN k % 7 = 3 THEN lower(city) ELSE city END AS city,
+CASE WHEN k % 7 = 2 THEN 'behind the mill' ELSE '' END AS unknown FROM a""")
+def q_address_fields(spark, d):
+    got = washing.with_fields(_raw(spark, d), "raw", _PARTS)
+    return got.select("k", *[F.col(f"parsed.{f}").alias(f) for f in _PARTS], F.array_join("parsed.unknown", " ").alias("unknown"))
+
+
+@query(f"""WITH {_KNOWN} SELECT k, k AS best, CASE WHEN k % 7 = 1 THEN 'B' WHEN k % 7 = 2 THEN 'C' ELSE 'A' END AS category, CAST(CASE WHEN k % 7 = 1 THEN 1 ELSE 0 END AS BIGINT) AS total FROM a""")
+def q_washed(spark, d):
+    """Each raw text against its own address and that of the next customer, whose number differs."""
+    raw = _raw(spark, d).select(F.col("k").alias("text_of"), "raw", F.explode(F.array("k", F.col("k") + 1)).alias("k"))
+    best = washing.washed(raw.join(_known(spark, d), "k"), ["text_of"], "raw", _PARTS, ["k"])
+    return best.select(F.col("text_of").alias("k"), F.col("k").alias("best"), "category", "total")
+
+
+@query(f"""WITH {_KNOWN} SELECT k, CASE WHEN k % 2 = 0 THEN 'road' ELSE 'other road' END AS street, CASE WHEN k % 3 = 0 THEN '9999' ELSE postal END AS postal, CAST(CASE WHEN k % 5 = 0 THEN 11 ELSE 0 END AS DOUBLE) AS total FROM a""")
+def q_best_variant(spark, d):
+    """Rows with two street names and two postal codes; the text names one of each, and sometimes an unknown word."""
+    k = F.col("k")
+    rows = _known(spark, d).select("k", F.lit("Road").alias("street"), F.lit("Other Road").alias("second"), "number", "postal", F.lit("9999").alias("large"), "city")
+    text = F.concat(F.when(k % 2 == 0, "road ").otherwise("other road "), F.lower("number"), F.when(k % 5 == 0, " zzz").otherwise(""), F.lit(", "), F.when(k % 3 == 0, F.col("large")).otherwise(F.col("postal")), F.lit(" "), F.lower("city"))
+    best = washing.best_variant(rows.withColumn("text", text), ["k"], "text", {"street": ["street", "second"], "postal": ["postal", "large"]}, {"number": "number", "city": "city"}, {"street": 1, "number": 3, "postal": 3, "city": 1})
+    return best.select("k", F.col("variant_street").alias("street"), F.col("variant_postal").alias("postal"), "total")
+
+
+_WASH_TOKENS = "list_distinct(list_filter(string_split_regex(lower(street || ' ' || number || ' ' || postal || ' ' || city), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {_KNOWN}, w AS (SELECT k, street || ' ' || number || ', ' || postal || ' ' || city AS text, {_WASH_TOKENS} AS all_tokens FROM a),
+m AS (SELECT k, text, len(all_tokens) AS n FROM w WHERE list_has_all(all_tokens, ['road', 'building', 'town']))
+SELECT k, CAST(round(1000000 * 2.1 / (1 + ln(n))) AS BIGINT) AS rank, CAST(levenshtein(lower(text), 'road building, town') AS BIGINT) AS edits FROM m ORDER BY rank DESC, edits, k LIMIT 30""")
+def q_wash_candidates(spark, d):
+    rows = _known(spark, d)
+    index = search_index.built(rows, "k", {"street": "A", "number": "B", "postal": "C", "city": "D"}, buckets=16)
+    text = F.concat("street", F.lit(" "), "number", F.lit(", "), "postal", F.lit(" "), "city")
+    return search_index.wash_candidates(index, rows, text, "street", "postal", "Road building, Town", costs=(1, 1, 1)).select("k", "rank", "edits")
+
+
+@query(f"""WITH {_KNOWN}, w AS (SELECT k, {_WASH_TOKENS} AS x, list_distinct(string_split(lower(street), ' ')) AS s, number FROM a)
+SELECT k, CAST(round(1000000 * (len(list_filter(s, lambda y: y = 'building' OR starts_with(y, '1'))) + 0.4 * CAST(starts_with(number, '1') AS INTEGER) + 0.2) / (1 + ln(len(x)))) AS BIGINT) AS rank FROM w WHERE list_contains(x, 'building') AND len(list_filter(x, lambda y: starts_with(y, '1'))) > 0 ORDER BY rank DESC, k LIMIT 50""")
+def q_two_step_search(spark, d):
+    """A word that narrows and a prefix that nearly every row has: the prefix is tested on what the word finds."""
+    index = search_index.built(_known(spark, d), "k", {"street": "A", "number": "B", "postal": "C", "city": "D"}, buckets=16)
+    return search_index.found(index, matching.terms("building 1*")).orderBy(F.desc("rank"), "k").limit(50)
+
+
+@query("SELECT c_custkey, ' ' || CASE WHEN length(CAST(c_custkey * 9 AS VARCHAR)) < 4 THEN lpad(CAST(c_custkey * 9 AS VARCHAR), 4, '0') ELSE CAST(c_custkey * 9 AS VARCHAR) END AS code FROM customer")
+def q_postal_blank(spark, d):
+    return t(spark, d, "customer").select("c_custkey", tx.postal_blank(F.col("c_custkey") * 9).alias("code"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '10. Februar Vej' WHEN 1 THEN 'Road' WHEN 2 THEN 'Road' ELSE 'P. Lane''s Way' END AS street, CASE c_custkey % 4 WHEN 0 THEN '3' WHEN 1 THEN '12 B' WHEN 2 THEN '12' ELSE '7c' END AS number,
+CASE c_custkey % 4 WHEN 2 THEN 'st' WHEN 3 THEN 'kl' END AS floor, CASE c_custkey % 4 WHEN 2 THEN 'th' END AS door, CASE c_custkey % 4 WHEN 1 THEN 'North' END AS locality, CAST(1000 + c_nationkey AS VARCHAR) AS postal, 'Town' AS city FROM customer""")
+def q_strict_address(spark, d):
+    k = F.col("c_custkey")
+    start = F.when(k % 4 == 0, "10. Februar Vej 3, ").when(k % 4 == 1, "Road 12 B, North, ").when(k % 4 == 2, "Road 12,st. th,").otherwise("P. Lane's Way 7c, kl., ")
+    line = F.concat(start, (1000 + F.col("c_nationkey")).cast("string"), F.lit(" Town"))
+    return t(spark, d, "customer").select("c_custkey", tx.address_parts(line).alias("a")).select("c_custkey", "a.*")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS utc FROM events")
+def q_iso_utc(spark, d):
+    """The same instants whatever the session's zone; the table holds UTC times without one."""
+    e = t(spark, d, "events").select("event_id", F.expr("make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(second from ts), 'UTC')").alias("ts"))
+    return e.select("event_id", tx.iso_utc(F.col("ts")).alias("utc"))

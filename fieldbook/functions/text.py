@@ -107,22 +107,30 @@ def with_synonyms(tokens: Column, synonyms: dict[str, str]) -> Column:
 
 
 def spoken(address: Column) -> Column:
-    """Words that stand for a floor or add nothing, in the register's own form: kld is kl, stueplan is st, sal goes."""
-    out = F.regexp_replace(F.lower(address), r"\bkld\b\.?", "kl")
-    out = F.regexp_replace(out, r"\b(?:stueplan|stuen|stue)\b\.?", "st")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\bsal\b\.?", " "), r"\s+", " "))
-
-
-#: A strict address: street, house number, floor and door, locality, postal code and city.
-ADDRESS = r"^(?<street>[^,0-9][^,]*?) (?<number>[0-9]{1,3}[A-Za-z]?)(?:, (?:(?<floor>st|kl[0-9]?|[0-9]{1,2})\.?)(?: (?<door>[^,]+))?)?(?:, (?<locality>[^,0-9][^,]*))?, (?<postal>[0-9]{4}) (?<city>[^,]+)$"
+    """Words for a floor in the register's own form, once each: the last kld behind a number is kl, the first stueplan is st, and the first sal right behind a number goes."""
+    out = F.regexp_replace(address, r"(?i)^(.+[0-9]+\s*,?\s+)kld(.+)$", "$1kl$2")
+    out = F.regexp_replace(out, r"(?is)^(.*?)stueplan", "$1st")
+    return F.regexp_replace(out, r"(?i)^(.*?[0-9][\s.]+)sal([. ,].+)", "$1$2")
+
+
+# What the parts of a strictly written address may consist of.
+_LETTERS = "a-zæøåA-ZÆØÅ"
+_STREET = f"[{_LETTERS}0-9äéèëöüÿÄÉÈËÖÜŸ'\\s.,/()-]+?"
+_NUMBER = f"[0-9]{{1,3}}\\s*[{_LETTERS}]?(?![{_LETTERS}])"
+_FLOOR = "kl|k[1-9]|st|[0-9]{1,2}"
+_DOOR = "[a-zæøå0-9/ -]{1,4}"
+_LOCALITY = f"[{_LETTERS}éè\\s./,0-9-]+,?"
+_CITY = f"[{_LETTERS}\\s.-]+"
+
+#: A strict address: street and number, floor and door behind a comma, locality, postal code and city.
+ADDRESS = rf"^\s*({_STREET})\s+({_NUMBER})(?:\s*,\s*(?:({_FLOOR})\.)?\s*({_DOOR})?)?(?:\s*,\s*({_LOCALITY}))?\s*,\s*([0-9]{{4}})\s+({_CITY})$"
 _PARTS = ("street", "number", "floor", "door", "locality", "postal", "city")
 
 
 def address_parts(text: Column) -> Column:
     """Struct of a strictly written address, null where it is none; parts that are missing are null."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parts = F.struct(*[F.nullif(F.regexp_extract(clean, ADDRESS, i), F.lit("")).alias(p) for i, p in enumerate(_PARTS, 1)])
-    return F.when(clean.rlike(ADDRESS), parts)
+    part = lambda k: F.nullif(F.regexp_extract(text, ADDRESS, k), F.lit(""))
+    return F.when(text.rlike(ADDRESS), F.struct(*[part(k).alias(p) for k, p in enumerate(_PARTS, 1)]))
 
 
 def house_number_between(h: Column, low: Column, high: Column) -> Column:
@@ -132,8 +140,8 @@ def house_number_between(h: Column, low: Column, high: Column) -> Column:
 
 
 def postal_blank(code: Column) -> Column:
-    """Four digits behind the blank that a sign would take."""
-    return F.concat(F.lit(" "), F.lpad(code.cast("string"), 4, "0"))
+    """At least four digits behind the blank that a sign would take; longer codes are not cut."""
+    return F.concat(F.lit(" "), padded(code, 4))
 
 
 def local_day(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
@@ -142,7 +150,8 @@ def local_day(ts: Column, zone: str = "Europe/Copenhagen") -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """An instant in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def mapped(code: Column, table: dict, other=None) -> Column:
