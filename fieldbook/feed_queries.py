@@ -178,8 +178,8 @@ def q_collected_points(spark, d):
 
 @query(f"""WITH {_PTS}, l0 AS (SELECT *, count(*) OVER (PARTITION BY floor(x / 0.4), floor(y / 0.4)) AS n FROM p), l1 AS (SELECT vec_id, x, y, count(*) OVER (PARTITION BY floor(x / 0.2), floor(y / 0.2)) AS n FROM l0 WHERE n > 40)
 SELECT vec_id, 0 AS level FROM l0 WHERE n <= 40 UNION ALL SELECT vec_id, 1 FROM l1 WHERE n <= 40 UNION ALL SELECT vec_id, 2 FROM l1 WHERE n > 40""")
-def q_subdivided(spark, d):
-    return spatial.subdivided(_points(spark, d), "x", "y", 0.4, 40, 2).select("vec_id", "level")
+def q_quartered_cells(spark, d):
+    return spatial.quartered(_points(spark, d), "x", "y", 0.4, 40, 2).select("vec_id", "level")
 
 
 @query(f"WITH {_PTS} SELECT vec_id FROM p WHERE sqrt((round(x, 3) - round(y, 3)) * (round(x, 3) - round(y, 3))) > 0.1")

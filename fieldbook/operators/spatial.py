@@ -123,11 +123,11 @@ def box_overlaps(a: DataFrame, b: DataFrame, size: float, least: float) -> DataF
 
 
 def hull_boxes(points: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """A group's points put together: their number, box, centre, and all of them ordered."""
+    """A group's points put together: their number, box and centre."""
     return points.groupBy(*group).agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.avg(x).alias("cx"), F.avg(y).alias("cy"))
 
 
-def subdivided(points: DataFrame, x: str, y: str, size: float, most: int = 64, deepest: int = 12) -> DataFrame:
+def quartered(points: DataFrame, x: str, y: str, size: float, most: int = 64, deepest: int = 12) -> DataFrame:
     """level, cx, cy: each point's cell once squares are quartered until they hold at most so many points (or are ``deepest`` times halved). Only counts of cells are looked at between levels."""
     out, left = None, points.withColumn("level", F.lit(0))
     for level in range(deepest + 1):
