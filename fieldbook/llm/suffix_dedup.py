@@ -39,6 +39,8 @@ SLICE, STEP = 6_000_000, 1_000_000
 #: Bytes of blocks in a bucket, as sampled; bytes of text in a group of the last pass; bytes of text looked at for splitters.
 BUCKET, PART, SAMPLE = 24_000_000, 8_000_000, 32_000_000
 
+#: Of the sampled blocks, in the order of their content, every so many-th gives a key for splitters.
+SPARSE = 16
 #: Compression of what goes to the buckets, which is several times the text.
 LEVEL = 6
 
@@ -419,7 +421,7 @@ def sampled_splitters(docs: DataFrame, total: int, buckets: int, lay: Layout) ->
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, members in slices_of(batches, lay, SLICE, STEP):
             rows = classes(rows, bounds, members, *content_order(rows, bounds, lay), lay.length)[0]
-            got = leading(rows, lay)[:: max(1, len(rows) // 20_000)]
+            got = leading(rows, lay)[::SPARSE]
             yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in got], pa.binary())], ["key"])
 
     if buckets < 2:

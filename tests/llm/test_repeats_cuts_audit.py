@@ -62,6 +62,7 @@ def test_other_lengths_and_hot_splitters(spark, monkeypatch):
     rows = repeating_rows(4, 40) + [(1000 + k, "the same line that all of these rows hold, twice " * 2 + str(k)) for k in range(200)]
     assert removal(suffix_dedup.deduplicate(documents(spark, rows), 33, bucket=2000, slice_bytes=500, step=200)) == plain_removal(rows, 33)
     leading = []
+    monkeypatch.setattr(suffix_dedup, "SPARSE", 1)
     found = suffix_dedup.sampled_splitters
     monkeypatch.setattr(suffix_dedup, "sampled_splitters", lambda *a: leading.append(found(*a)) or leading[-1])
     again = [(k, "x" * 60 + str(k) * 3) for k in range(300)]
