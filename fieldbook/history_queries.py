@@ -70,12 +70,52 @@ def q_interval_tests(spark, d):
     return line.select("l_orderkey", "l_linenumber", intervals.meets(*ends).alias("meets"), intervals.meets(*ends, closed, closed).alias("meets_closed"), intervals.adjacent(*ends).alias("adjacent"))
 
 
-@query(f"WITH r AS ({ORACLE['q_interval_priority']}) SELECT l_orderkey, lo, coalesce(lead(lo) OVER (PARTITION BY l_orderkey ORDER BY lo), hi) AS hi, l_partkey FROM r")
+@query(f"""WITH r AS ({ORACLE['q_interval_priority']}), m AS (SELECT *, CASE WHEN lag(l_partkey) OVER w = l_partkey THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY lo)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY lo) AS run FROM m), o AS (SELECT l_orderkey, run, min(lo) AS lo, max(hi) AS hi, any_value(l_partkey) AS l_partkey FROM i GROUP BY l_orderkey, run)
+SELECT l_orderkey, lag(hi) OVER w AS lo, CASE WHEN lead(lo) OVER w IS NOT NULL THEN hi END AS hi, l_partkey FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY lo)""")
 def q_intervals_extended(spark, d):
     lines = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity") / 10).alias("hi"), "l_partkey")
     return intervals.resolve(lines, ["l_orderkey"], ["l_partkey", "lo", "hi"], "lo", "hi", "l_partkey", extend=True)
 
 
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_linenumber + CAST(floor(l_quantity / 10) AS INTEGER) AS b, 3 AS c, 5 AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN greatest(a, c) <= least(b, d) AND NOT (a = d) THEN (CASE WHEN c >= a THEN '[3' ELSE '[' || a END) || ',' || (CASE WHEN d <= b THEN '5)' ELSE b || ']' END) END AS both,
+CASE WHEN a < c THEN '[' || a || ',' || (CASE WHEN b < c THEN b || ']' ELSE '3)' END) END AS before, CASE WHEN b >= d THEN '[' || greatest(a, d) || ',' || b || ']' END AS after, CASE WHEN a = d THEN '[3,' || b || ']' END AS one FROM i""")
+def q_interval_algebra(spark, d):
+    """Closed intervals of lines against the half-open [3,5)."""
+    line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("int").alias("lo"), (F.col("l_linenumber") + F.floor(F.col("l_quantity") / 10)).cast("int").alias("hi"))
+    a, b = intervals.interval(F.col("lo"), F.col("hi"), (True, True)), intervals.interval(F.lit(3), F.lit(5))
+    show = {"both": intervals.intersection(a, b), "before": intervals.left_of(a, b), "after": intervals.right_of(a, b), "one": intervals.merged(a, b)}
+    return line.select("l_orderkey", "l_linenumber", *[intervals.shown(c).alias(n) for n, c in show.items()])
+
+
+_BOXED = "b AS (SELECT o_custkey % 50 AS street, o_orderkey AS k, CAST(floor(o_totalprice / 40000) AS BIGINT) AS y0, CAST(floor(o_totalprice / 40000) + 1 + o_orderkey % 4 AS BIGINT) AS y1, CAST(o_orderkey % 300 AS BIGINT) AS x0, CAST(o_orderkey % 300 + 5 + o_orderkey % 70 AS BIGINT) AS x1, o_orderpriority AS ref FROM orders)"
+_CELLS = f"""{_BOXED}, c AS (SELECT street, x, y, max_by(ref, k) AS ref FROM (SELECT street, k, ref, unnest(range(x0, x1)) AS x, y0, y1 FROM b), LATERAL (SELECT unnest(range(y0, y1)) AS y) GROUP BY street, x, y)"""
+
+
+def _boxed(spark, d):
+    o = t(spark, d, "orders")
+    k, y = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 40000)
+    return o.select((F.col("o_custkey") % 50).alias("street"), k.alias("k"), (k % 300).cast("long").alias("x0"), (k % 300 + 5 + k % 70).cast("long").alias("x1"), y.alias("y0"), (y + 1 + k % 4).alias("y1"), F.col("o_orderpriority").alias("ref"))
+
+
+@query(f"WITH {_CELLS} SELECT street, ref, count(*) AS cells, sum(x) AS sx, sum(y) AS sy FROM c GROUP BY street, ref")
+def q_boxes(spark, d):
+    """Boxes of time by house number on each street, the later one on top; counted by the unit cells that each ref holds."""
+    out = intervals.boxes(_boxed(spark, d), ["street"], ["k"], ("x0", "x1"), ("y0", "y1"), "ref")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    half = lambda a, b: F.expr(f"({a} + {b} - 1) * ({b} - {a}) div 2")
+    return out.groupBy("street", "ref").agg(F.sum(w * h).alias("cells"), F.sum(half("x0", "x1") * h).alias("sx"), F.sum(half("y0", "y1") * w).alias("sy"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS street, o_orderdate AS lo, min(o_orderpriority) AS ref FROM orders GROUP BY o_custkey, o_orderdate), m AS (SELECT *, CASE WHEN lag(ref) OVER (PARTITION BY street ORDER BY lo) = ref THEN 0 ELSE 1 END AS new FROM s),
+f AS (SELECT street, lo, ref, row_number() OVER (PARTITION BY street ORDER BY lo) AS n FROM m WHERE new = 1) SELECT street, CASE WHEN n > 1 THEN lo END AS lo, lead(lo) OVER (PARTITION BY street ORDER BY n) AS hi, ref FROM f""")
+def q_street_names_extended(spark, d):
+    """Names that each begin at an order's day and have no end: the one that began last holds, without end both ways."""
+    names = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("street"), F.col("o_orderdate").alias("lo")).agg(F.min("o_orderpriority").alias("ref"))
+    return intervals.names_extended(names.withColumn("hi", F.lit(None).cast("timestamp")), ["street"], "lo", "hi", "ref")
+
+
 @query("""WITH p AS (SELECT c_custkey, c_custkey % 7 = 0 AS fresh, c_nationkey AS g, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey + c_custkey % 3 END AS old_g, c_custkey % 4 AS v FROM customer)
 SELECT c_custkey, CASE WHEN fresh OR g IS DISTINCT FROM old_g THEN TIMESTAMP '2020-01-02' ELSE TIMESTAMP '2019-01-01' END AS geo_changed, CAST(CASE WHEN fresh THEN 1 WHEN g IS DISTINCT FROM old_g THEN v + 1 ELSE v END AS BIGINT) AS geo_version FROM p""")
 def q_geometry_versions(spark, d):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from graphlib import TopologicalSorter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions import ranges
-from fieldbook.operators import changes
+from fieldbook.operators import changes, relational
 
 
 def between(df: DataFrame, **bounds: tuple) -> DataFrame:
@@ -47,8 +47,9 @@ def transaction(done: DataFrame, found: DataFrame, order: list[str], keep_empty:
     """
     last = done.agg(F.max("txid").alias("t"), F.max("seq_to").alias("s")).first()
     txid, start = (last["t"] or 0) + 1, last["s"] or 0
-    within = F.row_number().over(Window.partitionBy("public").orderBy(*order))
-    marked = found.withColumn("txid", F.lit(txid).cast("long")).withColumn("seq", F.when(F.col("public"), (within + start).cast("long")))
+    named = found.withColumn("txid", F.lit(txid).cast("long"))
+    public = relational.numbered(named.where("public"), order, "seq", start)
+    marked = public.unionByName(named.where(~F.coalesce("public", F.lit(False))).withColumn("seq", F.lit(None).cast("long")))
     row = marked.agg(
         F.first("txid").alias("txid"), F.min("seq").alias("seq_from"), F.max("seq").alias("seq_to"),
         *[F.count_if(F.col("operation") == o).alias(f"n_{o}") for o in ("insert", "update", "delete")],
