@@ -127,9 +127,14 @@ def q_bounded_candidates(spark, d):
     return relational.triggered_order(some, {"by_name": "1", "by_size": None}, {"by_size": ["p_size"], "by_name": ["p_name"]}, ["p_partkey"]).limit(20).select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal IS NOT NULL")
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS good, c_custkey % 4 <> 0 AND c_custkey % 6 <> 0 AS whole FROM customer)
+SELECT form, c_custkey FROM c, (VALUES ('valid', false, false), ('closed', true, false), ('incomplete', false, true), ('all', true, true)) f(form, closed, incomplete) WHERE (good OR closed) AND (whole OR incomplete)""")
 def q_valid_only(spark, d):
-    return relational.valid_only(t(spark, d, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"], ["c_acctbal"], {}).select("c_custkey")
+    """The four forms of both switches; essentials are missing by null or by an empty text."""
+    c = t(spark, d, "customer").withColumn("a", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal"))).withColumn("b", F.when(F.col("c_custkey") % 6 == 0, "").otherwise(F.col("c_name")))
+    forms = {"valid": (False, False), "closed": (True, False), "incomplete": (False, True), "all": (True, True)}
+    each = [relational.valid_only(c, "c_mktsegment", ["BUILDING", "MACHINERY"], ["a", "b"], *f).select(F.lit(n).alias("form"), "c_custkey") for n, f in forms.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 9 END AS status, 'https://api.example/orders/' || o_orderkey AS href, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(date_part('millisecond', o_orderdate) % 1000 AS VARCHAR), 3, '0') || 'Z' AS at,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
@@ -66,33 +66,49 @@ def match_scan(df: DataFrame, key: str, fields: dict[str, str], query: str, pref
     return found.select(key, F.round(1_000_000 * weight / (1 + F.ln(F.size("all")))).cast("long").alias("rank"))
 
 
+def name_first(df: DataFrame, key: str, fields: dict[str, str], name: str, query: str, prefix_last: bool = False) -> DataFrame:
+    """key, exact, named, rank, edits of the rows that have every term of the query, those that are named so first.
+
+    ``exact`` and ``named`` are ranks in the name alone, of whole words and of words that a term begins; ``rank`` is that over all fields. Edits are those from the query to the name.
+    """
+    wanted = terms(query, prefix_last)
+    split = df.select(key, name, F.array_distinct(tx.tokens(F.col(name))).alias("own_")).join(match_scan(df, key, fields, query, prefix_last), key)
+
+    def within(whole: bool) -> Column:
+        hit = lambda x: reduce(lambda a, b: a | b, [x.startswith(t) if p and not whole else x == t for t, p in wanted])
+        return F.round(1_000_000 * F.size(F.filter("own_", hit)) / (1 + F.ln(F.greatest(F.size("own_"), F.lit(1))))).cast("long")
+
+    edits = F.levenshtein(F.lower(name), F.lower(F.lit(query))).cast("long")
+    return split.select(key, within(True).alias("exact"), within(False).alias("named"), "rank", edits.alias("edits")).orderBy(F.desc("exact"), F.desc("named"), F.desc("rank"), "edits", key)
+
+
+def by_rank_then_edits(found: DataFrame, line: Column, query: str, then: list[str]) -> DataFrame:
+    """Search results of one rank by the edits between their text and the query, then by columns such as number, floor and door."""
+    return found.withColumn("edits", F.levenshtein(line, F.lit(query)).cast("long")).orderBy(F.desc("rank"), "edits", *then)
+
+
+def near_names(df: DataFrame, name: str, query: str, looked_at: int = 1000, names: int = 100, costs: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:
+    """The rows of the names nearest to the query, with ``edits``: of the ``looked_at`` rows nearest by trigrams the ``names`` nearest distinct names, then weighted edits (insert, update, delete)."""
+    counted = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n_"))
+    d = F.round(tx.trigram_distance(tx.trigrams(F.col(name)), tx.trigrams(F.lit(query))), 6)
+    # as many names as rows at most, so a first choice of names bounds what is summed up
+    near = counted.withColumn("d_", d).orderBy("d_", name).limit(looked_at)
+    before = F.sum("n_").over(Window.orderBy("d_", name)) - F.col("n_")
+    some = near.withColumn("before_", before).where(F.col("before_") < looked_at).orderBy("d_", name).limit(names).select(name)
+    if costs == (1, 1, 1):
+        cost = some.withColumn("edits", F.levenshtein(F.lower(name), F.lower(F.lit(query))).cast("long"))
+    else:
+        pairs = some.withColumn("a_text", F.lower(name)).withColumn("b_text", F.lower(F.lit(query)))
+        cost = edit_cost(pairs, "a_text", "b_text", *costs).select(name, F.col("cost").alias("edits"))
+    return df.join(cost, name)
+
+
 def trigram_top(df: DataFrame, column: str, query: str, key: str, k: int) -> DataFrame:
     """The k rows nearest to the query by trigram distance, then key. Only a top-k goes to one place."""
     d = F.round(tx.trigram_distance(tx.trigrams(F.col(column)), tx.trigrams(F.lit(query))), 6)
     return df.withColumn("distance", d).orderBy("distance", key).limit(k)
 
 
-def alignment(a: str, b: str, insert: int = 1, update: int = 1, delete: int = 1) -> list[str]:
-    """Cheapest edits from a to b as K(eep), U(pdate), I(nsert), D(elete); ties go to insert, delete, keep, update from the end."""
-    n, m = len(a), len(b)
-    cost = [[i * delete + j * insert if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i][j - 1] + insert, cost[i - 1][j] + delete, cost[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else update))
-    out, i, j = [], n, m
-    while i or j:
-        if j and cost[i][j] == cost[i][j - 1] + insert:
-            out.append("I")
-            j -= 1
-        elif i and cost[i][j] == cost[i - 1][j] + delete:
-            out.append("D")
-            i -= 1
-        else:
-            out.append("K" if a[i - 1] == b[j - 1] else "U")
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
 def edit_cost(df: DataFrame, a: str, b: str, insert: int, update: int, delete: int) -> DataFrame:
     """df with ``cost``: weighted edit distance from column a to column b, worked out once for each distinct pair of texts."""
     chars = lambda c: F.split(F.col(c), "")

@@ -35,11 +35,13 @@ def page(df: DataFrame, key: list[str], number: int | None = None, size: int | N
     return df.orderBy(*key).offset((number - 1) * size).limit(size)
 
 
-def valid_only(df: DataFrame, status: str, good: list, essential: list[str], given: dict[str, object], also: dict[str, list] | None = None) -> DataFrame:
-    """Rows of a valid status with all essentials; each given switch of ``also`` (switch -> more statuses) lets these in, and incomplete rows with them."""
-    more = [v for k, vs in (also or {}).items() if given.get(k) for v in vs]
-    df = df.filter(F.col(status).isin([*good, *more]))
-    return df if more else df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in essential], F.lit(True)))
+def valid_only(df: DataFrame, status: str, good: list, essential: list[str], with_closed: bool = False, with_incomplete: bool = False) -> DataFrame:
+    """Rows of a valid status with all essentials, neither null nor empty; ``with_closed`` lets all statuses in, ``with_incomplete`` rows without essentials, each by itself."""
+    if not with_closed:
+        df = df.filter(F.col(status).isin(good))
+    for c in [] if with_incomplete else essential:
+        df = df.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    return df
 
 
 def exists(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:

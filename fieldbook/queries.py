@@ -595,4 +595,4 @@ def q_integrity_checks(spark, d):
     return out
 
 
-from fieldbook import address_queries, feed_queries, geometry_queries, history_queries  # noqa: E402, F401  (they register themselves)
+from fieldbook import address_queries, feed_queries, geometry_queries, history_queries, register_queries  # noqa: E402, F401  (they register themselves)

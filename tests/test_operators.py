@@ -52,11 +52,6 @@ def test_utm_is_exact_to_the_millimetre(spark):
     assert abs(b.e - 687071.4) < 1 and abs(b.n - 6210141.3) < 1
 
 
-def test_weighted_alignment():
-    assert matching.alignment("ab", "abc") == ["K", "K", "I"]
-    assert "".join(matching.alignment("kitten", "sitting")).count("K") == 4
-
-
 def test_weighted_score_ranks_the_near_name_first(spark):
     rows = registry.q_weighted_score(spark, SF).collect()
     assert [r.cost for r in rows] == sorted(r.cost for r in rows)
