@@ -8,9 +8,10 @@ number texts and labels are joined by shuffling and written once.
    words it stands in toxic ones. A word or beginning that is far likelier in toxic documents, significantly so and in
    varied contexts (copies of one text don't make it varied), marks a toxic token where it stands in a toxic document.
    Neither test depends on the size of the input: variety is the number of different words before ``DRAWS`` of its
-   occurrences, expected over all choices of these. At most ``LEXICON`` units, the most significant, are sent to the tasks.
+   occurrences, expected over all choices of these. Beginnings of all lengths in ``STEMS`` are tried, so that each family of inflected
+   words finds its own; a word is known by its shortest one. At most ``LEXICON`` units, the most significant, are sent to the tasks.
    Tokens are runs of letters, digits and other non-ASCII characters, lower-cased.
-2. The field has the labels O and T; its features are the word, its neighbours, its ends and its shape, hashed. It is fitted
+2. The field has the labels O and T; its features are the word, its neighbours, its ends, its shape and the unit it is known by, hashed. It is fitted
    on at most ``FIT_ROWS`` labelled documents, half of each class, taken whole in hash order. A document that would bring
    its class over half of ``FIT_TOKENS`` (about, at 6 bytes each) is passed over and the next ones are tried; where none
    fits, the class's shortest stands in. The gradient is summed over batches of about ``BATCH`` tokens.
@@ -54,7 +55,7 @@ CHANCE = 0.01
 #: Units sent to the tasks, at most.
 LEXICON = 200_000
 #: Lengths of the word beginnings that count as units, in bytes.
-STEMS = (4, 6)
+STEMS = range(3, 13)
 BLOCK = 32
 ROUNDS = 40
 #: Labels broadcast to the texts, at most; about 60 bytes each.
@@ -63,8 +64,15 @@ _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _SPANS = "array<struct<start:int,end:int,p:double>>"
 
 
-def _slots(words: list[bytes]) -> np.ndarray:
-    """Slots [words, 7] of the features of words: own word, first 4 and 6 bytes, last 4, shape; as the word before, as the word after."""
+#: Features of a word itself; the last two columns of its slots are those it gives its neighbours.
+OWN = 7
+
+
+def _slots(words: list[bytes], lexicon: set[bytes]) -> np.ndarray:
+    """Slots [words, OWN + 2] of the features of words: own word, first 4 and 6 bytes, last 4, shape, whether a unit knows it and which; as the word before, as the word after."""
+    first = [next((u for u in units(w) if u in lexicon), b"") for w in words]
+    unit = np.fromiter(map(xxhash.xxh3_64_intdigest, first), np.uint64, len(words))
+    known = np.array([bool(u) for u in first], np.uint64)
     whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     first4 = np.array(words, "S4").view("<u4").astype(np.uint64)
     first6 = np.array(words, "S6").astype("S8").view("<u8")
@@ -72,7 +80,7 @@ def _slots(words: list[bytes]) -> np.ndarray:
     kinds = _KIND[np.array(words, "S12").view(np.uint8).reshape(-1, 12)].astype(np.uint64)
     shape = kinds @ (np.uint64(4) ** np.arange(12, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        each = [mix64(x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k, x in enumerate((whole, first4, first6, last4, shape, whole, whole), 1)]
+        each = [mix64(x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k, x in enumerate((whole, first4, first6, last4, shape, known, unit, whole, whole), 1)]
     return (np.column_stack(each) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
 
 
@@ -82,15 +90,15 @@ _KIND = np.array([0 if b == 0 else 2 if 48 <= b <= 57 else 1 for b in range(256)
 class Words(dict):
     """word -> row of ``table``: its slots, or with weights its scores (own, as the word before, as the word after). Cleared beyond a bounded number of rows."""
 
-    def __init__(self, weights: np.ndarray | None = None, most: int = 100_000):
+    def __init__(self, lexicon: set[bytes], weights: np.ndarray | None = None, most: int = 100_000):
         super().__init__()
-        self.weights, self.most = weights, most
-        self.table = np.zeros((0, 7), np.int64) if weights is None else np.zeros((0, 3), np.float32)
+        self.lexicon, self.weights, self.most = lexicon, weights, most
+        self.table = np.zeros((0, OWN + 2), np.int64) if weights is None else np.zeros((0, 3), np.float32)
 
     def learn(self, words: list[bytes]) -> None:
-        rows = _slots(words)
+        rows = _slots(words, self.lexicon)
         if self.weights is not None:
-            rows = np.column_stack([self.weights[rows[:, :5]].sum(axis=1), self.weights[rows[:, 5]], self.weights[rows[:, 6]]]).astype(np.float32)
+            rows = np.column_stack([self.weights[rows[:, :OWN]].sum(axis=1), self.weights[rows[:, OWN]], self.weights[rows[:, OWN + 1]]]).astype(np.float32)
         self.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
         self.table = np.concatenate([self.table, rows])
 
@@ -201,6 +209,7 @@ class Field:
         self.weights, self.trans, self.bias = np.zeros(1 << HASH_BITS), np.zeros((2, 2)), -4.0
         self.calibration: np.ndarray | None = None
         self.flat = 0.0
+        self.lexicon: set[bytes] = set()
 
     def emissions(self, words: Words, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         own, prev, nxt = words.table[flat].T.astype(float)
@@ -224,10 +233,11 @@ def _summary(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share: float) -> Field:
     """Maximum likelihood of the token labels by Adagrad steps over all sequences, then the calibration by Newton steps."""
     field, batches, at = Field(), [], 0
+    field.lexicon = lexicon
     size = np.cumsum([len(t) // 6 + 1 for t in texts])
     while at < len(texts):
         n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")) - at)
-        words = Words()
+        words = Words(lexicon)
         flat, counts = _tokens(texts[at : at + n], words)
         names = {i: any(u in lexicon for u in units(w)) for w, i in words.items()}
         known = np.array([names[i] for i in range(len(words))], bool)
@@ -236,8 +246,8 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
         at += n
 
     def features(slots: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        before, after = _neighbours(slots[flat, 6], counts, 1), _neighbours(slots[flat, 5], counts, -1)
-        return np.column_stack([slots[flat, :5], before, after])
+        before, after = _neighbours(slots[flat, OWN + 1], counts, 1), _neighbours(slots[flat, OWN], counts, -1)
+        return np.column_stack([slots[flat, :OWN], before, after])
 
     size, g2, tg2, bg2 = 1 << HASH_BITS, np.full(1 << HASH_BITS, 1e-3), np.full((2, 2), 1e-3), 1e-3
     for _ in range(ROUNDS):
@@ -246,7 +256,7 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
             feats = features(slots, flat, counts)
             p, have = expectations(field.weights[feats].sum(axis=1) + field.bias, counts, field.trans)
             gap = y - p
-            grad += np.bincount(feats.ravel(), weights=np.repeat(gap, 7), minlength=size)
+            grad += np.bincount(feats.ravel(), weights=np.repeat(gap, OWN + 2), minlength=size)
             bias += gap.sum()
             before_y = _neighbours(y.astype(np.int64), counts, 1)
             want = np.array([[((1 - before_y) * (1 - y)).sum(), ((1 - before_y) * y).sum()], [(before_y * (1 - y)).sum(), (before_y * y).sum()]])
@@ -271,8 +281,8 @@ def _fit_field(texts: list[bytes], toxic: np.ndarray, lexicon: set[bytes], share
 
 
 def units(w: bytes) -> tuple[bytes, ...]:
-    """What a toxic token may be known by: the word, and its beginnings (inflected words share these), marked by a *."""
-    return (w, *(w[:n] + b"*" for n in STEMS if len(w) > n)) if w else ()
+    """What a toxic token may be known by: its beginnings (inflected words share these), the shortest first, marked by a *, and the word."""
+    return (*(w[:n] + b"*" for n in STEMS if len(w) > n), w) if w else ()
 
 
 class _Units(dict):
@@ -396,7 +406,7 @@ def tag(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        words = Words(field.weights)
+        words = Words(field.lexicon, field.weights)
         for b in slices(batches, 1_500_000):
             texts = texts_of(b)
             flat, counts = _tokens(texts, words)
@@ -431,7 +441,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        words = Words(field.weights)
+        words = Words(field.lexicon, field.weights)
         for b in slices(batches, 1_500_000):
             flat, counts = _tokens(texts_of(b), words)
             p = marginals(field.emissions(words, flat, counts), counts, field.trans)
