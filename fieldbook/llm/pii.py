@@ -8,8 +8,8 @@
 4. Labels come from what the features don't show. A candidate is right where a base span, and so a validator (Luhn, parts up to
    255, a mail host, a dialling prefix), confirms it. It is refuted where a validator speaks against it: a card-sized number
    that fails Luhn, a dotted number that is no address, digits inside a longer word, a date, a single repeated digit, a handle without a
-   host. All others (phone numbers without a prefix, written-out addresses) are open: they are never learned from, and only
-   they can be added. The plus sign, the @ and the outcome of validators are no features, so open candidates look like confirmed ones.
+   host. All others (phone numbers without a prefix, written-out addresses, mail at a host without a dot) are open: they are never learned from, and only
+   they can be added. A string that is proposed at several places is one candidate, a confirmed place with its own features before a refuted one. The plus sign, the @ and the outcome of validators are no features, so open candidates look like confirmed ones.
 5. Gradient-boosted trees are fitted on at most ``FIT_ROWS`` distinct labelled candidates of each generator, taken in hash
    order over the whole corpus. A quarter of all distinct candidates, by hash, is held out and never fitted.
 6. Per generator, the lowest score whose precision over ALL held-out labelled candidates reaches ``PRECISION`` is the
@@ -57,6 +57,7 @@ GENERATORS = {
     "phone_like": r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}",
     "dotted_like": r"(?:(?<![0-9.])|\G)[0-9]++(?:\.[0-9]++){3,}+",
 }
+HOST = r"^[^@]*[\p{L}\p{N}][^@]*@[^@]*\p{L}"
 DATE = r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})"
 CUES = (
     r"(?i)\b(phone|tel|telephone|call|fax|mobile|cell|whatsapp)\b",
@@ -107,7 +108,7 @@ def _label(h: Column, confirmed: Column) -> Column:
     refuted = (
         (numeric & (inside | card | (F.length(digits) > 19) | h["s"].rlike(DATE) | digits.rlike(r"^([0-9])\1*$")))
         | (h["kind"] == "dotted_like")
-        | ((h["kind"] == "email_like") & F.contains(h["s"], F.lit("@")))
+        | ((h["kind"] == "email_like") & F.contains(h["s"], F.lit("@")) & ~h["s"].rlike(HOST))
     )
     return F.when(confirmed, 1).when(refuted, 0)
 
@@ -155,7 +156,7 @@ def fit(proposed: DataFrame, rows: int = FIT_ROWS, precision: float = PRECISION)
     flat = proposed.filter(F.size("cands") > 0).select(F.explode("cands").alias("h")).select("h.kind", "h.s", "h.label", "h.x").filter("label is not null")
     flat = flat.withColumn("h", F.xxhash64("s", "kind"))
     held = F.pmod(F.col("h"), F.lit(4)) == 0
-    distinct = lambda part: part.groupBy("kind", "s", "h").agg(F.max("label").alias("label"), F.min("x").alias("x"))
+    distinct = lambda part: part.groupBy("kind", "s", "h").agg(F.max(F.struct("label", "x")).alias("best")).select("kind", "s", "h", "best.label", "best.x")
     each = [distinct(flat.filter(~held & (F.col("kind") == kind))).orderBy("h", "s").limit(rows).select("kind", "h", "label", "x") for kind in GENERATORS]
     sample = cut(reduce(DataFrame.unionByName, each), "pii-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -201,7 +202,7 @@ def redact(docs: DataFrame) -> DataFrame:
     tag = lambda h: F.concat(F.lit("["), F.upper(F.regexp_replace(h["kind"], "_like$", "")), F.lit("]"))
     done = proposed.select("doc", spans.in_order(_chosen(fit(proposed))).alias("found")).select("doc", spans.replaced(F.col("doc.text"), F.col("found"), tag).alias("new"))
     value = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
-    return done.select(*[value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[value.get(c, F.col("doc.`" + c.replace("`", "``") + "`")).alias(c) for c in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

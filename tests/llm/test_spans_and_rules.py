@@ -119,6 +119,18 @@ def test_open_candidates_are_added_by_the_model(spark):
     assert not any(found[i] for i in texts if i not in sought and "order" not in texts[i])
 
 
+def test_mail_at_a_host_without_a_dot_is_open_and_prices_are_refuted(spark):
+    rng = random.Random(31)
+    name = lambda: f"{rng.choice('abcdefgh')}{rng.choice(['lan', 'ob', 'ert'])}.{rng.randrange(99)}"
+    rows = [(i, f"please write to {name()}@mail{i % 7}.example.org today") for i in range(600)] + [(1000 + i, f"they paid {i}@{i + 10} each") for i in range(600)]
+    rows += [(3000 + i, f"please write to {name()}@mailhost today") for i in range(100)]
+    got = {r.doc_id: {s.s for s in r.spans if s.kind in pii.GENERATORS} for r in pii.scan(documents(spark, rows)).collect()}
+    assert sum(bool(got[3000 + i]) for i in range(100)) >= 90
+    assert not any(got[1000 + i] for i in range(600))
+    strange = documents(spark, [(1, "mail a.b@mail.example.org")]).withColumn("a`b", pii.F.lit("kept"))
+    assert pii.redact(strange).first()["a`b"] == "kept"
+
+
 def test_the_expression_scores_like_the_trees(spark):
     rng = random.Random(22)
     sample = spark.createDataFrame([(x, int(x[0] + x[3] > 8 or x[1] == 2)) for x in ([float(rng.randrange(9)) for _ in range(6)] for _ in range(400))], "x array<double>, label int")
