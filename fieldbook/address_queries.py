@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
-from fieldbook.operators import addresses, matching, search_index, washing
+from fieldbook.operators import addresses, matching, relational, search_index, spelling, washing
 from fieldbook.queries import _TRI, big, query, t
 
 
@@ -181,3 +181,28 @@ def q_iso_utc(spark, d):
     """The same instants whatever the session's zone; the table holds UTC times without one."""
     e = t(spark, d, "events").select("event_id", F.expr("make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(second from ts), 'UTC')").alias("ts"))
     return e.select("event_id", tx.iso_utc(F.col("ts")).alias("utc"))
+
+
+@query(f"""WITH {_KNOWN}, f AS (SELECT k, street || ' ' || number || CASE WHEN floor IS NOT NULL OR door IS NOT NULL THEN ',' ELSE '' END || coalesce(' ' || floor || '.', '') || coalesce(' ' || door, '') AS line, street || ' ' || number || ', ' AS head, postal, city, CASE WHEN k % 3 = 0 THEN '0999' END AS large FROM a),
+s AS (SELECT k, head, line || ', ' || postal || ' ' || city AS plain, line || ', 0999 Large' AS own, line || chr(10) || postal || ' ' || city AS p2, line || chr(10) || '0999 Large' AS o2, large, postal, city FROM f)
+SELECT k, head || ', ' || postal || ' ' || city AS text, p2 AS suggestion, length(head) AS caret, false AS large, CASE WHEN large IS NOT NULL THEN 1 ELSE 0 END AS place FROM s UNION ALL SELECT k, head || ', ' || postal || ' ' || city, o2, length(head), true, 0 FROM s WHERE large IS NOT NULL""")
+def q_suggestions(spark, d):
+    """Addresses as suggestions with room for floor and door; every third has a postal code of its own, which the query names."""
+    rows = _known(spark, d).withColumn("own", F.when(F.col("k") % 3 == 0, "0999")).withColumn("own_city", F.lit("Large"))
+    return addresses.suggestions(rows, _PARTS, "road 0999", ("own", "own_city"), multiline=True, complete=False).select("k", "text", "suggestion", "caret", "large", "place")
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS x FROM part), m AS (SELECT p_partkey, len(list_distinct(list_concat(x, CASE WHEN list_contains(x, 'small') THEN ['smaal'] ELSE [] END, CASE WHEN list_contains(x, 'widget') THEN ['vidget', 'gadget'] ELSE [] END))) AS n FROM w WHERE list_contains(x, 'small') AND list_contains(x, 'widget'))
+SELECT p_partkey, CAST(round(1000000 * 2.0 / (1 + ln(n))) AS BIGINT) AS rank FROM m""")
+def q_synonym_search(spark, d):
+    """Parts found by another spelling and by a synonym of their words, special letters written out."""
+    groups = spark.createDataFrame([(["small", "smaal"],), (["widget", "vidget", "gadget"],)], "synonyms array<string>")
+    index = search_index.built(t(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", {"p_name": "A"}, 16, groups)
+    return search_index.found(index, matching.terms(spelling.asked("Små*l gadget".replace("*", "")))).select("p_partkey", "rank")
+
+
+@query("""SELECT r_name, CAST(to_json(list({'key': n_nationkey, 'name': n_name, 'note': CASE WHEN n_nationkey % 2 = 0 THEN n_name END} ORDER BY n_name)) AS VARCHAR) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name""")
+def q_nested_json(spark, d):
+    n = t(spark, d, "nation").withColumn("note", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
+    made = relational.nested_json(n, ["n_regionkey"], {"key": "n_nationkey", "name": "n_name", "note": "note"}, ["n_name"], "nations")
+    return t(spark, d, "region").join(made, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "nations")

@@ -63,6 +63,45 @@ def cascade(steps: list[tuple[str, Callable[[], DataFrame]]], least: int, size:
     raise ValueError("a cascade has a step at least")
 
 
+def shown(a: dict[str, Column], locality: bool = False, multiline: bool = False) -> Column:
+    """An address as text: street and number, floor and door behind a comma, the locality if asked, postal code and city; on lines of its own with ``multiline``."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    part = lambda f, before, after="": F.when(has(a[f]), F.concat(F.lit(before), a[f], F.lit(after))).otherwise("")
+    unit = F.concat(F.when(has(a["floor"]) | has(a["door"]), ",").otherwise(""), part("floor", " ", "."), part("door", " "))
+    step = "\n" if multiline else ", "
+    place = part("locality", step) if locality else F.lit("")
+    return F.concat(a["street"], part("number", " "), unit, place, F.lit(step), a["postal"], F.lit(" "), a["city"])
+
+
+def suggestions(df: DataFrame, fields: dict[str, str], query: str, large: tuple[str, str] | None = None, locality: bool = False, multiline: bool = False, complete: bool = True) -> DataFrame:
+    """A row, or two, for each address found: ``text`` for the input field, ``suggestion`` to choose from, ``caret``, ``large``, ``place``.
+
+    Addresses with a postal code of their own (columns ``large``: code and city) come in both forms: not in the one that the query spells out already, as the other is wanted then, and
+    that with the own code first if the query names it. An address that is not complete ends its street part with room for floor and door, where the caret stands.
+    """
+    a = {f: F.col(fields[f]).cast("string") if f in fields else F.lit(None).cast("string") for f in ("street", "number", "floor", "door", "locality", "postal", "city")}
+    forms = [(F.lit(False), a)]
+    if large:
+        forms.append((F.lit(True), {**a, "postal": F.col(large[0]).cast("string"), "city": F.col(large[1])}))
+    asked, whole = F.lit(query), [shown(x, locality) for _, x in forms]
+
+    def form(is_large: Column, x: dict[str, Column]) -> Column:
+        full = shown(x, locality)
+        before = F.concat(x["street"], F.lit(" "), F.coalesce(x["number"], F.lit("")), F.lit(", "))
+        rest = F.concat(F.when(F.lit(locality) & (F.coalesce(x["locality"], F.lit("")) != ""), F.concat(F.lit(", "), x["locality"])).otherwise(""), F.lit(", "), a["postal"], F.lit(" "), a["city"])
+        text = full if complete else F.concat(before, rest)
+        return F.struct(text.alias("text"), shown(x, locality, multiline).alias("suggestion"), F.length(full if complete else before).alias("caret"), is_large.alias("large"))
+
+    made = [form(*f) for f in forms]
+    if not large:
+        listed = F.array(made[0])
+    else:
+        both = F.array_compact(F.array(F.when(asked != whole[1], made[0]), F.when(asked != whole[0], made[1])))
+        own_first = (F.size(both) > 1) & F.contains(asked, F.col(large[0]).cast("string"))
+        listed = F.when(F.coalesce(F.col(large[0]).cast("string"), F.lit("")) == "", F.array(made[0])).otherwise(F.when(own_first, F.reverse(both)).otherwise(both))
+    return df.select("*", F.posexplode(listed).alias("place", "s_")).select(*df.columns, "s_.*", "place")
+
+
 def caret_wildcard(query: str, caret: int | None = None) -> str:
     """The query with a * at the end of the word that is being typed."""
     at = len(query) if caret is None else min(caret, len(query))

@@ -102,6 +102,12 @@ def related(df: DataFrame, relations: list[dict]) -> DataFrame:
     return df
 
 
+def nested_json(df: DataFrame, group: list[str], fields: dict[str, str], order: list[str], name: str) -> DataFrame:
+    """group, name: each group's rows as JSON text of objects in order; fields maps an object's names to columns, nulls stay in it. Left joined, a key without rows has null; ``coalesce`` with '[]' makes it an empty list."""
+    each = F.struct(F.struct(*order).alias("order_"), F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("row_"))
+    return df.groupBy(*group).agg(F.to_json(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["row_"]), {"ignoreNullFields": "false"}).alias(name))
+
+
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Every row with the columns of a relation of one row (a clock, a union of areas), which an aggregate without keys proves."""
     return df.crossJoin(F.broadcast(one.agg(*[F.first(c).alias(c) for c in one.columns])))

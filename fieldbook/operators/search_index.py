@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
-from fieldbook.operators import matching
+from fieldbook.operators import matching, spelling
 from fieldbook.operators.stored import stored_by
 
 #: Prefixes that are not looked up where other terms narrow the search: one or two digits.
@@ -52,9 +52,25 @@ def own_tokens(fields: dict[str, str]) -> Column:
     return F.filter(each, lambda x, i: (i == 0) | (x["token"] != F.coalesce(F.get(each, i - 1)["token"], F.lit(""))))
 
 
-def built(df: DataFrame, key: str, fields: dict[str, str], buckets: int = 64) -> Index:
-    """fields maps columns to classes (A to D). Rows without any token are in no answer."""
+def with_group_words(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, list with the other words of each token's groups(synonyms: array) added, in the token's class: on the index side only, so a query for any word of a group finds them all."""
+    each = rows.select("key", F.explode("list").alias("x")).select("key", "x.token", "x.class")
+    members = groups.select("synonyms", F.explode("synonyms").alias("token")).select("token", F.explode("synonyms").alias("other"))
+    added = each.join(members, "token").select("key", F.col("other").alias("token"), "class")
+    best = each.unionByName(added).groupBy("key", "token").agg(F.min("class").alias("class"))
+    return best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("token", "class"))).alias("list"))
+
+
+def built(df: DataFrame, key: str, fields: dict[str, str], buckets: int = 64, groups: DataFrame | None = None) -> Index:
+    """fields maps columns to classes (A to D). Rows without any token are in no answer.
+
+    With ``groups`` of synonyms (as ``spelling.synonym_groups`` gives them) letters are written out first, and each token stands for its groups' words; queries then go through ``spelling.asked``.
+    """
+    if groups is not None:
+        df = df.select(key, *[spelling.written_out(F.col(c)).alias(c) for c in fields])
     rows = df.select(F.col(key).alias("key"), own_tokens(fields).alias("list"))
+    if groups is not None:
+        rows = with_group_words(rows, groups)
     tokens = stored_by(rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition(buckets, "part"), "tokens", "part")
     each = tokens.select("key", F.size("list").alias("n"), F.explode("list").alias("x")).select("x.token", "key", "x.class", "n")
     ranged = each.repartitionByRange(buckets, "token", "key").sortWithinPartitions("token", "key").withColumn("bucket", F.spark_partition_id())

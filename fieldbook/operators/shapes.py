@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -95,12 +96,13 @@ DEPTH = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineS
 
 def ewkt(kind: str, coordinates: Column, srid: int = 25832, z: bool = False, multi: bool = False) -> Column:
     """Text of a GeoJSON geometry with its coordinate system, made a multi-geometry if asked; null stays null."""
+    name = f"Multi{kind}" if multi and f"Multi{kind}" in DEPTH else kind
+    whole = F.array(coordinates) if name != kind else coordinates
+    text = lambda place: F.array_join(F.transform(place, lambda v: v.cast("string")), " ")
+    for _ in range(DEPTH[name]):
+        text = lambda many, inner=text: F.concat(F.lit("("), F.array_join(_each(many, inner), ", "), F.lit(")"))
+    return F.when(coordinates.isNotNull(), F.concat(F.lit(f"SRID={srid}; {name}{'Z' if z else ''}"), text(whole)))
 
-    def text(c: Column, depth: int) -> Column:
-        if not depth:
-            return F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
-        return F.concat(F.lit("("), F.array_join(F.transform(c, lambda p: text(p, depth - 1)), ", "), F.lit(")"))
 
-    if multi and not kind.startswith("Multi"):
-        return F.when(coordinates.isNotNull(), ewkt(f"Multi{kind}", F.array(coordinates), srid, z))
-    return F.when(coordinates.isNotNull(), F.concat(F.lit(f"SRID={srid}; {kind}{'Z' if z else ''}"), text(coordinates, DEPTH[kind])))
+def _each(many: Column, shown: Callable[[Column], Column]) -> Column:
+    return F.transform(many, lambda one: shown(one))

@@ -22,11 +22,25 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; a fresh local folder only where that is unset and Spark is one local process."""
     path = _path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _read(df, path)
 
 
 def stored_by(df: DataFrame, tag: str, column: str) -> DataFrame:
     """As ``stored``, in a folder for each value of a column: a filter on it reads those folders only."""
     path = _path(df.sparkSession, tag)
     df.write.partitionBy(column).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _read(df, path)
+
+
+def _read(df: DataFrame, path: str) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.operators import matching, search_index, washing
+from fieldbook.operators import addresses, matching, search_index, spelling, washing
 
 BLANK = "., "
 
@@ -199,3 +199,40 @@ def test_running_minimum_of_costs_is_the_table():
     b, _ = washing.characters(["sitting", "cab"])
     assert washing.costs(a, b, 1, 1, 1)[7, 0, 6] == 3
     assert np.array_equal(washing.costs(a, b, 1, 2, 1)[3, 1], [3, 2, 1, 2, 3, 4, 5][:7])
+
+
+def test_suggestions_of_addresses_with_two_postal_codes(spark):
+    df = spark.createDataFrame([(1, "Vej", "4", "st", "tv", "By", "2100", "Kbh", "0999", "Stor")], "id int, street string, number string, floor string, door string, locality string, postal string, city string, own string, own_city string")
+    fields = {f: f for f in washing.FIELDS}
+    got = lambda q, **kw: [(r.text, r.suggestion, r.caret, r.large) for r in addresses.suggestions(df, fields, q, ("own", "own_city"), **kw).orderBy("place").collect()]
+    plain, own = "Vej 4, st. tv, 2100 Kbh", "Vej 4, st. tv, 0999 Stor"
+    assert got("vej") == [(plain, plain, len(plain), False), (own, own, len(own), True)]
+    assert [r[3] for r in got("vej 0999")] == [True, False]
+    assert [r[3] for r in got(plain)] == [False] and [r[3] for r in got(own)] == [True]
+    long = "Vej 4, st. tv, By, 2100 Kbh"
+    assert got("x", locality=True, multiline=True)[0] == (long, long.replace(", By, ", "\nBy\n"), len(long), False)
+    open_end = got("x", locality=True, complete=False)[0]
+    assert open_end == ("Vej 4, , By, 2100 Kbh", long, len("Vej 4, "), False)
+    none = df.withColumn("own", F.lit(None).cast("string"))
+    assert [r.large for r in addresses.suggestions(none, fields, "0999", ("own", "own_city")).collect()] == [False]
+
+
+def test_synonyms_are_found_either_way_and_take_the_best_class(spark):
+    df = spark.createDataFrame([(1, "Store Boulevard", "x"), (2, "Lille Vej", "boulevard"), (3, "Østre Allé", "")], "id long, name string, town string")
+    groups = spark.createDataFrame([(["boulevard", "boulev", "boul"],), (["alle", "allee"],)], "synonyms array<string>")
+    index = search_index.built(df, "id", {"name": "A", "town": "D"}, 4, groups)
+    find = lambda q: {r.id: r.rank for r in search_index.found(index, matching.terms(spelling.asked(q))).collect()}
+    ranks = find("boul")
+    assert set(ranks) == {1, 2} and ranks[1] > ranks[2]
+    assert set(find("Oestre allee")) == {3} and set(find("østre alle")) == {3} and find("nothing") == {}
+
+
+def test_differences_and_grades(spark):
+    schema = "k int, raw string, street string, number string, floor string, postal string, city string"
+    rows = [(1, "Road 1, 1000 Town", "Road", "1", None, "1000", "Town"), (2, "Raod 1, 1000 Town", "Road", "1", None, "1000", "Town"), (3, "Road 2, 1000 Town", "Road", "1", None, "1000", "Town"), (4, "Road 1, 3., 1000 Town", "Road", "1", "3", "1000", "Town"), (5, "Road 1, xyz, 1000 Town", "Road", "1", None, "1000", "Town")]
+    fields = {f: f for f in ("street", "number", "floor", "postal", "city")}
+    got = {r.k: (r.category, r.total) for r in washing.graded(spark.createDataFrame(rows, schema), "raw", fields).collect()}
+    assert got == {1: ("A", 0), 2: ("B", 2), 3: ("C", 1), 4: ("A", 0), 5: ("C", 0)}
+    two = spark.createDataFrame([(7, "Road 1, 1000 Town", "Rode", "1", None, "1000", "Town", "b"), (7, "Road 1, 1000 Town", "Road", "1", None, "1000", "Town", "c"), (7, "Road 1, 1000 Town", "Road", "9", None, "1000", "Town", "a")], schema + ", id string")
+    best = washing.washed(two, ["k"], "raw", fields, ["id"]).first()
+    assert (best.id, best.category) == ("c", "A")
