@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.operators.balanced import cell_join
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 #: Points of a part, and (edge, edge) cells of pairs worked on at once.
 MOST, CELLS = 64, 1_000_000
@@ -340,7 +342,7 @@ def overlaps(a: DataFrame, a_key: str, b: DataFrame, b_key: str, size: float, li
     left, right = _celled(a, a_key, "a", size), _celled(b, b_key, "b", size)
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     once = (F.col("cx_") == F.floor(F.greatest("a_x0", "b_x0") / size)) & (F.col("cy_") == F.floor(F.greatest("a_y0", "b_y0") / size))
-    pairs = left.join(right, ["cx_", "cy_"]).where(meet & once).select("a_key", "b_key", "a_edges", "b_edges")
+    pairs = cell_join(left, right, ["cx_", "cy_"]).where(meet & once).select("a_key", "b_key", "a_edges", "b_edges")
     kind = lambda df, k: df.schema[k].dataType.simpleString()
     each = pairs.mapInArrow(measure, f"a_key {kind(a, a_key)}, b_key {kind(b, b_key)}, measure double, touch boolean")
     return each.where("touch").groupBy("a_key", "b_key").agg(F.sum("measure").alias("measure"))
@@ -379,7 +381,7 @@ def covering(points: DataFrame, point_key: str, x: str, y: str, areas: DataFrame
         return ((px - ax) * (by - ay) == (py - ay) * (bx - ax)) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
 
     box = px.between(F.col("b_x0"), F.col("b_x1")) & py.between(F.col("b_y0"), F.col("b_y1"))
-    hits = at.join(cells, ["cx_", "cy_"]).where(box).where((F.size(F.filter(number, crossed)) % 2 == 1) | F.exists(number, on_edge))
+    hits = cell_join(cells, at, ["cx_", "cy_"]).where(box).where((F.size(F.filter(number, crossed)) % 2 == 1) | F.exists(number, on_edge))
     return hits.select(F.col("p_").alias(point_key), F.col("b_key").alias(key)).distinct()
 
 

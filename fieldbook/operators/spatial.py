@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import geo
-from fieldbook.operators.stored import stored
+from fieldbook.operators.balanced import cell_join
+from fieldbook.operators.stored import removed, stored
 
 
 def within_circle(df: DataFrame, x: str, y: str, cx: float, cy: float, r: float) -> DataFrame:
@@ -43,7 +44,7 @@ def distance_join(a: DataFrame, b: DataFrame, r: float, ax: str = "ax", ay: str
     """Pairs within r: a cell is r wide, so partners lie in the own cell or one next to it."""
     here = b.withColumn("_cx", F.floor(F.col(bx) / r)).withColumn("_cy", F.floor(F.col(by) / r))
     d = geo.distance(F.col(ax), F.col(ay), F.col(bx), F.col(by))
-    return _neighbour_cells(a, ax, ay, r).join(here, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= r).drop("_cx", "_cy")
+    return cell_join(_neighbour_cells(a, ax, ay, r), here, ["_cx", "_cy"]).withColumn("distance", d).filter(F.col("distance") <= r).drop("_cx", "_cy")
 
 
 def nearest_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float, ax: str = "ax", ay: str = "ay", bx: str = "bx", by: str = "by") -> DataFrame:
@@ -56,7 +57,7 @@ def nearest_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     if span[0] is None or mine[0] is None:
         return a.join(b, F.lit(False)).withColumn("distance", F.lit(None).cast("double"))
     reach = max(span[1], mine[1]) - min(span[0], mine[0]) + max(span[3], mine[3]) - min(span[2], mine[2])
-    out, left, r = None, a, cell
+    out, left, r, spent = None, a, cell, None
     w = Window.partitionBy(a_key).orderBy("distance", b_key)
     while True:
         best = stored(distance_join(left, b, r, ax, ay, bx, by).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r"), "nearest")
@@ -64,6 +65,9 @@ def nearest_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
         if r > reach:
             return out
         left, r = stored(left.join(best.select(a_key), a_key, "left_anti"), "unmet"), r * 4
+        if spent is not None:
+            removed(spent)
+        spent = left
         if left.isEmpty():
             return out
 
@@ -91,7 +95,7 @@ def polygon_join(points: DataFrame, polygons: DataFrame, size: float, x: str, y:
         return straight & F.col(x).between(F.least(ax, bx), F.greatest(ax, bx)) & F.col(y).between(F.least(ay, by), F.greatest(ay, by))
 
     covers = (F.size(F.filter(edges, lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1) | F.exists(edges, on_edge)
-    hits = at.join(cells, ["_cx", "_cy"]).filter(covers).drop("_cx", "_cy")
+    hits = cell_join(cells, at, ["_cx", "_cy"]).filter(covers).select(*points.columns, *polygons.columns)
     if first_only is None:
         return hits
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(first_only).orderBy(key))).filter("_r = 1").drop("_r")

@@ -150,3 +150,15 @@ def test_street_codes_leave_urban_ones_to_addresses(spark):
 def test_collected_lines_keep_their_order(spark):
     df = spark.createDataFrame([("a", 2, [(1.0, 1.0)]), ("a", 1, [(0.0, 0.0)])], "g string, n int, line array<struct<x:double,y:double>>")
     assert [tuple(p[0]) for p in g.collected(df, ["g"], "line", ["n"]).first().lines] == [(0.0, 0.0), (1.0, 1.0)]
+
+
+def test_a_crowded_cell_is_dealt_over_tasks(spark):
+    from fieldbook.operators.balanced import cell_join
+
+    a = spark.range(40).select("id", (F.col("id") % 4).alias("c"))
+    b = spark.range(1000).select(F.col("id").alias("other"), F.when(F.col("id") < 900, 1).otherwise(F.col("id") % 4).cast("long").alias("c"))
+    want = sorted((r.id, r.other) for r in a.join(b, "c").collect())
+    for most in (10**6, 100, 7):
+        assert sorted((r.id, r.other) for r in cell_join(a, b, ["c"], most).collect()) == want
+    spread = cell_join(a, b, ["c"], 100).queryExecution if hasattr(a, "queryExecution") else cell_join(a, b, ["c"], 100)._jdf.queryExecution()
+    assert "share_" in spread.toString()
