@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
 from fieldbook.operators import addresses, matching, relational, search_index, spelling, washing
+from fieldbook.plans import Parameter, Resource
 from fieldbook.queries import _TRI, big, query, t
 
 
@@ -206,3 +207,18 @@ def q_nested_json(spark, d):
     n = t(spark, d, "nation").withColumn("note", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
     made = relational.nested_json(n, ["n_regionkey"], {"key": "n_nationkey", "name": "n_name", "note": "note"}, ["n_name"], "nations")
     return t(spark, d, "region").join(made, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "nations")
+
+
+@query("WITH h AS (SELECT c_custkey, (1 + c_custkey % 200) || CASE c_custkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'C' ELSE '' END AS h FROM customer) SELECT c_custkey FROM h WHERE h IN ('12C', '40', '7B', '100')")
+def q_house_numbers_in(spark, d):
+    """House numbers that are one of several; text that is none is nobody's."""
+    k = F.col("c_custkey")
+    h = tx.house_number(F.concat((1 + k % 200).cast("string"), F.when(k % 3 == 0, "B").when(k % 3 == 1, "C").otherwise("")))
+    return t(spark, d, "customer").where(tx.house_number_in(h, ["12c", "40", "7B", "100", "no number", "1234"])).select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey LIMIT 20")
+def q_parameters_by_default(spark, d):
+    """A parameter under its older name, one by its default, and the first page that autocomplete has."""
+    resource = Resource(["o_orderkey"], {"status": Parameter("o_orderstatus", default="O"), "priority": Parameter("o_orderpriority", renamed=("prio",))})
+    return resource.query(t(spark, d, "orders"), {"prio": "1-URGENT|2-HIGH"}, validate=True, autocomplete=True).select("o_orderkey", "o_orderstatus")

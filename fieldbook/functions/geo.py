@@ -76,3 +76,9 @@ def from_utm32(east: Column, north: Column) -> tuple[Column, Column]:
 def text_direction(dx: Column, dy: Column) -> Column:
     """Direction of a text along (dx, dy) in gon, 200 to the right, as numeric(5,2)."""
     return F.round(200 - F.atan2(dy, dx) * 400 / (2 * math.pi), 2).cast("decimal(5,2)")
+
+
+def label_angle(direction: Column) -> Column:
+    """Degrees of a text direction in gon for a label, from -90 to 89, so that no text stands on its head; without a direction as one to the right."""
+    gon = F.coalesce(direction.cast("decimal(5,2)"), F.lit(200).cast("decimal(5,2)"))
+    return F.round(gon * F.lit(0.9).cast("decimal(2,1)") + 450, 0).cast("int") % 180 - 90

@@ -139,6 +139,12 @@ def house_number_between(h: Column, low: Column, high: Column) -> Column:
     return F.coalesce(at(h) >= F.when(low.isNotNull(), at(low)), F.lit(True)) & F.coalesce(at(h) <= F.when(high.isNotNull(), at(high)), F.lit(True)) & h.isNotNull()
 
 
+def house_number_in(h: Column, texts: list[str]) -> Column:
+    """Whether a house number is one of some texts; texts that are no house numbers are none's."""
+    known = F.filter(F.array(*[house_number(F.lit(t)) for t in texts]), lambda x: x.isNotNull())
+    return F.exists(known, lambda x: (x["number"] == h["number"]) & x["letter"].eqNullSafe(h["letter"]))
+
+
 def postal_blank(code: Column) -> Column:
     """At least four digits behind the blank that a sign would take; longer codes are not cut."""
     return F.concat(F.lit(" "), padded(code, 4))

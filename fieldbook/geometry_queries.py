@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldbook.operators import geometry
+from fieldbook.functions import geo
+from fieldbook.operators import geometry, spatial
 from fieldbook.queries import query, t
 
 _AT = "a AS (SELECT vec_id AS k, floor(CAST(embedding[1] AS DOUBLE) * 1000) AS x, floor(CAST(embedding[2] AS DOUBLE) * 1000) AS y FROM embeddings)"
@@ -92,3 +93,15 @@ def q_collected_lines(spark, d):
     lines = _at(spark, d).select((F.col("k") % 5).alias("g"), "k", F.array(point(0), point(9)).alias("line"))
     out = geometry.collected(lines, ["g"], "line", ["k"])
     return out.select("g", F.size("lines").cast("long").alias("n"), F.array_join(F.transform("lines", lambda ln: F.concat_ws(" ", ln[0]["x"].cast("string"), ln[0]["y"].cast("string"))), ",").alias("starts"))
+
+
+@query("WITH p AS (SELECT vec_id AS k, CAST(round(200 - atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) * 400 / (2 * pi()), 2) AS DECIMAL(5, 2)) AS g FROM embeddings) SELECT k, CAST(round(coalesce(CASE WHEN k % 9 > 0 THEN g END, 200) * 0.9 + 450, 0) AS INTEGER) % 180 - 90 AS angle FROM p")
+def q_label_angle(spark, d):
+    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("k"), geo.label_angle(F.when(F.col("vec_id") % 9 > 0, geo.text_direction(x, y))).alias("angle"))
+
+
+@query(f"WITH {_AT}, d AS (SELECT k, sqrt((x - 5) * (x - 5) + (y - 7) * (y - 7)) AS distance FROM a) SELECT k, round(distance, 6) AS distance FROM d WHERE distance < 120 ORDER BY d.distance, k LIMIT 10")
+def q_nearest_within(spark, d):
+    """The ten nearest places that are nearer than 120."""
+    return spatial.nearest(_at(spark, d), "x", "y", 5.0, 7.0, "k", 10, within=120.0).select("k", F.round("distance", 6).alias("distance"))

@@ -55,12 +55,24 @@ def ordered_results(df: DataFrame, scores: dict[str, Column], first: list[str],
 
 
 def cascade(steps: list[tuple[str, Callable[[], DataFrame]]], least: int, size: int) -> DataFrame:
-    """entity, id: the first entity's results if there are enough of them, else the next one's; the last one's in any case."""
-    for name, make in steps:
+    """entity, id: the first entity's results if there are enough of them, else the next one's; the last one's in any case.
+
+    One plan: each step's rows are joined with whether the steps before it have enough, which is at most one row.
+    """
+    if not steps:
+        raise ValueError("a cascade has a step at least")
+    out, before = None, []
+    for k, (name, make) in enumerate(steps):
         found = make().limit(size)
-        if name == steps[-1][0] or len(found.take(least)) >= least:
-            return found.select(F.lit(name).alias("entity"), "id")
-    raise ValueError("a cascade has a step at least")
+        rows = found.select(F.lit(name).alias("entity"), "id")
+        enough = make().limit(least).agg(F.count("*").alias("n_")).where(F.col("n_") >= least)
+        for other in before:
+            rows = rows.join(other, F.lit(True), "left_anti")
+        if k < len(steps) - 1:
+            rows = rows.join(enough, F.lit(True), "left_semi")
+        before.append(enough)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def shown(a: dict[str, Column], locality: bool = False, multiline: bool = False) -> Column:

@@ -22,8 +22,11 @@ def within_polygon(df: DataFrame, x: str, y: str, ring: list[tuple[float, float]
     return df.filter(box & geo.in_ring(F.col(x), F.col(y), ring, boundary))
 
 
-def nearest(df: DataFrame, x: str, y: str, cx: float, cy: float, key: str, k: int = 1) -> DataFrame:
+def nearest(df: DataFrame, x: str, y: str, cx: float, cy: float, key: str, k: int = 1, within: float | None = None) -> DataFrame:
+    """The k nearest rows, then by key; with ``within`` only those nearer than that, whose box goes to the scan."""
     d = geo.distance(F.col(x), F.col(y), F.lit(cx), F.lit(cy))
+    if within is not None:
+        df = df.filter(F.col(x).between(cx - within, cx + within) & F.col(y).between(cy - within, cy + within) & (d < within))
     return df.withColumn("distance", d).orderBy("distance", key).limit(k)
 
 

@@ -11,12 +11,18 @@ from fieldbook.operators import relational
 
 @dataclass(frozen=True)
 class Parameter:
-    """A query parameter: its column, its type, and whether it takes several values with | between them."""
+    """A query parameter: its column, its type, whether it takes several values with | between them, what it is if not given, and the names it had before."""
 
     column: str
     kind: type = str
     multi: bool = True
     longest: int = 100
+    default: str | None = None
+    renamed: tuple[str, ...] = ()
+
+    def given(self, name: str, values: dict[str, str]) -> str | None:
+        """The text given under the parameter's name, else under an older one, else its default."""
+        return next((values[n] for n in (name, *self.renamed) if n in values), self.default)
 
     def parse(self, text: str) -> list:
         if len(text) > self.longest:
@@ -32,12 +38,17 @@ class Resource:
     key: list[str]
     parameters: dict[str, Parameter] = field(default_factory=dict)
 
-    def query(self, df: DataFrame, given: dict[str, str], validate: bool = False) -> DataFrame:
-        unknown = given.keys() - self.parameters.keys() - {"side", "per_side"}
+    def query(self, df: DataFrame, given: dict[str, str], validate: bool = False, autocomplete: bool = False) -> DataFrame:
+        """The rows that the parameters ask for; an autocomplete query without paging has a first page."""
+        known = self.parameters.keys() | {n for p in self.parameters.values() for n in p.renamed}
+        unknown = given.keys() - known - {"side", "per_side"}
         if validate and unknown:
             raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
-        wanted = {p.column: p.parse(given[name]) for name, p in self.parameters.items() if name in given}
+        texts = {name: p.given(name, given) for name, p in self.parameters.items()}
+        wanted = {p.column: p.parse(texts[name]) for name, p in self.parameters.items() if texts[name] is not None}
         number, size = (int(given[x]) if x in given else None for x in ("side", "per_side"))
+        if autocomplete and number is None and size is None:
+            number = 1
         return relational.page(relational.where(df, wanted), self.key, number, size)
 
 

@@ -65,22 +65,32 @@ class CollectionWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.crs, self.most = options["path"], options.get("crs", CRS), int(options.get("mostfeatures", 100_000))
         self.job = uuid.uuid4().hex
+        self.form, self.callback = options.get("form", "features"), options.get("callback", "")
+        # made on the driver only: a task that outlives an aborted job finds no folder to write to
+        system, root = _root(self.path)
+        system.create_dir(f"{root}/_writing/{self.job}", recursive=True)
+
+    def around(self, box: list[float] | None) -> tuple[str, str]:
+        """What stands before and after the rows of a file."""
+        if self.form == "features":
+            head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": self.crs}}, "bbox": box}
+            return json.dumps(head)[:-1] + ', "features": [\n', "\n]}\n"
+        return (f"{self.callback}([", "]);\n") if self.callback else ("[\n", "\n]\n")
 
     def write(self, iterator: Iterator) -> Written:
         system, root = _root(self.path)
         folder = f"{root}/_writing/{self.job}"
-        system.create_dir(folder, recursive=True)
         files, boxes, count, rows = [], [], 0, []
 
         def flush() -> None:
             name = f"{folder}/part-{uuid.uuid4().hex}.json"
             own = [r[1] for r in rows if r[1] is not None]
+            head, tail = self.around(_joined(own))
             with system.open_output_stream(name) as f:
-                head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": self.crs}}, "bbox": _joined(own)}
-                f.write((json.dumps(head)[:-1] + ', "features": [\n').encode())
+                f.write(head.encode())
                 for k, (feature, _) in enumerate(rows):
                     f.write(((",\n" if k else "") + feature).encode())
-                f.write(b"\n]}\n")
+                f.write(tail.encode())
             files.append(name)
             boxes.extend([_joined(own)] if own else [])
             rows.clear()
@@ -100,6 +110,8 @@ class CollectionWriter(DataSourceWriter):
         for name in (f for m in told for f in m.files):
             system.move(name, f"{root}/{name.rpartition('/')[2]}")
         system.delete_dir(f"{root}/_writing")
+        if self.form != "features":
+            return
         whole = {"crs": self.crs, "bbox": _joined([m.box for m in told if m.box]), "features": sum(m.count for m in told)}
         with system.open_output_stream(f"{root}/_collection.json") as f:
             f.write(json.dumps(whole).encode())
@@ -130,3 +142,13 @@ def write_collection(made: DataFrame, path: str, crs: str = CRS, most: int = 100
     """Features of ``features`` to a folder of collections of at most so many features a file."""
     made.sparkSession.dataSource.register(CollectionSink)
     made.write.format("feature_collection").mode("append").option("crs", crs).option("mostFeatures", most).save(path)
+
+
+def write_json(df: DataFrame, path: str, pretty: bool = False, callback: str | None = None, most: int = 100_000) -> None:
+    """Rows as files of one JSON array each, nulls included; ``pretty`` over several lines, with ``callback`` as a call of that function."""
+    if callback is not None and not callback.replace(".", "_").isidentifier():
+        raise ValueError(f"{callback} is no name of a function")
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+    df.sparkSession.dataSource.register(CollectionSink)
+    rows = df.select(text.alias("feature"), F.lit(None).cast("array<double>").alias("bbox"))
+    rows.write.format("feature_collection").mode("append").option("form", "rows").option("callback", callback or "").option("mostFeatures", most).save(path)

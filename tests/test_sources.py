@@ -116,3 +116,18 @@ def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
         streaming.replicate_buckets(streaming.feed(spark, feed, schema), path, log, ["id"], "txid", 64, str(tmp_path / "marks")).awaitTermination()
         assert spark.read.json(log).agg(F.max("txid")).first()[0] == 22 + n
     assert {r.id: r.v for r in streaming.replica_rows(spark, path).collect()} == {1: "c", 2: "b"}
+
+
+def test_rows_as_arrays_pretty_and_as_calls(spark, tmp_path):
+    df = spark.range(7).select("id", F.when(F.col("id") > 2, F.lit("é")).alias("v")).coalesce(1)
+    read = lambda path: [open(f"{path}/{f}").read() for f in sorted(os.listdir(path)) if not f.startswith(("_", "."))]
+    collections.write_json(df, str(tmp_path / "a"), most=3)
+    assert sorted(x["id"] for text in read(tmp_path / "a") for x in json.loads(text)) == list(range(7)) and len(read(tmp_path / "a")) == 3
+    assert json.loads(read(tmp_path / "a")[0])[0].keys() == {"id", "v"} and not os.path.exists(tmp_path / "a/_collection.json")
+    collections.write_json(df, str(tmp_path / "b"), pretty=True)
+    assert read(tmp_path / "b")[0].count("\n") > 14 and len(json.loads(read(tmp_path / "b")[0])) == 7
+    collections.write_json(df, str(tmp_path / "c"), callback="show.it")
+    text = read(tmp_path / "c")[0]
+    assert text.startswith("show.it([") and text.endswith("]);\n") and len(json.loads(text[8:-3])) == 7
+    with pytest.raises(ValueError, match="name"):
+        collections.write_json(df, str(tmp_path / "d"), callback="alert(1);x")
