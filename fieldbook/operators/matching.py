@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +24,29 @@ def token_index(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return df.select(key, F.explode(each).alias("x")).select(key, "x.*").groupBy(key, "token").agg(F.min("class").alias("class"))
 
 
+# Fixed value: characters of search terms besides digits and ASCII letters, in lower case.
+LETTERS = "æøåäèéëüöóÿ"
+
+
 def terms(query: str, prefix_last: bool = False) -> list[tuple[str, bool]]:
-    """(token, is a prefix) of a query text; a * asks for a prefix, and so does the last word while it is being typed."""
-    words = [w for w in "".join(c if c.isalnum() or c == "*" else " " for c in query.lower()).split() if w.strip("*")]
-    return [(w.replace("*", ""), w.endswith("*") or (prefix_last and i == len(words) - 1)) for i, w in enumerate(words)]
+    """(token, is a prefix) of a query text: a * at a word's end asks for a prefix, and so does the last word while it is being typed, that is if nothing stands behind it.
+
+    Characters that no term has part words, and so does a * inside one; a * alone is nothing.
+    """
+    text = "".join(c if c == "*" or c in LETTERS or (c.isascii() and c.isalnum()) else " " for c in query.lower())
+    words = re.sub(r"\*(?=[^ *])", " ", re.sub(r"\*+", "*", text)).split()
+    words = [w for w in words if w != "*"]
+    typed = prefix_last and not text.endswith((" ", "*"))
+    return [(w.rstrip("*"), w.endswith("*") or (typed and i == len(words) - 1)) for i, w in enumerate(words)]
+
+
+def rank_of(weight: Column, asked: int, n: Column) -> Column:
+    """Rank of a row in millionths: the class weights of the tokens that each of the ``asked`` terms meets, by the limit of the sum of 1 / i^2, the number of terms, and log2(1 + distinct tokens)."""
+    return F.round(1_000_000 * weight / (F.lit(1.64493406685 * asked) * F.log2(n + 1))).cast("long")
 
 
 def match_all(index: DataFrame, key: str, query: str, prefix_last: bool = False) -> DataFrame:
-    """key, rank of the rows that have every term, best first by ``rank``: summed class weights over 1 + ln(distinct tokens)."""
+    """key, ``rank`` (``rank_of``) of the rows that have every term."""
     wanted = terms(query, prefix_last)
     if not wanted:
         return index.select(key).limit(0).withColumn("rank", F.lit(0.0))
@@ -38,14 +54,12 @@ def match_all(index: DataFrame, key: str, query: str, prefix_last: bool = False)
     weight = F.lit(0.0)
     for k, v in WEIGHTS.items():
         weight = F.when(F.col("class") == k, v).otherwise(weight)
-    some = hit(*wanted[0])
-    for t in wanted[1:]:
-        some = some | hit(*t)
-    tested = index.groupBy(key).agg(*[F.max(hit(t, p)).alias(f"t{i}") for i, (t, p) in enumerate(wanted)], F.sum(F.when(some, weight).otherwise(0.0)).alias("w"), F.count("*").alias("n"))
+    met = reduce(lambda a, b: a + b, [hit(*t).cast("int") for t in wanted])
+    tested = index.groupBy(key).agg(*[F.max(hit(t, p)).alias(f"t{i}") for i, (t, p) in enumerate(wanted)], F.sum(weight * met).alias("w"), F.count("*").alias("n"))
     every = F.lit(True)
     for i in range(len(wanted)):
         every = every & F.col(f"t{i}")
-    return tested.filter(every).select(key, F.round(1_000_000 * F.col("w") / (1 + F.ln("n"))).cast("long").alias("rank"))
+    return tested.filter(every).select(key, rank_of(F.col("w"), len(wanted), F.col("n")).alias("rank"))
 
 
 def match_scan(df: DataFrame, key: str, fields: dict[str, str], query: str, prefix_last: bool = False) -> DataFrame:
@@ -61,9 +75,14 @@ def match_scan(df: DataFrame, key: str, fields: dict[str, str], query: str, pref
     found = own.withColumn("all", every)
     for t, p in wanted:
         found = found.filter(F.exists("all", lambda x: hit(x, t, p)))
-    some = lambda x: reduce(lambda a, b: a | b, [hit(x, t, p) for t, p in wanted])
-    weight = sum((F.size(F.filter(f"tokens{i}", some)) * F.lit(WEIGHTS[k]) for i, (_, k) in enumerate(ordered)), F.lit(0.0))
-    return found.select(key, F.round(1_000_000 * weight / (1 + F.ln(F.size("all")))).cast("long").alias("rank"))
+    met = lambda column: sum((_filtered(column, hit, *t) for t in wanted), F.lit(0))
+    weight = sum((met(f"tokens{i}") * F.lit(WEIGHTS[k]) for i, (_, k) in enumerate(ordered)), F.lit(0.0))
+    return found.select(key, rank_of(weight, len(wanted), F.size("all")).alias("rank"))
+
+
+def _filtered(column: str, hit, term: str, prefix: bool) -> Column:
+    """How many tokens of an array a term meets."""
+    return F.size(F.filter(column, lambda x: hit(x, term, prefix)))
 
 
 def name_first(df: DataFrame, key: str, fields: dict[str, str], name: str, query: str, prefix_last: bool = False) -> DataFrame:
@@ -75,8 +94,9 @@ def name_first(df: DataFrame, key: str, fields: dict[str, str], name: str, query
     split = df.select(key, name, F.array_distinct(tx.tokens(F.col(name))).alias("own_")).join(match_scan(df, key, fields, query, prefix_last), key)
 
     def within(whole: bool) -> Column:
-        hit = lambda x: reduce(lambda a, b: a | b, [x.startswith(t) if p and not whole else x == t for t, p in wanted])
-        return F.round(1_000_000 * F.size(F.filter("own_", hit)) / (1 + F.ln(F.greatest(F.size("own_"), F.lit(1))))).cast("long")
+        hit = lambda x, t, p: x.startswith(t) if p and not whole else x == t
+        met = sum((_filtered("own_", hit, *t) for t in wanted), F.lit(0))
+        return rank_of(met, len(wanted), F.greatest(F.size("own_"), F.lit(1)))
 
     edits = F.levenshtein(F.lower(name), F.lower(F.lit(query))).cast("long")
     return split.select(key, within(True).alias("exact"), within(False).alias("named"), "rank", edits.alias("edits")).orderBy(F.desc("exact"), F.desc("named"), F.desc("rank"), "edits", key)

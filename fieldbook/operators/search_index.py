@@ -83,12 +83,12 @@ def _hit(token: Column, term: Term) -> Column:
     return token.startswith(term[0]) if term[1] else token == term[0]
 
 
-def _weight(kind: Column) -> Column:
-    return reduce(lambda w, kv: F.when(kind == kv[0], kv[1]).otherwise(w), matching.WEIGHTS.items(), F.lit(0.0))
+def _hits(token: Column, terms: list[Term]) -> Column:
+    return reduce(Column.__add__, [_hit(token, x).cast("int") for x in terms])
 
 
-def _rank(weight: Column, n: Column) -> Column:
-    return F.round(1_000_000 * weight / (1 + F.ln(n))).cast("long").alias("rank")
+def _weight(kind: Column) -> Column:
+    return reduce(lambda w, kv: F.when(kind == kv[0], kv[1]).otherwise(w), matching.WEIGHTS.items(), F.lit(0.0))
 
 
 def split_terms(terms: list[Term]) -> tuple[list[Term], list[Term]]:
@@ -104,18 +104,17 @@ def found(index: Index, terms: list[Term]) -> DataFrame:
         return index.postings.select(F.col("key").alias(index.key), F.lit(0).cast("long").alias("rank")).limit(0)
     first, then = split_terms(terms)
     here = index.postings.where(F.col("bucket").isin(index.buckets(first)) & reduce(Column.__or__, [_hit(F.col("token"), x) for x in first]))
-    per_key = here.groupBy("key").agg(*[F.max(_hit(F.col("token"), x)).alias(f"has{i}") for i, x in enumerate(first)], F.sum(_weight(F.col("class"))).alias("weight"), F.first("n").alias("n"))
+    per_key = here.groupBy("key").agg(*[F.max(_hit(F.col("token"), x)).alias(f"has{i}") for i, x in enumerate(first)], F.sum(_weight(F.col("class")) * _hits(F.col("token"), first)).alias("weight"), F.first("n").alias("n"))
     every = per_key.where(reduce(Column.__and__, [F.col(f"has{i}") for i in range(len(first))]))
     if not then:
-        return every.select(F.col("key").alias(index.key), _rank(F.col("weight"), F.col("n")))
+        return every.select(F.col("key").alias(index.key), matching.rank_of(F.col("weight"), len(terms), F.col("n")).alias("rank"))
     keys = every.select("key", F.pmod(F.xxhash64("key"), F.lit(index.parts)).cast("int").alias("part"))
     both = index.tokens.join(keys, ["part", "key"])
     some_hit = lambda wanted: lambda y: reduce(Column.__or__, [_hit(y["token"], x) for x in wanted])
     for x in then:
         both = both.where(F.exists("list", some_hit([x])))
-    some = F.filter("list", some_hit(terms))
-    weight = F.aggregate(some, F.lit(0.0), lambda a, y: a + _weight(y["class"]))
-    return both.select(F.col("key").alias(index.key), _rank(weight, F.size("list")))
+    weight = F.aggregate("list", F.lit(0.0), lambda a, y: a + _weight(y["class"]) * _hits(y["token"], terms))
+    return both.select(F.col("key").alias(index.key), matching.rank_of(weight, len(terms), F.size("list")).alias("rank"))
 
 
 def wash_candidates(index: Index, rows: DataFrame, text_of: Column, street: str, postal: str, query: str, most: int = 30, streets: int = 12, costs: tuple[int, int, int] = (2, 3, 1)) -> DataFrame:

@@ -466,14 +466,14 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace({0},
 
 
 @query(f"""WITH i AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents), m AS (SELECT doc_id, count(*) AS n, bool_or(token = 'the') AS a, bool_or(starts_with(token, 'tio')) AS b,
-sum(CASE WHEN token = 'the' OR starts_with(token, 'tio') THEN 1 ELSE 0 END) AS w FROM i GROUP BY doc_id) SELECT doc_id, CAST(round(1000000 * w / (1 + ln(n))) AS BIGINT) AS rank FROM m WHERE a AND b""")
+sum(CASE WHEN token = 'the' OR starts_with(token, 'tio') THEN 1 ELSE 0 END) AS w FROM i GROUP BY doc_id) SELECT doc_id, CAST(round(1000000 * w / (1.64493406685 * 2 * log2(n + 1))) AS BIGINT) AS rank FROM m WHERE a AND b""")
 def q_fts_all_prefix(spark, d):
     return matching.match_scan(t(spark, d, "documents"), "doc_id", {"text": "A"}, "the tio", prefix_last=True)
 
 
 @query(f"""WITH i AS (SELECT p_partkey, unnest({_WORDS.format('p_name')}) AS token, 'A' AS class FROM part UNION ALL SELECT p_partkey, unnest({_WORDS.format('p_type')}), 'C' FROM part),
 x AS (SELECT p_partkey, token, min(class) AS class FROM i GROUP BY ALL), m AS (SELECT p_partkey, count(*) AS n, bool_or(starts_with(token, 's')) AS a, sum(CASE WHEN starts_with(token, 's') THEN CASE class WHEN 'A' THEN 1.0 ELSE 0.2 END ELSE 0 END) AS w
-FROM x GROUP BY p_partkey) SELECT p_partkey, CAST(round(1000000 * CAST(w AS DOUBLE) / (1 + ln(n))) AS BIGINT) AS rank FROM m WHERE a ORDER BY rank DESC, p_partkey LIMIT 50""")
+FROM x GROUP BY p_partkey) SELECT p_partkey, CAST(round(1000000 * CAST(w AS DOUBLE) / (1.64493406685 * log2(n + 1))) AS BIGINT) AS rank FROM m WHERE a ORDER BY rank DESC, p_partkey LIMIT 50""")
 def q_fts_rank(spark, d):
     index = matching.token_index(t(spark, d, "part"), "p_partkey", {"p_name": "A", "p_type": "C"})
     return matching.match_all(index, "p_partkey", "s*").orderBy(F.desc("rank"), "p_partkey").limit(50)

@@ -119,7 +119,7 @@ def q_differing(spark, d):
 
 @query(f"""WITH w AS (SELECT p_partkey, p_name, {_WORDS.format('p_name')} AS own, list_distinct(list_concat({_WORDS.format('p_name')}, {_WORDS.format('p_type')})) AS every FROM part),
 m AS (SELECT *, len(list_filter(own, lambda x: starts_with(x, 's'))) AS a, len(list_filter(list_filter(every, lambda x: starts_with(x, 's')), lambda x: NOT list_contains(own, x))) AS c FROM w WHERE len(list_filter(every, lambda x: starts_with(x, 's'))) > 0)
-SELECT p_partkey, CAST(0 AS BIGINT) AS exact, CAST(round(1000000 * a / (1 + ln(len(own)))) AS BIGINT) AS named, CAST(round(1000000 * (a + 0.2 * c) / (1 + ln(len(every)))) AS BIGINT) AS rank, CAST(levenshtein(lower(p_name), 's*') AS BIGINT) AS edits FROM m""")
+SELECT p_partkey, CAST(0 AS BIGINT) AS exact, CAST(round(1000000 * a / (1.64493406685 * log2(len(own) + 1))) AS BIGINT) AS named, CAST(round(1000000 * (a + 0.2 * c) / (1.64493406685 * log2(len(every) + 1))) AS BIGINT) AS rank, CAST(levenshtein(lower(p_name), 's*') AS BIGINT) AS edits FROM m""")
 def q_named_first(spark, d):
     """Parts that have a word with s: those that have it in their name first."""
     return matching.name_first(t(spark, d, "part"), "p_partkey", {"p_name": "A", "p_type": "C"}, "p_name", "s*")
@@ -132,7 +132,7 @@ def q_near_names(spark, d):
     return matching.near_names(t(spark, d, "part"), "p_name", "smal widgte", 500, 20, (1, 1, 1)).select("p_partkey", "p_name", "edits")
 
 
-@query(f"""WITH w AS (SELECT p_partkey, p_name, {_WORDS.format('p_name')} AS own FROM part), m AS (SELECT p_partkey, p_name, CAST(round(1000000 / (1 + ln(len(own)))) AS BIGINT) AS rank FROM w WHERE list_contains(own, 'widget'))
+@query(f"""WITH w AS (SELECT p_partkey, p_name, {_WORDS.format('p_name')} AS own FROM part), m AS (SELECT p_partkey, p_name, CAST(round(1000000 / (1.64493406685 * log2(len(own) + 1))) AS BIGINT) AS rank FROM w WHERE list_contains(own, 'widget'))
 SELECT p_partkey, rank, CAST(levenshtein(p_name, 'small widget') AS BIGINT) AS edits FROM m ORDER BY rank DESC, edits, p_partkey LIMIT 40""")
 def q_rank_then_edits(spark, d):
     """Rows of one rank by the edits between their name and the query, then by key."""

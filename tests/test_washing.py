@@ -236,3 +236,10 @@ def test_differences_and_grades(spark):
     two = spark.createDataFrame([(7, "Road 1, 1000 Town", "Rode", "1", None, "1000", "Town", "b"), (7, "Road 1, 1000 Town", "Road", "1", None, "1000", "Town", "c"), (7, "Road 1, 1000 Town", "Road", "9", None, "1000", "Town", "a")], schema + ", id string")
     best = washing.washed(two, ["k"], "raw", fields, ["id"]).first()
     assert (best.id, best.category) == ("c", "A")
+
+
+def test_terms_of_queries():
+    assert matching.terms("Nørre* vej,2.tv") == [("nørre", True), ("vej", False), ("2", False), ("tv", False)]
+    assert matching.terms("a*b ** * c***") == [("a", False), ("b", False), ("c", True)]
+    assert matching.terms("ab c", True)[-1] == ("c", True) and matching.terms("ab c ", True)[-1] == ("c", False) and matching.terms("ab c,", True)[-1] == ("c", False)
+    assert matching.terms("") == [] and matching.terms(" ,* ", True) == []
