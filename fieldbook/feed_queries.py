@@ -34,6 +34,18 @@ def q_transaction(spark, d):
     return feeds.transaction(done, found, ["id"])[0].select("id", "seq", "txid")
 
 
+@query("""WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'street' WHEN 1 THEN 'house' ELSE 'unit' END AS tab, CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'O' THEN 'insert' ELSE 'update' END AS operation, o_orderkey % 5 <> 0 AS public FROM orders),
+p AS (SELECT *, (CASE operation WHEN 'delete' THEN -1 ELSE 1 END) * CASE tab WHEN 'street' THEN 1 WHEN 'house' THEN 2 ELSE 3 END AS place FROM c)
+SELECT id, CASE WHEN public THEN 900 + row_number() OVER (PARTITION BY public ORDER BY place, id) END AS seq FROM p""")
+def q_transaction_of_tables(spark, d):
+    """Numbers of a transaction over three tables: deletes from units to streets, then the rest from streets to units; hidden changes have none."""
+    k = F.col("o_orderkey")
+    found = t(spark, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, "street").when(k % 3 == 1, "house").otherwise("unit").alias("table"), F.when(F.col("o_orderstatus") == "F", "delete").when(F.col("o_orderstatus") == "O", "insert").otherwise("update").alias("operation"), (k % 5 != 0).alias("public"))
+    ordered = feeds.in_table_order(found, ["street", "house", "unit"])
+    done = spark.createDataFrame([(41, 900)], "txid long, seq_to long")
+    return feeds.transaction(done, ordered, ["table_order", "id"])[0].select("id", "seq")
+
+
 @query("""WITH t AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS v FROM customer WHERE c_custkey % 5 = 0),
 x AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 = 0)
 SELECT CASE WHEN t.k IS NULL THEN 'insert' ELSE 'update' END AS operation, k, p.v FROM p LEFT JOIN t USING (k) WHERE t.v IS DISTINCT FROM p.v

@@ -59,6 +59,13 @@ def transaction(done: DataFrame, found: DataFrame, order: list[str], keep_empty:
     return marked, row.withColumn("txid", F.lit(txid).cast("long"))
 
 
+def in_table_order(found: DataFrame, tables: list[str], table: str = "table") -> DataFrame:
+    """Changes of several tables with ``table_order``: deletes first, from the last table to the first, then inserts and updates from the first to the last, so that no row refers to one that is not there. A table that is not listed is an error."""
+    place = F.array_position(F.array(*[F.lit(x) for x in tables]), F.col(table)).cast("int")
+    known = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("no such table: "), F.coalesce(F.col(table), F.lit("null")))))
+    return found.withColumn("table_order", F.when(F.col("operation") == "delete", -known).otherwise(known))
+
+
 def puts_and_deletes(target: DataFrame, puts: DataFrame, deletes: DataFrame, key: list[str]) -> DataFrame:
     """The changes that rows put and keys deleted make: only those keys are compared, and deletes of absent keys are none."""
     gone = target.join(deletes.select(*key), key, "left_semi").join(puts.select(*key), key, "left_anti")

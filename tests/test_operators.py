@@ -197,6 +197,15 @@ def test_sequences_and_empty_transactions(spark):
     assert feeds.transaction(done, found.limit(0), ["id"], keep_empty=True)[1].first().txid == 7
 
 
+def test_changes_of_several_tables_in_their_order(spark):
+    rows = [("b", "insert"), ("a", "delete"), ("a", "update"), ("b", "delete")]
+    df = spark.createDataFrame(rows, "table string, operation string")
+    got = [tuple(r) for r in feeds.in_table_order(df, ["a", "b"]).orderBy("table_order").collect()]
+    assert got == [("b", "delete", -2), ("a", "delete", -1), ("a", "update", 1), ("b", "insert", 2)]
+    with pytest.raises(Exception, match="no such table"):
+        feeds.in_table_order(df, ["a"]).collect()
+
+
 def test_address_helpers(spark):
     assert addresses.asked_number("road 12 city") == ("road city", 12) and addresses.asked_number("road 12, 4000 city")[1] is None
     assert addresses.caret_wildcard("mar road", 3) == "mar* road" and addresses.caret_wildcard("mar", None) == "mar*" and addresses.caret_wildcard("mar ", 4) == "mar "
