@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _path(spark: SparkSession, tag: str) -> str:
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path under ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -20,14 +21,14 @@ def _path(spark: SparkSession, tag: str) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; a fresh local folder only where that is unset and Spark is one local process."""
-    path = _path(df.sparkSession, tag)
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return _read(df, path)
 
 
 def stored_by(df: DataFrame, tag: str, column: str) -> DataFrame:
     """As ``stored``, in a folder for each value of a column: a filter on it reads those folders only."""
-    path = _path(df.sparkSession, tag)
+    path = shared_path(df.sparkSession, tag)
     df.write.partitionBy(column).parquet(path)
     return _read(df, path)
 

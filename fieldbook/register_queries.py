@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldbook import sources
 from fieldbook.feed_queries import _BI, _bitemporal, _hist
+from fieldbook.functions import geo
+from fieldbook.functions import text as tx
 from fieldbook.geometry_queries import _AT, _at, _ring
-from fieldbook.operators import geometry, matching, registers
+from fieldbook.operators import changes, feeds, geometry, matching, registers
+from fieldbook.operators.stored import shared_path
 from fieldbook.queries import _TRI, _WORDS, query, t
+from fieldbook.sources import sinks
 
 # Road records: two orders are the versions of a road, begun in Januaries at midnight of local time
 
@@ -141,3 +146,58 @@ def q_rank_then_edits(spark, d):
     return matching.by_rank_then_edits(found, F.col("p_name"), "small widget", ["p_partkey"]).limit(40).select("p_partkey", "rank", "edits")
 
 
+
+
+# Files and clocks
+
+
+@query("SELECT o_orderkey, o_orderpriority || ';\"x\"' AS text, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price FROM orders")
+def q_csv_files(spark, d):
+    """Rows written as CSV and read back by their schema, quotes and missing values included."""
+    o = t(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(';"x"')).alias("text"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("price"), "o_custkey")
+    path = shared_path(spark, "csv-files")
+    sinks.write_csv(o, path, ["o_orderkey", "text", "price"])
+    return sources.csv(spark, path, "o_orderkey long, text string, price double", sep=",")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS text, [CAST(o_custkey AS BIGINT), CAST(o_orderkey % 7 AS BIGINT)][1 + o_orderkey % 2] AS part FROM orders")
+def q_ndjson_files(spark, d):
+    """Rows written as lines of JSON, nulls and lists included, and read back by their schema."""
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select("o_orderkey", F.when(k % 3 > 0, F.col("o_orderpriority")).alias("text"), F.array(F.col("o_custkey").cast("long"), (k % 7).cast("long")).alias("parts"))
+    path = shared_path(spark, "ndjson-files")
+    sinks.write_ndjson(o, path)
+    back = sources.ndjson(spark, path, "o_orderkey long, text string, parts array<long>")
+    return back.select("o_orderkey", "text", F.col("parts")[(F.col("o_orderkey") % 2).cast("int")].alias("part"))
+
+
+@query("SELECT date_trunc('day', ts + INTERVAL 1 HOUR)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1")
+def q_local_days(spark, d):
+    """Events by the day where the register is kept; all of them are of one January."""
+    at = t(spark, d, "events").select(tx.local_day(F.col("ts").cast("timestamp_ntz").cast("timestamp")).cast("timestamp_ntz").alias("day"))
+    return at.groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 > 0 THEN date_trunc('minute', ts) - INTERVAL 1 HOUR END AS utc FROM events")
+def q_local_to_utc(spark, d):
+    """Local minutes as text, in UTC; texts that are no date are null."""
+    stamp = F.when(F.col("event_id") % 10 > 0, F.date_format("ts", "yyyyMMddHHmm")).otherwise("000000000000")
+    return t(spark, d, "events").select("event_id", sources.local_to_utc(stamp, "yyyyMMddHHmm").cast("timestamp_ntz").alias("utc"))
+
+
+@query("SELECT vec_id, true AS same FROM embeddings")
+def q_utm_there_and_back(spark, d):
+    """Degrees to metres and back give the same degrees, to a ten-millionth."""
+    p = t(spark, d, "embeddings").select("vec_id", (9 + F.col("embedding")[0].cast("double") * 4).alias("lon"), (56 + F.col("embedding")[1].cast("double") * 4).alias("lat"))
+    east, north = geo.to_utm32(F.col("lon"), F.col("lat"))
+    lon, lat = geo.from_utm32(F.col("e"), F.col("n"))
+    metres = p.select("*", east.alias("e"), north.alias("n"))
+    return metres.select("vec_id", ((F.abs(lon - F.col("lon")) < 1e-7) & (F.abs(lat - F.col("lat")) < 1e-7)).alias("same"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 4 = 0 AS gone FROM customer WHERE c_custkey % 6 <> 0) SELECT k, CASE WHEN gone THEN 'delete' ELSE 'update' END AS operation, false AS public FROM c WHERE gone OR k % 5 = 0""")
+def q_hidden_changes(spark, d):
+    """Changes of a recomputation, none of them public."""
+    old = t(spark, d, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    new = old.where("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, F.upper("v")).otherwise(F.col("v")))
+    return feeds.hidden(changes.diff(new, old, ["k"])).select("k", "operation", "public")
