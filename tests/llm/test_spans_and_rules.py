@@ -222,6 +222,20 @@ def test_kneser_ney_is_a_distribution_and_bands_reject_babble(spark):
     assert not kept[99] and sum(kept.values()) >= 58
 
 
+def test_windows_beyond_the_arrays_get_their_exact_probability(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(70)), ("en", "fr", None, "de")[i % 4]) for i in range(40)] + [(50, None, "en"), (51, "", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    result = lambda model: {r.doc_id: (r.log_perplexity, r.kept) for r in quality.rate(docs, model).collect()}
+    whole = result(quality.fit(docs))
+    few = quality.fit(docs, entries=2000)
+    assert 0 < len(few.grams[0]) <= 1000 and not few.whole
+    monkeypatch.setattr(quality, "LANGUAGES", 2)  # languages without a number have their own model all the same
+    for got in (result(few), result(quality.fit(docs, entries=0)), result(quality.fit(docs))):
+        assert all(abs(got[k][0] - whole[k][0]) < 1e-6 and got[k][1] == whole[k][1] for k in whole)
+
+
 def test_quotes_link_to_their_messages(spark):
     rows = [
         (1, 0, "a", "Shall we meet at noon?\nBring the maps."), (1, 1, "b", "Yes, gladly.\n\nOn Monday a wrote:\n> Shall we meet at noon?\n> Bring the maps."),
