@@ -1,12 +1,26 @@
-"""Joins on equal cells that stay even where one cell holds many rows."""
+"""Rows dealt over as many tasks as they ask for, and joins on equal cells that stay even where one cell holds many rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one cell that stay together.
 MOST = 20_000
+#: Rows of a task that does much work for each.
+SPREAD = 20_000
+
+
+def spread(df: DataFrame, rows: int = SPREAD) -> DataFrame:
+    """The same rows, dealt by hash over tasks of about so many: files are split by bytes, so a small file of many rows would be one task, whatever is made of each row."""
+    count = df.count()
+    if count <= rows:
+        return df
+    hashed = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(count / rows))
+    return df.repartition(tasks, *[F.col(f"`{c}`") for c in hashed])
 
 
 def cell_join(a: DataFrame, b: DataFrame, on: list[str], most: int = MOST) -> DataFrame:

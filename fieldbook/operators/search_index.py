@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
 from fieldbook.operators import matching, spelling
+from fieldbook.operators.balanced import spread
 from fieldbook.operators.stored import stored_by
 
 #: Prefixes that are not looked up where other terms narrow the search: one or two digits.
@@ -49,7 +50,9 @@ def own_tokens(fields: dict[str, str]) -> Column:
     tagged = lambda c, kind: F.transform(tx.tokens(F.col(c)), lambda x: F.struct(x.alias("token"), F.lit(kind).alias("class")))
     each = F.array_sort(F.concat(*[tagged(c, k) for c, k in fields.items()]))
     # sorted by token, then class: the first of each token is the best one
-    return F.filter(each, lambda x, i: (i == 0) | (x["token"] != F.coalesce(F.get(each, i - 1)["token"], F.lit(""))))
+    # as the one entry of an array it is made once a row, not once a token
+    first = lambda tokens: F.filter(tokens, lambda x, i: (i == 0) | (x["token"] != F.coalesce(F.get(tokens, i - 1)["token"], F.lit(""))))
+    return F.transform(F.array(each), first)[0]
 
 
 def with_group_words(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def built(df: DataFrame, key: str, fields: dict[str, str], buckets: int = 64, gr
     """
     if groups is not None:
         df = df.select(key, *[spelling.written_out(F.col(c)).alias(c) for c in fields])
-    rows = df.select(F.col(key).alias("key"), own_tokens(fields).alias("list"))
+    rows = spread(df.select(key, *[c for c in fields if c != key])).select(F.col(key).alias("key"), own_tokens(fields).alias("list"))
     if groups is not None:
         rows = with_group_words(rows, groups)
     tokens = stored_by(rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition(buckets, "part"), "tokens", "part")
