@@ -8,6 +8,7 @@ to neither is an unknown token. All of it is arrays over the batch; the parts th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.operators import matching
+from fieldbook.operators.balanced import SPREAD, spread
 
 FIELDS = ("street", "number", "floor", "door", "locality", "postal", "city")
 #: Fields that need not begin, and not end, at white space: floor and door may be written together.
@@ -193,6 +195,10 @@ def with_fields(pairs: DataFrame, text: str, fields: dict[str, str], out: str =
     ``fields`` maps each of ``FIELDS`` to the column of the candidate; leading zeros of number and floor go, "12 B" becomes "12B".
     Null text: as an empty one.
     """
+    return _with_fields(spread(pairs), text, fields, out)
+
+
+def _with_fields(pairs: DataFrame, text: str, fields: dict[str, str], out: str = "parsed") -> DataFrame:
     of = {f: F.col(fields[f]).cast("string") if f in fields else F.lit(None).cast("string") for f in FIELDS}
     blank = {f: F.coalesce(c, F.lit("")) for f, c in of.items()}
     sizes = [F.length(blank[f]) for f in FIELDS]
@@ -262,7 +268,8 @@ def best_variant(rows: DataFrame, key: list[str], text: str, choices: dict[str,
     A variant's score is the sum of its parts' scores and, for each unknown word, 2 + ``unknown_weight`` times its length. Of equal ones the first
     stays, in the order of the choices. Variants stand in a list of each row, so they reach the aligner without meeting other rows.
     """
-    tried = rows
+    # dealt before they grow: tasks of as many variants as rows elsewhere
+    tried = spread(rows, max(1, SPREAD // math.prod(len(c) for c in choices.values())))
     for name, columns in choices.items():
         every = F.array(*[F.struct(F.lit(k).alias("place"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for k, c in enumerate(columns)])
         usable = F.filter(every, lambda x: (x["place"] == 0) | (x["value"] != ""))
@@ -270,7 +277,7 @@ def best_variant(rows: DataFrame, key: list[str], text: str, choices: dict[str,
     lower = {f: f"variant_{f}" for f in FIELDS}
     chosen = {f: F.col(f"{f}_")["value"] if f in choices else F.coalesce(F.col(fields[f]).cast("string"), F.lit("")) if f in fields else F.lit("") for f in FIELDS}
     tried = tried.withColumns({lower[f]: F.nullif(F.lower(chosen[f]), F.lit("")) for f in FIELDS})
-    read = with_fields(tried, text, lower)
+    read = _with_fields(tried, text, lower)
     scores = {f: matching.element_score(F.coalesce(F.col(lower[f]), F.lit("")), F.lower(F.coalesce(F.col("parsed")[f], F.lit(""))), weights[f]) for f in weights}
     unknown = F.aggregate(F.col("parsed")["unknown"], F.lit(0.0), lambda a, u: a + 2 + unknown_weight * F.length(u))
     read = read.withColumns({f"score_{f}": c for f, c in scores.items()}).withColumn("total", sum((F.col(f"score_{f}") for f in scores), unknown))

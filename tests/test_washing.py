@@ -243,3 +243,17 @@ def test_terms_of_queries():
     assert matching.terms("a*b ** * c***") == [("a", False), ("b", False), ("c", True)]
     assert matching.terms("ab c", True)[-1] == ("c", True) and matching.terms("ab c ", True)[-1] == ("c", False) and matching.terms("ab c,", True)[-1] == ("c", False)
     assert matching.terms("") == [] and matching.terms(" ,* ", True) == []
+
+
+def test_one_file_of_many_rows_is_dealt_over_tasks(spark):
+    from fieldbook.operators import geometry, search_index
+
+    one = spark.range(0, 60_000, 1, 1).select(F.col("id").alias("k"), F.lit("Road 1").alias("street"), F.lit("road 1").alias("raw"), F.lit("Other").alias("second"), F.lit(None).cast(geometry.RINGS).alias("rings"))
+    least = max(spark.sparkContext.defaultParallelism, 3)
+    assert washing.with_fields(one, "raw", {"street": "street"}).rdd.getNumPartitions() >= least
+    assert geometry.split(one, "k", "rings").rdd.getNumPartitions() >= 12
+    best = washing.best_variant(one.limit(5), ["k"], "raw", {"street": ["street", "second"]}, {}, {"street": 1})
+    assert sorted((r.k, r.variant_street) for r in best.collect()) == [(k, "road 1") for k in range(5)]
+    twice = spark.createDataFrame([(1, "Mill Road mill", "Road"), (2, "", "x")], "k long, a string, b string")
+    got = {r.k: [(x.token, x["class"]) for x in r.list] for r in twice.select("k", search_index.own_tokens({"a": "B", "b": "A"}).alias("list")).collect()}
+    assert got == {1: [("mill", "B"), ("road", "A")], 2: [("x", "A")]}
