@@ -44,8 +44,8 @@ def q_subdivided(spark, d):
 def q_shape_overlaps(spark, d):
     """Pairs of L-shaped areas that share more than 7."""
     ells = _ells(spark, d)
-    both = geometry.overlaps(ells, "k", ells.withColumnRenamed("k", "j"), "j", 40.0)
-    return both.where("a_key < b_key").withColumn("area", F.round("measure", 6)).where("area > 7").select("a_key", "b_key", "area")
+    both = geometry.overlaps(ells, "k", ells.withColumnRenamed("k", "j"), "j", 40.0, wanted=F.col("a_key") < F.col("b_key"))
+    return both.withColumn("area", F.round("measure", 6)).where("area > 7").select("a_key", "b_key", "area")
 
 
 @query(f"WITH {_ELL}, c AS (SELECT DISTINCT floor(x / 25) AS i, floor(y / 25) AS j FROM a) SELECT DISTINCT k, CAST(i * 1000 + j AS BIGINT) AS tile FROM r JOIN c ON x0 <= i * 25 + 25 AND i * 25 <= x1 AND y0 <= j * 25 + 25 AND j * 25 <= y1")

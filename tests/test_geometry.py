@@ -162,3 +162,20 @@ def test_a_crowded_cell_is_dealt_over_tasks(spark):
         assert sorted((r.id, r.other) for r in cell_join(a, b, ["c"], most).collect()) == want
     spread = cell_join(a, b, ["c"], 100).queryExecution if hasattr(a, "queryExecution") else cell_join(a, b, ["c"], 100)._jdf.queryExecution()
     assert "share_" in spread.toString()
+
+
+def test_placements_are_measured_once_and_give_the_same_pairs(spark, monkeypatch):
+    from fieldbook.operators import geometry
+
+    ring = lambda w: F.array(F.array(*[F.struct((F.col("x") + dx).cast("double").alias("x"), (F.col("y") + dy).cast("double").alias("y")) for dx, dy in ((0, 0), (w, 0), (w, 7), (0, 7), (0, 0))]))
+    at = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 7 % 40).alias("x"), (F.col("id") * 11 % 30).alias("y"))
+    a = geometry.split(at.withColumn("rings", F.when(F.col("k") % 2 == 0, ring(5)).otherwise(ring(9))), "k", "rings")
+    b = a.withColumnRenamed("k", "j")
+    wanted = F.col("a_key") < F.col("b_key")
+    result = lambda: {(r.a_key, r.b_key): round(r.measure, 6) for r in geometry.overlaps(a, "k", b, "j", 10.0, wanted=wanted).collect()}
+    monkeypatch.setattr(geometry, "ALIKE", 1e9)
+    direct = result()
+    monkeypatch.setattr(geometry, "ALIKE", 0)
+    assert result() == direct and len(direct) > 500 and all(p < q for p, q in direct)
+    monkeypatch.setattr(geometry, "SENT", 0)
+    assert result() == direct
