@@ -73,13 +73,12 @@ def admitted(lines: DataFrame, schema: str, required: list[str], rowkey: str, or
     parsed = lines.select("value", F.from_json("value", fields, {"columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE"}).alias("r"))
     wrong = [(F.col("r").isNull() | F.col(f"r.{broken}").isNotNull(), "schema")] + [(F.col(f"r.{c}").isNull(), f"missing {c}") for c in required] + [(F.col(f"r.{rowkey}") >= most, "rowkey too large")]
     bad = [(F.coalesce(F.col(f"r.{lo}") >= F.col(f"r.{hi}"), F.lit(False)), f"range {lo}") for lo, hi in ranges_of]
-    first = F.row_number().over(Window.partitionBy(f"r.{rowkey}").orderBy(*[F.col(f"r.{c}") for c in order], "value"))
+    # only rows that fit compete for their rowkey; the others are dealt by their text. One window over all, so lines are parsed once for both
+    group = [F.when(F.col("reason").isNull(), F.col(f"r.{rowkey}")), F.when(F.col("reason").isNotNull(), F.xxhash64("value"))]
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.col(f"r.{c}") for c in order], "value"))
     reason = reduce(lambda c, w: c.when(w[0], w[1]), wrong[1:], F.when(*wrong[0]))
-    marked = parsed.withColumn("reason", reason)
-    # only rows that fit compete for their rowkey
-    sound = marked.where("reason is null").withColumn("place", first)
-    sound = sound.withColumn("reason", reduce(lambda c, w: c.when(w[0], w[1]), bad, F.when(F.col("place") > 1, "duplicate"))).drop("place")
-    judged = sound.unionByName(marked.where("reason is not null"))
+    marked = parsed.withColumn("reason", reason).withColumn("place", first)
+    judged = marked.withColumn("reason", F.coalesce("reason", reduce(lambda c, w: c.when(w[0], w[1]), bad, F.when(F.col("place") > 1, "duplicate")))).drop("place")
     names = [f.name for f in lines.sparkSession.createDataFrame([], schema).schema]
     return judged.where("reason is null").select(*[F.col(f"r.{n}").alias(n) for n in names]), judged.where("reason is not null").select("value", "reason")
 

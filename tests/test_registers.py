@@ -83,3 +83,16 @@ def test_text_rules_in_any_time_zone(spark):
     got = [r[0] for r in rows.select(tx.address_parts(F.col("s"))).collect()]
     assert tuple(got[0]) == ("Christian 4. gade", "13B", "5", "th", "By", "8000", "Aarhus C")
     assert (got[1].number, got[1].floor, got[1].door, got[1].postal) == ("12", "st", "th", "1553") and got[2].street == "10. Februar Vej" and got[3].floor == "kl" and got[4] is None
+
+
+def test_admitted_lines_are_read_once_for_each_table(spark):
+    from pyspark.sql import functions as F
+
+    from fieldbook.operators import registers
+
+    lines = spark.range(40).select(F.concat(F.lit('{"rowkey": '), F.when(F.col("id") % 4 == 0, F.lit('"x"')).otherwise((F.col("id") % 15).cast("string")), F.lit(', "n": '), F.col("id").cast("string"), F.lit("}")).alias("value"))
+    rows, rejects = registers.admitted(lines, "rowkey long, n int", ["rowkey"], "rowkey", ["n"], [])
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Range (") for df in (rows, rejects)] == [1, 1]
+    first = {k: min(i for i in range(40) if i % 4 and i % 15 == k) for k in {i % 15 for i in range(40) if i % 4}}
+    assert {r.rowkey: r.n for r in rows.collect()} == first
+    assert {r.reason: r["count"] for r in rejects.groupBy("reason").count().collect()} == {"schema": 10, "duplicate": 30 - len(first)}
