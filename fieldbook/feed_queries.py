@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
-from fieldbook.operators import changes, feeds, relational, spatial
+from fieldbook.operators import balanced, changes, feeds, relational, spatial
 from fieldbook.queries import _PTS, _points, big, query, t
 
 # Feeds: orders are the events, a day of orders is a transaction
@@ -61,9 +61,14 @@ op AS (SELECT *, CASE WHEN lag(hi) OVER w IS NOT DISTINCT FROM lo AND lag(a) OVE
 hs AS (SELECT k, a, min(lo) AS lo, CASE WHEN count(*) = count(hi) THEN max(hi) END AS hi FROM (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY lo) AS i FROM op) GROUP BY k, a, i)"""
 
 
+#: Orders of a task, about: what a task sorts stays the same as the table grows.
+ORDERS = 200_000
+
+
 def _bitemporal(spark, d):
-    w = relational.Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("a"), F.col("o_orderdate").alias("lo"), F.lead("o_orderdate").over(w).alias("hi"), F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderdate")).alias("reg_to"))
+    dealt = balanced.spread(t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("a"), F.col("o_orderdate").alias("lo")), ORDERS, ["k"])
+    w = relational.Window.partitionBy("k").orderBy(F.col("lo").asc_nulls_first(), "seq")
+    rows = dealt.select("k", "a", "lo", F.lead("lo").over(w).alias("hi"), F.when(F.col("seq") % 11 == 0, F.col("lo")).alias("reg_to"))
     return rows.filter("hi is null or hi > lo")
 
 

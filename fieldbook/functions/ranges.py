@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,16 @@ def merged(lo: str, hi: str) -> tuple[Column, Column]:
 def coalesce_valid_time(df: DataFrame, key: list[str], attrs: list[str], lo: str, hi: str) -> DataFrame:
     """Islands: rows of a key that meet (upper = next lower) and agree in all attributes become one range. A gap or an overlap starts a new island."""
     w = Window.partitionBy(*key).orderBy(F.col(lo).asc_nulls_first())
-    same = F.lag(hi).over(w).eqNullSafe(F.col(lo)) & F.col(lo).isNotNull()
-    for a in attrs:
-        same = same & F.lag(a).over(w).eqNullSafe(F.col(a))
-    flagged = df.withColumn("_new", F.when(same, 0).otherwise(1))
-    island = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    start, end = merged(lo, hi)
-    return island.groupBy(*key, "_island", *attrs).agg(start.alias(lo), end.alias(hi)).drop("_island")
+
+    def joined(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in attrs], a[hi].eqNullSafe(b[lo]) & b[lo].isNotNull())
+
+    here, before, after = ({c: f(c) for c in (*attrs, lo, hi)} for f in (F.col, lambda c: F.lag(c).over(w), lambda c: F.lead(c).over(w)))
+    # all in the order of one sort, and no group is gathered: of an island only the first and last rows stay, and the first one looks up its end
+    ends = df.select(*key, *attrs, lo, hi, (~joined(before, here)).alias("_first"), (~joined(here, after)).alias("_last")).filter("_first or _last")
+    last = F.when(here[hi].isNotNull(), F.greatest(lo, hi))  # the row before it ends at its lower bound
+    found = ends.withColumn("_end", F.when(F.col("_last"), here[hi]).otherwise(F.lead(last).over(w)))
+    return found.filter("_first").select(*key, *attrs, lo, F.col("_end").alias(hi))
 
 
 def clip(df: DataFrame, lo: str, hi: str, cut: Column, before: bool) -> DataFrame:

@@ -13,12 +13,12 @@ MOST = 20_000
 SPREAD = 20_000
 
 
-def spread(df: DataFrame, rows: int = SPREAD) -> DataFrame:
-    """The same rows, dealt by hash over tasks of about so many: files are split by bytes, so a small file of many rows would be one task, whatever is made of each row."""
+def spread(df: DataFrame, rows: int = SPREAD, on: list[str] | None = None) -> DataFrame:
+    """The same rows, dealt by hash (of ``on``, if given, whose equal values stay together) over tasks of about so many: files are split by bytes, so a small file of many rows would be one task, whatever is made of each row."""
     count = df.count()
     if count <= rows:
         return df
-    hashed = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    hashed = on or [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(count / rows))
     return df.repartition(tasks, *[F.col(f"`{c}`") for c in hashed])
 

@@ -1,12 +1,13 @@
 """Operators that SQL cannot express, and edge cases of those it can."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldbook import queries as registry
-from fieldbook import sources, streaming
+from fieldbook import feed_queries, sources, streaming
 from fieldbook.functions import ranges
 from fieldbook.functions import text as tx
 from fieldbook.operators import addresses, changes, feeds, intervals, matching, relational, shapes, spatial, spelling, temporal
@@ -81,6 +82,39 @@ def test_islands_break_at_gaps_and_overlaps(spark):
     assert sorted((r.lo or 0, r.hi or 99) for r in got.collect()) == [(0, 4), (5, 6), (5, 9), (9, 99)]
 
 
+def _islands(rows):
+    out, before = [], {}
+    for k, a, lo, hi in sorted(rows, key=lambda r: (r[0], r[2] is not None, r[2] or 0)):
+        if k in before and lo is not None and before[k] == (a, lo):
+            out[-1].append((k, a, lo, hi))
+        else:
+            out.append([(k, a, lo, hi)])
+        before[k] = (a, hi)
+    return sorted(((x[0][0], x[0][1], x[0][2], None if any(r[3] is None for r in x) else max(r[3] for r in x)) for x in out), key=repr)
+
+
+def test_islands_like_a_walk_and_without_gathered_groups(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        at = sorted(rng.sample(range(1, 40), rng.randint(1, 12)))
+        for i, lo in enumerate(at):
+            hi = at[i + 1] if i + 1 < len(at) and rng.random() < 0.8 else rng.choice([None, lo - 1, lo, lo + 1, lo + 5])
+            rows.append((k if k else None, rng.choice(["x", "x", "y", None]), None if i == 0 and k % 4 == 0 else lo, hi))
+    rng.shuffle(rows)
+    got = ranges.coalesce_valid_time(spark.createDataFrame(rows, "k int, a string, lo int, hi int").repartition(3), ["k"], ["a"], "lo", "hi")
+    want = _islands([(-1 if k is None else k, a, lo, hi) for k, a, lo, hi in rows])
+    assert sorted(((-1 if r.k is None else r.k, r.a, r.lo, r.hi) for r in got.collect()), key=repr) == want
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histories_sort_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    monkeypatch.setattr(feed_queries, "ORDERS", 100)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    got = feed_queries.q_combined_history(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= orders // 100
+
+
 def test_history_is_filled_at_both_ends(spark):
     df = spark.createDataFrame([(1, 3, 5, 2)], "k int, lo int, hi int, status int")
     assert sorted((r.lo, r.hi, r.status) for r in ranges.fill_tail(df, ["k"], "lo", "hi", "status", 10).collect()) == sorted([(3, 5, 2), (5, None, 10)])
