@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ class WordHash(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         h = xxhash.xxh3_64_intdigest(word)
         if len(self) < self.most:
             self[word] = h

@@ -42,6 +42,8 @@ PERCENT = 75
 COMMON = 1 << 18
 #: Bits by which a counting task knows tokens of its earlier slices.
 SEEN = 1 << 27
+#: Words whose hashes a task remembers, and bytes of text that it works on at once: a worker's memory beside its batch.
+KNOWN, PIECE = 1 << 17, 1_000_000
 #: Central nodes that a node is compared with first.
 PIVOTS = 2
 #: Bits of a set's parity sketch: eight numbers of 64 bits, chosen by the three highest bits of a token.
@@ -60,9 +62,11 @@ def sets_of(texts: list[bytes], known: WordHash, k: int) -> tuple[np.ndarray, np
     """The distinct shingle hashes of every text, ascending, end to end, and how many each text has."""
     words, counts = word_hashes(texts, known)
     hashes, owner = shingle_hashes(words, counts, k)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
     if len(hashes):
+        # a text's hashes lie together, so each text is sorted where it lies
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
+        for start, end in zip([0, *ends], ends, strict=False):
+            hashes[start:end].sort()
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
         hashes, owner = hashes[new], owner[new]
     return hashes, np.bincount(owner, minlength=len(texts)).astype(np.int64)
@@ -95,8 +99,8 @@ def _common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, met = WordHash(), set(), np.zeros(SEEN // 8, np.uint8)
-        for b in slices(batches):
+        known, seen, met = WordHash(KNOWN), set(), np.zeros(SEEN // 8, np.uint8)
+        for b in slices(batches, PIECE):
             hashes, sizes = sets_of(texts_of(b), known, k)
             fresh = np.zeros(len(sizes), bool)
             for i, x in enumerate(nodes_of(hashes, sizes).tolist()):
@@ -128,8 +132,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often, packed = shared.value
         maybe = np.unpackbits(packed).astype(bool)
-        known, seen = WordHash(), set()
-        for b in slices(batches):
+        known, seen = WordHash(KNOWN), set()
+        for b in slices(batches, PIECE):
             hashes, sizes = sets_of(texts_of(b), known, k)
             nodes = nodes_of(hashes, sizes)
             fresh = np.zeros(len(sizes), bool)
@@ -178,13 +182,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, filled = WordHash(), set(), shared.value
+        known, seen, filled = WordHash(KNOWN), set(), shared.value
         for b in batches:
             at = b.column("slot").to_numpy(zero_copy_only=False)
             maybe = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
             at = np.nan_to_num(at).astype(np.int64)
             maybe |= ((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            for part in slices([b.filter(pa.array(maybe))]):
+            for part in slices([b.filter(pa.array(maybe))], PIECE):
                 hashes, sizes = sets_of(texts_of(part), known, k)
                 nodes = nodes_of(hashes, sizes)
                 fresh = sizes > 0

@@ -3,11 +3,13 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,6 +475,22 @@ def test_sketches_never_hide_a_similar_pair():
         assert (len(a) + len(b) - apart) // 2 >= len(np.intersect1d(a, b)) and not s[1].any()
 
 
+def test_sets_of_a_task_take_bounded_memory():
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(60):x}" for _ in range(250_000)]
+    texts = [" ".join(words[i : i + 250]) for i in range(0, len(words), 250)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    known, n = jaccard_join.WordHash(jaccard_join.KNOWN), 0
+    for part in jaccard_join.slices([batch], jaccard_join.PIECE):
+        hashes, sizes = jaccard_join.sets_of(jaccard_join.texts_of(part), known, 5)
+        n += int(sizes.sum())
+        assert all((x[1:] > x[:-1]).all() for x in np.split(hashes, np.cumsum(sizes)[:-1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 246 * len(texts) and peak < 30e6
+
+
 def test_join_of_odd_tables(spark, odd, odd_rows):
     assert jaccard_join.join(odd.limit(0)).count() == 0 and jaccard_join.deduplicate(odd.limit(0)).count() == 0
     kept = jaccard_join.deduplicate(odd)
