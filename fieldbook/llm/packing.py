@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,50 +38,51 @@ UNDERFULL = 0.985
 END_ID = 0
 #: Words whose ids a worker remembers, at most.
 KNOWN_WORDS = 400_000
-# White space of the tokenizer, without \x1c-\x1f, which str.split() would also split on.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\\t\\n\\v\\f\\r \x85\xa0  -     　]+")
 _MARK = "\x01"
-_TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?![^\s])")
+# Letters that the tokenizer lowers one by one and that no mark or neighbour changes: ASCII, Latin to U+017E but the dotted capital I, Cyrillic.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-žЀ-џ"
+_WORD, _SIMPLE = f"^[{_LETTERS}]+$", f"^[!-~{_LETTERS}]+$"
+# The tokenizer's own split, for lowered words of _SIMPLE.
+_UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_BYTES = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)}
+_BYTES |= {b: 256 + n for n, b in enumerate(b for b in range(256) if _BYTES[b] is None)}
+_BYTES[32] = 32
+# Marks at a word's end are a unit of their own after a letter or digit. ' may begin a unit, > end a special token.
+_TAIL = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'>")
+# Last two bytes (or the last, where it is ASCII) of such a letter or digit.
+_ENDS = np.zeros((256, 256), bool)
+for _c in map(chr, range(0x460)):
+    if re.match(f"[0-9{_LETTERS}]", _c):
+        _ENDS[_c.encode()[-2] if _c > "\x7f" else slice(None), _c.encode()[-1]] = True
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{PIECE}, sequence_id long, offset long, fill long"
 
 
-class Ids(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes. White space only separates words in this vocabulary, so a text's ids are its words' ids."""
+class Ids:
+    """Ids of texts as little-endian unsigned 32-bit bytes. White space only separates words in this vocabulary, so a text's ids are its words' ids.
+
+    Arrow splits texts at ASCII white space and numbers the distinct words; only those not remembered reach the tokenizer.
+    """
 
     def __init__(self, path: str, most: int = KNOWN_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__()
-        self.tokenizer, self.most, self.extra = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         # a control character between blanks is a token of its own, so many words can be encoded in one text and told apart again
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
-
-    def _words(self, text: str) -> list[str]:
-        """The words as the tokenizer's normalizer leaves them; a lone mark at a word's end is a word of its own."""
-        if "<|" in text:  # may hold the name of a special token, which is found before normalizing
-            return _SPACE.split(text) if _ODD.search(text) else text.split()
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            low = text.replace("Σ", "σ").lower()
-            # a lowered letter may come apart into a letter and a mark, which normalizing again would reorder: such a text is lowered by the tokenizer alone
-            if not unicodedata.is_normalized("NFC", low):
-                return _SPACE.split(text) if _ODD.search(text) else text.split()
-            text = low
-        else:
-            text = text.lower()
-        text = _TAIL.sub(r" \1", text)
-        return _SPACE.split(text) if _ODD.search(text) else text.split()
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        # the same merges over units split beforehand; the last id of each has the suffix
+        self.units = Tokenizer(self.tokenizer.model)
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Words as the whole tokenizer encodes them."""
         alone = [w for w in words if self.mark is None or _MARK in w]
         rest = [w for w in words if _MARK not in w] if self.mark is not None else []
         out = {w: array("I", e.ids).tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
@@ -93,17 +94,67 @@ class Ids(dict):
             for w, end in zip(group, ends, strict=True):
                 out[w] = raw[at:end]
                 at = end + 4
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        new = list(set().union(*split) - self.keys())
-        got = self._encoded(new)
-        room = self.most - len(self)
-        self.extra = got
-        if room >= len(got):
-            self.update(got)
-        return [b"".join(map(self.__getitem__, ws)) for ws in split]
+        return [out[w] for w in words]
+
+    def _simple(self, words: pa.Array, counts: np.ndarray) -> pa.Array | None:
+        """Words given as units with blanks between, and the units of each; None if the ids don't close one unit each."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(words), 256), len(words)], pa.int32()), words)
+        texts = [t.lower().encode().decode("latin-1").translate(_BYTES) for t in pc.binary_join(groups, " ").to_pylist()]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.units.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != counts.sum():
+            return None
+        ends = np.concatenate([[0], 4 * ends[np.cumsum(counts) - 1]])
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+    def _encoded(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The words, reordered, and their ids."""
+        plain = pc.match_substring_regex(words, _WORD)
+        letters, rest = words.filter(plain), words.filter(pc.invert(plain))
+        # the name of a special token is found before lowering
+        simple = pc.and_not(pc.match_substring_regex(rest, _SIMPLE), pc.match_substring(rest, "<|"))
+        mixed, other = rest.filter(simple), rest.filter(pc.invert(simple))
+        units = [_UNITS.findall(w.lower()) for w in mixed.to_pylist()]
+        counts = np.concatenate([np.ones(len(letters), np.int64), np.array([len(u) for u in units], np.int64)])
+        got = self._simple(pa.concat_arrays([letters, pa.array([" ".join(u) for u in units], pa.string())]), counts)
+        if got is None:
+            got, other = pa.array([], pa.large_binary()), pa.concat_arrays([letters, mixed, other])
+            letters = mixed = letters.slice(0, 0)
+        return pa.concat_arrays([letters, mixed, other]), pa.concat_arrays([got, pa.array(self._whole(other.to_pylist()), pa.large_binary())])
+
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts, marks at a word's end apart, and where each text's begin. An empty word at a text's end has no ids."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten()
+        if not len(words):
+            return words, split.offsets.to_numpy()
+        _, at, raw = words.buffers()
+        at = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(raw or b"", np.uint8)
+        end = at[:-1] + pc.binary_length(pc.ascii_rtrim(words, _TAIL)).to_numpy()
+        tails = np.flatnonzero((end < at[1:]) & (end > at[:-1]))
+        last = end[tails] - 1
+        tails = tails[_ENDS[data[last - 1], data[last]]]
+        at = np.insert(at, tails + 1, end[tails])
+        more = np.searchsorted(tails, split.offsets.to_numpy())
+        return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), raw]), split.offsets.to_numpy() + more
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        words, begin = self._split(pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), ""))
+        coded = words.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        new, got = self._encoded(coded.dictionary.filter(pc.is_null(known)))
+        at = pc.coalesce(known, pc.add(pc.index_in(coded.dictionary, value_set=new), pa.scalar(len(self.words), pa.int32())))
+        ids = pa.concat_arrays([self.ids, got])
+        if len(self.words) < self.most:
+            self.words, self.ids = pa.concat_arrays([self.words, new]).slice(0, self.most), ids.slice(0, self.most)
+        found = ids.take(at.take(coded.indices))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[begin]
+        raw = memoryview(found.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _LOADED: dict[str, Ids] = {}
@@ -116,9 +167,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         ids = _LOADED.setdefault(tokenizer, None) or Ids(tokenizer)
         _LOADED[tokenizer] = ids
         end = np.array([END_ID], "<u4").tobytes()
-        for b in slices(batches, 2_000_000):
+        for b in slices(batches, 4_000_000):
             doc, piece, start, size, crc = [], [], [], [], []
-            for d, raw in zip(b.column("doc_id").to_pylist(), ids.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for d, raw in zip(b.column("doc_id").to_pylist(), ids.encode(b.column("text")), strict=True):
                 raw += end
                 for k in range(0, len(raw), 4 * length):
                     part = raw[k : k + 4 * length]

@@ -76,6 +76,36 @@ def test_ids_are_the_tokenizers_whatever_the_marks():
         assert np.frombuffer(raw, "<u4").tolist() == known.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_marked_words_special_names_and_empty_texts():
+    rng, path = random.Random(47), packing.default_tokenizer()
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "'s", "'RE", "'", "''", "...", "$$$", "&&&", "###", "!'", ">.", "_", "\x01", " ", "\t", "\x0b", "\x1f", "\u3000"]
+    parts += ["a", "The", "J\u030c", "Éa", "ÿ", "Ÿ", "×", "÷", "ŉ", "ſ", "Й", "и\u0306", "Ђ", "ё", "Ω", "Σ", "İ", "ı", "K", "Å", "½", "²", "٣", "7", "42", "é", "€", "🎉", "\u0338", "中", "ª", "ß", "ẞ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(20_000)] + ["", " ", None, "\n\n", "a ", " a"]
+    for most in (packing.KNOWN_WORDS, 50, 0):
+        known = packing.Ids(path, most)
+        got = [raw for k in range(0, len(texts), 1000) for raw in known.encode(texts[k : k + 1000])]
+        for t, raw in zip(texts, got, strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == known.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert known.encode([]) == [] and known.encode([None, ""]) == [b"", b""]
+
+
+def test_ids_of_plain_words_do_without_the_whole_tokenizer(monkeypatch):
+    rng, known = random.Random(48), packing.Ids(packing.default_tokenizer())
+    word = lambda: "".join(rng.choice("aeioulnrstüéçñ") for _ in range(rng.randrange(3, 12)))
+    texts = [" ".join(word().title() + rng.choice(["", "", ".", ",$$$", "&&&", "-7@x.org"]) for _ in range(200)) for _ in range(50)]
+    want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    sent, whole = [], known.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(known, "tokenizer", Watched())
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in known.encode(texts)] == want
+    assert not sent
+
+
 def test_local_search_raises_squared_fill():
     rng = random.Random(2)
     for _ in range(20):
