@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: ASCII white space of every word contract: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of a batch that goes to a Python worker or of the texts that it works on at once, about (one row at least).
+BATCH_BYTES = 3_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -132,7 +135,14 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
     return hashes, owner
 
 
-def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at ``BATCH_BYTES``; a lower limit of the caller's stays. Else 10,000 rows go at once, and executor and worker each hold that, in memory outside the heap."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_CONF))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each take a bounded number of bytes (one text at least)."""
     for b in batches:
         sizes = np.zeros(b.num_rows)

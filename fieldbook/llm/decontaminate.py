@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix64, plain, read, shingle_hashes, slices, texts_of, word_hashes
+from .common import WordHash, mix64, plain, read, shingle_hashes, slices, small_batches, texts_of, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -221,6 +221,7 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[Index]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, distance, similarity of every leak."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, first_word long, distance int, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _benchmark_blocks(benchmark):
@@ -242,6 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without leaks, with all their columns; the verdict is made where the text is, so nothing is shuffled."""
+    small_batches(docs.sparkSession)
     out = docs
     for block in _benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, drop_cut, lists, mix64, read, shingle_hashes, slices, texts_of, word_hashes
+from .common import WordHash, cut, drop_cut, lists, mix64, read, shingle_hashes, slices, small_batches, texts_of, word_hashes
 from .graph import components
 
 WORDS = 5
@@ -277,6 +277,7 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, k: int, p
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    small_batches(docs.sparkSession)
     prefixes = _prefixes(docs, k, percent)
     rows = cut(prefixes.select("doc_id", "n", "node"), "rows")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, slices
+from .common import cut, read, slices, small_batches
 
 LENGTH = 2048
 GROUP = 8000
@@ -162,6 +162,7 @@ _LOADED: dict[str, Ids] = {}
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _LOADED.setdefault(tokenizer, None) or Ids(tokenizer)

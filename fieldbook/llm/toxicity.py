@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, mix64, plain, read, slices, texts_of
+from .common import cut, fold_of, mix64, plain, read, slices, small_batches, texts_of
 
 FIT_ROWS = 1200
 FIT_TOKENS = 2_000_000
@@ -388,6 +388,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_tokens: int = FIT_TOKENS, most_sent: int = SENT) -> Field:
     """The field, from docs(doc_id, text) and labels(doc_id, toxic); the caller chooses the rows it may learn from."""
+    small_batches(docs.sparkSession)
     labelled = _labelled(docs, labels, most_sent)
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -402,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_tokens: i
 
 def tag(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     """doc_id, score, spans (offsets of toxic tokens in code points, with their marginals) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

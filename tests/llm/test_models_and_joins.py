@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldbook.llm import decontaminate, jaccard_join, language, maxent, packing, pii, toxicity
+from fieldbook.llm import common, decontaminate, jaccard_join, language, maxent, packing, pii, toxicity
 
 from .conftest import SF, documents
 
@@ -560,3 +560,24 @@ def test_pipeline_stages_by_their_operators(spark):
     used, least = pieces_are_whole(texts, corpus_pipeline.pack_sequences(spark, after, sf).collect(), packing.LENGTH)
     assert used <= 1.02 * least + 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "best_fit_packing"]
+
+
+def test_batches_of_the_stages_take_bounded_memory(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(3000).selectExpr("id as doc_id", "repeat('one two ', 1250) as text").coalesce(1)
+    small, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    first = [lambda: toxicity.tag(small, toxicity.Field()), lambda: toxicity.reject(small, spark.read.parquet(f"{SF}/labels.parquet")), lambda: jaccard_join.deduplicate(small)]
+    for start in (*first, lambda: decontaminate.reject(small, benchmark), lambda: decontaminate.leaks(small, benchmark), lambda: packing.pieces(small, packing.default_tokenizer())):
+        spark.conf.unset(key)
+        start()
+        got = long.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * common.BATCH_BYTES
+    spark.conf.set(key, "1m")
+    packing.pieces(small, packing.default_tokenizer())
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
